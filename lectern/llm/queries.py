@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm import toxicity
+from lectern.llm.minhash import near_duplicates
 from lectern.llm.packing import pack
 
 
@@ -23,6 +24,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,6 +35,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,
 }
 
