@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm import toxicity
 from lectern.llm.minhash import near_duplicates
+from lectern.llm.mixing import WEIGHTS, domain_of_source, mix
 from lectern.llm.packing import pack
 
 
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), domain_of_source(), WEIGHTS)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -33,13 +38,47 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,
 }
 
+def _level(n: int, keys: list[str], source: str, budget: str, weight: str) -> str:
+    """One level of the budget tree in SQL: as fill()."""
+    child, part = keys[-1], ", ".join(keys[:-1]) or "1"
+    return f"""
+a{n} AS (SELECT *, supply / weight AS ratio FROM (SELECT {", ".join(f"x.{k}" for k in keys)}, x.supply, {budget} AS budget, {weight} AS weight FROM {source})),
+b{n} AS (SELECT *, coalesce(sum(supply) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used,
+   sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS free FROM a{n} WINDOW w AS (PARTITION BY {part} ORDER BY ratio, {child})),
+c{n} AS (SELECT *, bool_and(supply * free <= weight * (budget - used)) OVER (PARTITION BY {part} ORDER BY ratio, {child} ROWS UNBOUNDED PRECEDING) AS short FROM b{n}),
+d{n} AS (SELECT *, CASE WHEN short THEN 0 ELSE weight END AS w, (budget - sum(CASE WHEN short THEN supply ELSE 0 END) OVER (PARTITION BY {part}))::BIGINT AS rest FROM c{n}),
+e{n} AS (SELECT *, greatest(1, sum(w) OVER (PARTITION BY {part}))::BIGINT AS total, (sum(w) OVER (PARTITION BY {part} ORDER BY ratio, {child} ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM d{n}),
+s{n} AS (SELECT {", ".join(keys)}, CASE WHEN short THEN supply ELSE (rest * upto) // total - (rest * (upto - w)) // total END AS share FROM e{n})"""
+
+
+_MIX_SQL = rf"""
+WITH r AS (SELECT doc_id, coalesce(['web', 'books', 'reference', 'forum'][try_cast(regexp_extract(source, '(\d+)$', 1) AS INT) % 4 + 1], 'unknown') AS domain,
+   coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+rows_ AS (SELECT * FROM r WHERE n_tokens > 0),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * 4)::BIGINT AS supply FROM rows_ GROUP BY ALL),
+l1 AS (SELECT domain, sum(supply)::BIGINT AS supply FROM leaf GROUP BY ALL),
+l2 AS (SELECT domain, lang, sum(supply)::BIGINT AS supply FROM leaf GROUP BY ALL),
+{_level(1, ["domain"], "l1 x", "(SELECT least(sum(supply), (sum(tokens) * 60) // 100) FROM leaf)::BIGINT", "CASE domain WHEN 'web' THEN 40 WHEN 'books' THEN 25 WHEN 'reference' THEN 20 WHEN 'forum' THEN 15 ELSE 1 END")},
+{_level(2, ["domain", "lang"], "l2 x JOIN s1 USING (domain)", "s1.share", "CASE lang WHEN 'en' THEN 55 WHEN 'de' THEN 15 WHEN 'fr' THEN 15 WHEN 'es' THEN 15 ELSE 1 END")},
+{_level(3, ["domain", "lang", "source"], "leaf x JOIN s2 USING (domain, lang)", "s2.share", "1")},
+plan AS (SELECT domain, lang, source, share // tokens AS whole, share % tokens AS rest FROM leaf JOIN s3 USING (domain, lang, source)),
+keyed AS (SELECT *, ('0x' || md5('17:' || whole || ':' || doc_id)[1:15])::BIGINT AS k FROM rows_ JOIN plan USING (domain, lang, source)),
+upto AS (SELECT *, rest - coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, n_tokens, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM keyed),
+taken AS (SELECT domain, lang, source, doc_id, unnest(range(whole)) AS epoch, n_tokens, n_tokens AS taken_tokens FROM upto
+   UNION ALL SELECT domain, lang, source, doc_id, whole, n_tokens, least(room, n_tokens) FROM upto WHERE room > 0)
+SELECT domain, lang, source, doc_id, epoch::INT AS epoch, n_tokens, taken_tokens::BIGINT AS taken_tokens, ('0x' || md5('17:' || epoch || ':' || doc_id)[1:15])::BIGINT AS order_key FROM taken
+"""
+
 ORACLE_SQL = {
+    "op1_mixing": _MIX_SQL,
     "op5_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
 r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
