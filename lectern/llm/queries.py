@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import langid, toxicity
+from lectern.llm import huffman, langid, toxicity
 from lectern.llm.chunk_dedup import chunk_duplicates
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.minhash import near_duplicates
@@ -44,6 +44,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op7_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_huffman_files": op7_huffman_files,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,
 }
