@@ -12,6 +12,7 @@ from lectern.llm.minhash import near_duplicates
 from lectern.llm.mixing import WEIGHTS, domain_of_source, mix
 from lectern.llm.packing import pack
 from lectern.llm.quality import judge
+from lectern.llm.suffix_dedup import suffix_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -66,6 +71,7 @@ QUERIES = {
     "op7_huffman_files": op7_huffman_files,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 def _level(n: int, keys: list[str], source: str, budget: str, weight: str) -> str:
