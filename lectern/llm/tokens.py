@@ -10,12 +10,23 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-_SIMPLE = re.compile(r"([A-Za-z]+)([^\w\s]*)\Z", re.ASCII)
-#: Entries a worker keeps before it starts afresh (bounds its memory).
-MEMO_ENTRIES = 300_000
+_SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s'<]*)\Z")
+#: Entries a memo keeps before it starts afresh (bounds a worker's memory).
+MEMO_ENTRIES = 500_000
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, others follow from U+0100 on."""
+    itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in itself]
+    return {b: chr(b) for b in itself} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_LETTERS = _byte_alphabet()
 
 
 class _Whole(Exception):
@@ -55,18 +66,20 @@ class DocumentTokenizer:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        """Ids of one unit of the pattern, spaces included."""
         ids = self._words.get(word)
         if ids is None:
             if len(self._words) >= MEMO_ENTRIES:
                 self._words.clear()
-            ids = self._words[word] = np.array([t.id for t in self._model.tokenize(word)], dtype="<u4").tobytes()
+            letters = word.encode().decode("latin-1").translate(_LETTERS)
+            ids = self._words[word] = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
         return ids
 
     def _chunk(self, prefix: str, chunk: str) -> bytes:
         m = _SIMPLE.match(chunk)
-        if m and chunk.isascii() and "'" not in m[2] and "<" not in m[2]:
-            # a run of ASCII letters and one of ASCII marks: the pattern cuts between them
-            head = self._word(("Ġ" if prefix else "") + m[1])
+        if m and m[1].isalpha():
+            # a run of letters and one of marks: the pattern cuts between them, and nowhere else
+            head = self._word(prefix + m[1])
             return head + self._word(m[2]) if m[2] else head
         return self._ids(prefix + chunk)
 
