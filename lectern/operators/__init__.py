@@ -1 +1 @@
-"""lectern.operators"""
+"""Operators: functions from DataFrames to a DataFrame, with explicit position columns."""

@@ -1,0 +1,63 @@
+"""How much of a text survives: character ratio, n-gram containment, edit bounds."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+
+
+def word_ngrams(text: Column, n: int = 5) -> Column:
+    """Distinct n-grams of blank-divided words; none for a shorter text."""
+    words = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
+    size = F.size(words)
+    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    return F.when(size >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+
+def char_ratio(before: Column, after: Column) -> Column:
+    a, b = F.length(T.no_space(before)), F.length(T.no_space(after))
+    return F.when(a > 0, b / a).otherwise(1.0)
+
+
+def containment(before: Column, after: Column, n: int = 5) -> Column:
+    """Share of the distinct grams of ``before`` that ``after`` holds; 1.0 without any."""
+    a, b = word_ngrams(before, n), word_ngrams(after, n)
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(1.0)
+
+
+def gate(ratio: Column, held: Column) -> Column:
+    return ratio.between(0.98, 1.02) & (held >= 0.995)
+
+
+def overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: int = 5, n: int = 5) -> DataFrame:
+    """Pairs that share at least ``least`` distinct grams, by a join on the gram: no pair is made without one."""
+    l = left.select(left_key, F.explode(word_ngrams(F.col("text"), n)).alias("gram"))
+    r = right.select(right_key, F.explode(word_ngrams(F.col("text"), n)).alias("gram"))
+    return l.join(r, "gram").groupBy(left_key, right_key).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+@F.pandas_udf("edits long, changed long, longest long, growth long")
+def edit_measures(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """Longest-match edit script: edits, changed characters, longest span, net growth."""
+    out = []
+    for a, b in zip(before.fillna(""), after.fillna(""), strict=True):
+        spans = [(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
+        sizes = [max(x) for x in spans]
+        out.append((len(spans), sum(sizes), max(sizes, default=0), len(b) - len(a)))
+    return pd.DataFrame(out, columns=["edits", "changed", "longest", "growth"])
+
+
+def edit_bounds(size: Column, m: Column) -> Column:
+    """Bounds that a correction breaks: 2 % changed, a span of 24, 1 % growth."""
+    size = F.greatest(size, F.lit(1))
+    return F.array_compact(F.array(F.when(m["changed"] / size > 0.02, "changed"), F.when(m["longest"] > 24, "span"), F.when(m["growth"] / size > 0.01, "growth")))
+
+
+@F.pandas_udf("string")
+def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series(["\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="")) for a, b in zip(before.fillna(""), after.fillna(""), strict=True)])

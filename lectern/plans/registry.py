@@ -1,4 +1,6 @@
 """All queries of the engine by name, with the SQL that states the same result."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lectern.plans import queries, queries_fixture
+
+QUERIES: dict = queries.Q | queries_fixture.Q
+ORACLE_SQL: dict = queries.SQL | queries_fixture.SQL

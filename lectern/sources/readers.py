@@ -1,0 +1,84 @@
+"""Table readers for text formats, all through Spark's own sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+LINE = "struct<text:string,x0:double,top:double,x1:double,bottom:double,size:double,font:string,conf:double>"
+PAGE = f"page int, width double, height double, dedupe_applied boolean, lines array<{LINE}>, images array<struct<x0:double,top:double,x1:double,bottom:double>>"
+BOOK = "title string, author string, language string, cover string, chapters array<struct<source:string,glossary:string,source_md:string>>"
+
+
+def tsv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, cells): comments (leading blanks allowed) and blank lines skipped, numbered within each file."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "row"))
+    return rows.where((F.trim("row") != "") & ~F.ltrim("row").startswith("#")).select("file", "line", F.split("row", "\t").alias("cells"))
+
+
+def lexicon(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """word, level, reading, gloss, source, line; the first header row goes, short rows are padded with ''."""
+    rows = tsv_lines(spark, path)
+    cell = lambda k: F.trim(F.coalesce(F.get("cells", F.lit(k)), F.lit("")))
+    first = F.min("line").over(Window.partitionBy("file"))
+    rows = rows.withColumn("__first", first).where(~((F.col("line") == F.col("__first")) & (cell(0) == "word")))
+    return rows.select(cell(0).alias("word"), cell(1).alias("level"), cell(2).alias("reading"), cell(3).alias("gloss"), F.lit(source).alias("source"), "line").where("word <> ''")
+
+
+def expressions(spark: SparkSession, path: str) -> DataFrame:
+    """As a lexicon, with a pattern as fifth column; a blank pattern means the literal phrase."""
+    rows = tsv_lines(spark, path)
+    cell = lambda k: F.trim(F.coalesce(F.get("cells", F.lit(k)), F.lit("")))
+    return rows.select(cell(0).alias("expression"), cell(1).alias("level"), cell(2).alias("reading"), cell(3).alias("gloss"), F.nullif(cell(4), F.lit("")).alias("regex"), "line").where("expression not in ('', 'expression', 'word')")
+
+
+def glossary_map(rows: DataFrame) -> DataFrame:
+    """The last row of each word."""
+    return rows.groupBy("word").agg(F.max_by("reading", "line").alias("reading"), F.max_by("gloss", "line").alias("gloss"))
+
+
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    """Extracted pages, one JSON record each; of a repeated page number the last line wins."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "row")).where("trim(row) <> ''")
+    parsed = whole.select("line", F.from_json("row", PAGE).alias("p")).select("line", "p.*")
+    pick = F.row_number().over(Window.partitionBy("page").orderBy(F.col("line").desc()))
+    return parsed.withColumn("__n", pick).where("__n = 1").drop("__n", "line")
+
+
+def book(spark: SparkSession, path: str) -> DataFrame:
+    """Chapters of a book document: title, author, pos, id (ch01 ...), source, glossary."""
+    rows = spark.read.schema(BOOK).json(path, multiLine=True).select("title", "author", F.posexplode("chapters").alias("pos", "c"))
+    return rows.select("title", "author", "pos", F.format_string("ch%02d", F.col("pos") + 1).alias("chapter"), F.coalesce(F.col("c.source_md"), F.col("c.source")).alias("source"), F.col("c.glossary").alias("glossary"))
+
+
+def files(spark: SparkSession, root: str, pattern: str = "*", exclude: tuple[str, ...] = (), recursive: bool = True) -> DataFrame:
+    """path, rel, name, size, mtime of files under a root; a glob excludes by name or relative path."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(root)
+    root_name = root.rstrip("/").removeprefix("file://")
+    rel = F.regexp_replace("path", f"^.*\\Q{root_name}\\E/", "")
+    rows = rows.select("path", rel.alias("rel"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"))
+    for glob in exclude:
+        rx = "^" + "".join({"*": ".*", "?": "."}.get(c, f"\\Q{c}\\E") for c in glob) + "$"
+        rows = rows.where(~F.col("name").rlike(rx) & ~F.col("rel").rlike(rx))
+    return rows
+
+
+def settings(rows: DataFrame, column: str) -> DataFrame:
+    """A settings document as a map, from a list of {key, value} or a plain object."""
+    as_list = F.from_json(column, "array<struct<key:string,value:string>>")
+    as_map = F.from_json(column, "map<string,string>")
+    from_list = F.map_from_entries(F.transform(as_list, lambda e: F.struct(e["key"], e["value"])))
+    return rows.withColumn("settings", F.when(F.trim(column).startswith("["), from_list).otherwise(as_map))
+
+
+def words_to_lines(words: DataFrame, dpi: int = 300) -> DataFrame:
+    """Recognised word boxes to lines: blank and negative-confidence words go; boxes in points, mean confidence, by top."""
+    ok = words.where((F.trim("text") != "") & (F.col("conf") >= 0))
+    cells = F.array_sort(F.collect_list(F.struct("left", "text")))
+    scale = 72.0 / dpi
+    out = ok.groupBy("page", "block", "par", "line").agg(
+        F.array_join(F.transform(cells, lambda c: c["text"]), " ").alias("text"), (F.min("left") * scale).alias("x0"), (F.min("top") * scale).alias("top"),
+        (F.max(F.col("left") + F.col("width")) * scale).alias("x1"), (F.max(F.col("top") + F.col("height")) * scale).alias("bottom"), F.avg("conf").alias("conf"),
+    )
+    return out
