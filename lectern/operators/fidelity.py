@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lectern.functions import text as T
 
@@ -41,7 +42,7 @@ def overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
     return l.join(r, "gram").groupBy(left_key, right_key).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-@F.pandas_udf("edits long, changed long, longest long, growth long")
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in ("edits", "changed", "longest", "growth")]))
 def edit_measures(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """Longest-match edit script: edits, changed characters, longest span, net growth."""
     out = []
@@ -58,6 +59,6 @@ def edit_bounds(size: Column, m: Column) -> Column:
     return F.array_compact(F.array(F.when(m["changed"] / size > 0.02, "changed"), F.when(m["longest"] > 24, "span"), F.when(m["growth"] / size > 0.01, "growth")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="")) for a, b in zip(before.fillna(""), after.fillna(""), strict=True)])

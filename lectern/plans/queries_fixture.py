@@ -1,4 +1,172 @@
-"""Queries on literal rows for operators whose text doesn't occur in the driver's tables."""
+"""Queries on literal rows or derived text, for operators whose input doesn't occur in the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import catalog, grading, imaging, integrity, joins, packaging
+from lectern.plans.queries import table
 
 Q: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+LEXICON = [
+    ("我", "L1", "wǒ", "I", "graded"), ("很", "L1", "hěn", "very", "graded"), ("快", "L1", "kuài", "fast", "graded"), ("聪明", "L2", "cōng ming", "clever", "graded"),
+    ("火山", "L3", "huǒ shān", "volcano", "graded"), ("第", "L1", "dì", "ordinal mark", "graded"), ("十", "L1", "shí", "ten", "graded"), ("一", "L1", "yī", "one", "graded"),
+    ("名", "L2", "míng", "name", "graded"), ("二", "L1", "èr", "two", "graded"), ("个", "L1", "gè", "measure word", "graded"), ("从前", "L3", "cóng qián", "once", "supplement"), ("没有", "L1", "méi yǒu", "not have", "graded"),
+]
+IDIOMS = ["一举两得"]
+TOKENS = ["聪明", "一举两得", "山", "第十一名", "十二个", "很快", "从没", "蟋蟀", "Latin", "我"]
+
+
+@query("SELECT * FROM (VALUES ('聪明', 'known'), ('一举两得', 'chengyu'), ('山', 'known'), ('第十一名', 'composed'), ('十二个', 'composed'), ('很快', 'composed'), ('从没', 'stretch'), ('蟋蟀', 'flagged'), ('Latin', NULL), ('我', 'known')) t(token, tier)")
+def tier_cascade(spark, d):
+    lexicon = spark.createDataFrame(LEXICON, "word string, level string, reading string, gloss string, source string")
+    idioms = spark.createDataFrame([(w,) for w in IDIOMS], "word string")
+    return grading.classify(spark.createDataFrame([(t,) for t in TOKENS], "token string"), lexicon, idioms).select("token", "tier")
+
+
+@query("SELECT * FROM (VALUES ('我'), ('很'), ('快'), ('聪明'), ('第'), ('十'), ('一'), ('名'), ('二'), ('个'), ('从前'), ('没有')) t(word)")
+def level_cap(spark, d):
+    lexicon = spark.createDataFrame(LEXICON, "word string, level string, reading string, gloss string, source string")
+    return grading.cap_level(lexicon, 2).select("word")
+
+
+@query("SELECT * FROM (VALUES ('hao3', 'hǎo'), ('lu:4', 'lǜ'), ('Zhong1', 'Zhōng'), ('gou3', 'gǒu'), ('gui4', 'guì'), ('de5', 'de'), ('r5', 'r'), ('xiong2', 'xióng'), ('1x', '1x')) t(syllable, marked)")
+def tone_marks(spark, d):
+    rows = spark.createDataFrame([(s,) for s in ("hao3", "lu:4", "Zhong1", "gou3", "gui4", "de5", "r5", "xiong2", "1x")], "syllable string")
+    return rows.select("syllable", T.tone_mark(F.col("syllable")).alias("marked"))
+
+
+@query("SELECT * FROM (VALUES (' .a/b:c?.epub', 'a_b_c_.epub'), ('...', 'book'), ('x' || chr(7) || 'y', 'xy'), ('end. ', 'end'), (repeat('A', 200), repeat('A', 100)), (repeat('é', 80), repeat('é', 50))) t(name, safe)")
+def safe_filename(spark, d):
+    rows = spark.createDataFrame([(s,) for s in (" .a/b:c?.epub", "...", "x\x07y", "end. ", "A" * 200, "é" * 80)], "name string")
+    return rows.select("name", T.safe_filename(F.col("name")).alias("safe"))
+
+
+@query("SELECT * FROM (VALUES (0, 'Ann - Tale.epub'), (1, 'Tale - Ann.epub'), (2, 'Tale.epub'), (3, 'Tale.epub')) t(layout, name)")
+def book_filename(spark, d):
+    rows = spark.createDataFrame([(0, "Ann"), (1, "Ann"), (2, "Ann"), (3, " ")], "layout int, author string")
+    title = F.lit("Tale")
+    name = F.when(F.col("layout") == 1, T.book_filename(F.col("author"), title, 1)).when(F.col("layout") == 2, T.book_filename(F.col("author"), title, 2)).otherwise(T.book_filename(F.col("author"), title, 0))
+    return rows.select("layout", name.alias("name"))
+
+
+@query("SELECT * FROM (VALUES ('a b%zz%41é|', 'a%20b%25zz%41%C3%A9%7C'), ('x', 'x'), ('<>', '%3C%3E')) t(url, safe)")
+def encode_url(spark, d):
+    rows = spark.createDataFrame([("a b%zz%41é|",), ("x",), ("<>",)], "url string")
+    return rows.select("url", T.encode_unsafe(F.col("url")).alias("safe"))
+
+
+@query("SELECT * FROM (VALUES ('h/base?q=1', 'p', 'http://h/base/p'), ('http://h/base/', '/r', 'http://h/r'), ('h', 'ftp://z/a b', 'ftp://z/a%20b'), ('h/x/', 'p', 'http://h/x/p'), ('h', '', 'http://h')) t(server, path, url)")
+def build_url(spark, d):
+    rows = spark.createDataFrame([("h/base?q=1", "p"), ("http://h/base/", "/r"), ("h", "ftp://z/a b"), ("h/x/", "p"), ("h", "")], "server string, path string")
+    return rows.select("server", "path", T.build_url(F.col("server"), F.col("path")).alias("url"))
+
+
+@query("SELECT n, CASE WHEN n <= 10 THEN ['零','一','二','三','四','五','六','七','八','九','十'][n + 1] WHEN n < 20 THEN '十' || ['一','二','三','四','五','六','七','八','九'][n - 10] ELSE n::VARCHAR END AS word FROM (SELECT n_nationkey AS n FROM nation)")
+def chinese_ordinal(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), T.ordinal_zh(F.col("n_nationkey")).alias("word"))
+
+
+@query("SELECT * FROM (VALUES ('HSK3', 3), ('bands 7-9', 9), ('', NULL), ('BOOK', NULL)) t(level, ceiling)")
+def level_ceiling(spark, d):
+    return spark.createDataFrame([("HSK3",), ("bands 7-9",), ("",), ("BOOK",)], "level string").select("level", T.level_ceiling(F.col("level")).alias("ceiling"))
+
+
+@query("SELECT * FROM (VALUES ('nǐ hǎo', 'nǐhǎo'), ('Běi jīng', 'Běi jīng')) t(reading, compact)")
+def compact_readings(spark, d):
+    return spark.createDataFrame([("nǐ hǎo",), ("Běi jīng",)], "reading string").select("reading", T.compact_reading(F.col("reading")).alias("compact"))
+
+
+@query("SELECT * FROM (VALUES ('2', 2), ('0', 1), ('x', 1), ('-3', 1), (NULL, 1)) t(query, page)")
+def page_numbers(spark, d):
+    return spark.createDataFrame([("2",), ("0",), ("x",), ("-3",), (None,)], "query string").select("query", T.page_number(F.col("query")).alias("page"))
+
+
+@query("SELECT * FROM (VALUES ('a.PNG', 'image', false), ('b.epub', 'epub', false), ('c.d.pdf', 'pdf', false), ('.x.bmp', 'image', false), ('s.BMP', 'image', true), ('none', 'other', false)) t(path, route, sleeps)")
+def suffix_routes(spark, d):
+    rows = spark.createDataFrame([(p,) for p in ("a.PNG", "b.epub", "c.d.pdf", ".x.bmp", "s.BMP", "none")], "path string")
+    return rows.select("path", T.suffix_route(F.col("path")).alias("route"), T.sleep_scan_accepts(F.col("path")).alias("sleeps"))
+
+
+@query("SELECT * FROM (VALUES (1, [0, 200], true), (8, [0, 85, 170, 255], true), (8, [20, 60], false), (8, [21, 64], true)) t(bpp, lum, native)")
+def native_palettes(spark, d):
+    rows = spark.createDataFrame([(1, [0, 200]), (8, [0, 85, 170, 255]), (8, [20, 60]), (8, [21, 64])], "bpp int, lum array<int>")
+    return rows.select("bpp", "lum", T.native_palette(F.col("bpp"), F.col("lum")).alias("native"))
+
+
+_OPF = '<package><manifest><item id="a" href="a.xhtml" media-type="x"/><item href="b.xhtml" id="b" media-type="y"/></manifest><spine><itemref idref="a"/><itemref idref="zz"/></spine></package>'
+
+
+@query("SELECT * FROM (VALUES (1, 'dangling zz'), (2, 'empty spine')) t(book, error)")
+def spine_errors(spark, d):
+    return integrity.spine_errors(spark.createDataFrame([(1, _OPF), (2, "<package><manifest/><spine/></package>")], "book int, opf string"), "book", "opf")
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 'a.xhtml', 'x'), (1, 'b', 'b.xhtml', 'y')) t(book, item, href, media_type)")
+def manifest_items(spark, d):
+    return integrity.parse_manifest(spark.createDataFrame([(1, _OPF)], "book int, opf string"), "book", "opf")
+
+
+@query("SELECT * FROM (VALUES ('ok', 10, 4, false, 4, 8, NULL), ('short', NULL, NULL, NULL, NULL, NULL, 'too short'), ('cut', 10, 4, false, 4, 8, 'truncated'), ('png', NULL, NULL, NULL, NULL, NULL, 'not a bitmap')) t(name, width, height, top_down, bpp, row_bytes, error)")
+def bitmap_headers(spark, d):
+    import numpy as np
+
+    good = imaging.encode_bmp4(np.arange(40) % 4, 10, 4)
+    rows = [("ok", bytearray(good)), ("short", bytearray(b"BM")), ("cut", bytearray(good[:-3])), ("png", bytearray(b"\x89PNG" + bytes(60)))]
+    return imaging.bmp_header(spark.createDataFrame(rows, "name string, content binary"), "name", "content")
+
+
+@query("SELECT * FROM (VALUES ('a', 'fill'), ('wide', 'mat'), ('close', 'fill')) t(name, fit)")
+def fill_or_mat(spark, d):
+    rows = spark.createDataFrame([("a", 1056, 1584), ("wide", 2400, 1000), ("close", 540, 792)], "name string, w int, h int")
+    return rows.select("name", imaging.fill_or_mat(F.col("w"), F.col("h")).alias("fit"))
+
+
+@query("""SELECT '<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><id>urn:all</id><title>All</title><updated>1970-01-01T00:01:40Z</updated><entry>a</entry><entry>b</entry></feed>' AS xml""")
+def feed_document(spark, d):
+    rows = spark.createDataFrame([("<entry>b</entry>", 100.9, 2), ("<entry>a</entry>", 7.0, 1)], "entry string, mtime double, rn int")
+    return catalog.feed(rows, "urn:all", "All", "rn")
+
+
+_FEED = '<feed><link rel="next" href="/p2"/><entry><title>A &amp; B</title><id>1</id><author><name>Ann</name></author><link type="application/epub+zip" rel="http://opds-spec.org/acquisition" href="/a"/></entry><entry><title>Nav</title><id>2</id><link type="application/atom+xml" href="/n"/></entry><entry><title>No link</title></entry></feed>'
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'book', 'A & B', 'Ann', '/a', '1', '/p2'), (1, 1, 'navigation', 'Nav', '', '/n', '2', '/p2')) t(feed_id, pos, kind, title, author, href, id, next)")
+def feed_parser(spark, d):
+    return packaging.parse_feed(spark.createDataFrame([(1, _FEED)], "feed_id int, xml string"), "feed_id", "xml")
+
+
+@query("SELECT * FROM (VALUES (1, 'Tale', 'Ann', 'en'), (2, NULL, NULL, NULL)) t(file, title, author, language)")
+def epub_metadata(spark, d):
+    book = packaging.epub_bytes("Tale", "Ann", "en", [("One", "<p>x</p>")])
+    return packaging.epub_metadata(spark.createDataFrame([(1, bytearray(book)), (2, bytearray(b"no archive"))], "file int, content binary"), "file", "content")
+
+
+@query("SELECT * FROM (VALUES ('# T\n\n**a** *b*\n\n<c>', '<h1>T</h1>\n<p><strong>a</strong> <em>b</em></p>\n<p>&lt;c&gt;</p>')) t(md, html)".replace("\n", "' || chr(10) || '"))
+def chapter_html(spark, d):
+    rows = spark.createDataFrame([("# T\n\n**a** *b*\n\n<c>",)], "md string")
+    return rows.select("md", packaging.chapter_html(F.col("md")).alias("html"))
+
+
+@query("SELECT * FROM (VALUES ('<think>x</think>```md\nbody\n```', 'body'), ('plain', 'plain')) t(raw, body)".replace("\n", "' || chr(10) || '"))
+def fence_strip(spark, d):
+    return spark.createDataFrame([("<think>x</think>```md\nbody\n```",), ("plain",)], "raw string").select("raw", T.without_fences(F.col("raw")).alias("body"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS hits FROM documents")
+def literal_occurrences(spark, d):
+    return table(spark, d, "documents").select("doc_id", joins.occurrences(F.col("text"), F.lit("the")).alias("hits"))
