@@ -90,12 +90,12 @@ class CrossParser:
             # where no move leads on, a phrase ends; the next one begins with this symbol
             fresh = flat[base + c]
             go = np.where(stop, fresh, go)
-            count[:, :m] += stop
+            count[:, :m] += stop & (state[:, :m] != base)  # no phrase is open at the root
             lost = go < 0  # the symbol occurs nowhere: it is a phrase of its own
-            count[:, :m] += lost & stop
+            count[:, :m] += lost
             state[:, :m] = np.where(lost, base, go)
         out = np.empty((len(lanes), k))
-        out[order] = (count + 1).T  # the phrase that the lane's end closes
+        out[order] = (count + (state != base)).T  # the phrase that the lane's end closes
         return out
 
 
