@@ -2,8 +2,9 @@
 
 A document's full sequences stand alone. Its rest of r tokens goes to the fill level h
 for which the sum over levels of (open sequences at that level) squared grows least; a
-level array counts the open sequences. Equivalent, and used here: minimise
-count[h + r] - count[h], where level 0 (a new sequence) and the full level count none.
+level array counts the open sequences. Moving a sequence from h to h + r changes the sum
+by 2 (count[h + r] - count[h]) + 2; a new sequence and one that gets full change one
+term only, as level 0 and the full level count none.
 
 Each task packs the rows of its own partition with its own level array, so nothing is
 shuffled and memory holds only the open sequences. When a task ends, what is still open
@@ -56,12 +57,12 @@ class SumOfSquares:
         if not rest:
             return
         count = self.levels
-        gain = count[rest:] - count[: step + 1 - rest]
+        gain = 2 * (count[rest:] - count[: step + 1 - rest]) + 2  # how the sum of squares changes
         # a level without an open sequence can't take it; a new sequence (level 0) always can
         gain = np.where(count[: step + 1 - rest] > 0, gain, np.iinfo(np.int64).max)
-        gain[0] = count[rest] if rest < step else 0
+        gain[0] = 2 * count[rest] + 1
         if count[step - rest]:
-            gain[step - rest] = -count[step - rest]
+            gain[step - rest] = 1 - 2 * count[step - rest]  # it is filled and counts no more
         level = int(np.argmin(gain))
         piece = (doc_id, whole, ids[whole * 4 :], total)
         pieces = [piece]

@@ -1,5 +1,5 @@
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -11,8 +11,11 @@ from lectern.llm.tokens import tokenizer
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return np.array([*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def test_memo_gives_the_librarys_ids(odd_docs):
@@ -25,7 +28,6 @@ def test_memo_gives_the_librarys_ids(odd_docs):
 def test_packing_covers_every_id(odd_docs, rng_docs, no_docs):
     for docs in (odd_docs, rng_docs):
         rows = packing.pack(docs, PATH, capacity=64).collect()
-        want = Counter(zlib.crc32(ids_of(r.text)[a : a + 1]) for r in docs.collect() for a in [0])
         pieces = defaultdict(list)
         for r in rows:
             pieces[r.doc_id].append(r)
@@ -48,7 +50,6 @@ def test_packing_covers_every_id(odd_docs, rng_docs, no_docs):
                 assert p.offset == at
                 at += p.length
             assert at == 64 or at & (at - 1) == 0  # no padding
-        assert want
     assert packing.pack(no_docs, PATH).count() == 0
 
 
@@ -85,7 +86,8 @@ def test_huffman_lengths_are_optimal_and_limited():
             s = heapq.heappop(heap) + heapq.heappop(heap)
             total += s
             heapq.heappush(heap, s)
-        assert (counts * lengths).sum() == total  # the unlimited optimum, as no length reaches 16 here
+        assert (counts * huffman.code_lengths(counts, 40)).sum() == total  # 40 bits limit nothing here
+        assert lengths.max() <= 16 and (counts * lengths).sum() >= total
         short = huffman.code_lengths(counts, max(2, (n - 1).bit_length()))
         assert short.max() <= max(2, (n - 1).bit_length()) and sum(2.0 ** -short) <= 1
     assert huffman.code_lengths(np.array([5])).tolist() == [1]
