@@ -30,6 +30,7 @@ ORDER, SPAN, DECAY, BITS = 4, 7, 0.7, 5
 PATTERNS = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)]
 _BLOCK = 1 << 16
 WINDOW = 48
+LEAST_EVIDENCE = 6.0
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,9 +117,14 @@ class ToxicityModel:
     offset: float
 
     def sentence_scores(self, sym: np.ndarray, sentences: np.ndarray) -> np.ndarray:
-        running = np.concatenate([[0.0], np.cumsum(position_values(sym, self.weights), dtype=np.float64)])
-        start, stop = sentences[:, 0], sentences[:, 1]
-        return running[stop] - running[start] + self.per_symbol * (stop - start) + self.bias
+        """In blocks of sentences, so that memory doesn't follow the text's length."""
+        out = np.zeros(len(sentences))
+        for at in range(0, len(sentences), 20_000):
+            start, stop = sentences[at : at + 20_000, 0], sentences[at : at + 20_000, 1]
+            base = start[0]
+            running = np.concatenate([[0.0], np.cumsum(position_values(sym[base : stop.max() + SPAN], self.weights), dtype=np.float64)])
+            out[at : at + len(start)] = running[stop - base] - running[start - base] + self.per_symbol * (stop - start) + self.bias
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of label 1 for each text: from its highest-scoring sentence."""
@@ -141,35 +147,53 @@ def _phi_rows(sym: np.ndarray, lengths: list[int], slot: np.ndarray, width: int)
     return out.reshape(len(lengths), width)
 
 
-def _landmarks(sym: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray, how_many: int, size: int = 5) -> list[np.ndarray]:
-    """Letter strings of ``size`` symbols, by log odds times the share of toxic documents that have them."""
-    code = np.zeros(len(sym) - size + 1, dtype=np.int64)
-    letters = np.zeros(len(code), dtype=np.int8)
-    for k in range(size):
-        code = (code << BITS) | sym[k : len(code) + k]
-        letters += sym[k : len(code) + k] > 0
-    doc = doc_of[: len(code)]
-    ok = letters >= ORDER
-    pairs = np.unique(code[ok] * len(toxic) + doc[ok])
-    code, is_toxic = pairs // len(toxic), toxic[pairs % len(toxic)]
-    codes, index = np.unique(code, return_inverse=True)
-    t = np.bincount(index, weights=is_toxic)
-    c = np.bincount(index) - t
+def _landmarks(sym: np.ndarray, ends: np.ndarray, toxic: np.ndarray, how_many: int, size: int = 5) -> list[np.ndarray]:
+    """Letter strings of ``size`` symbols, by log odds times the share of toxic documents that have them.
+
+    Documents end at ``ends``; their strings are counted in blocks of documents.
+    """
+    codes, t, c = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    for at in range(0, len(ends), 200):
+        last = min(at + 200, len(ends))
+        begin = ends[at - 1] if at else 0
+        part = sym[begin : ends[last - 1]]
+        if len(part) < size:
+            continue
+        code = np.zeros(len(part) - size + 1, dtype=np.int64)
+        letters = np.zeros(len(code), dtype=np.int8)
+        for k in range(size):
+            code = (code << BITS) | part[k : len(code) + k]
+            letters += part[k : len(code) + k] > 0
+        doc = np.searchsorted(ends[at:last] - begin, np.arange(len(code)), side="right")
+        pairs = np.unique(code[letters >= ORDER] * 256 + doc[letters >= ORDER])
+        own, index = np.unique(pairs >> 8, return_inverse=True)
+        hit = np.bincount(index, weights=toxic[at:last][pairs & 255], minlength=len(own))
+        codes, index = np.unique(np.concatenate([codes, own]), return_inverse=True)
+        grown = np.bincount(index, weights=np.concatenate([t, hit]), minlength=len(codes))
+        c = np.bincount(index, weights=np.concatenate([c, np.bincount(np.searchsorted(own, pairs >> 8), minlength=len(own)) - hit]), minlength=len(codes))
+        t = grown
     n_t, n_c = toxic.sum(), len(toxic) - toxic.sum()
     odds = np.log((t + 0.5) / (n_t + 1)) - np.log((c + 0.5) / (n_c + 1))
-    rank = np.lexsort((codes, -(odds * np.sqrt(t) * (odds > 0))))[:how_many]
+    evidence = odds * np.sqrt(t) * (odds > 0)
+    rank = np.lexsort((codes, -evidence))[:how_many]
+    rank = rank[: max(16, int((evidence[rank] >= LEAST_EVIDENCE).sum()))]  # strings that a few documents share by chance only add noise
     return [np.array([(codes[r] >> BITS * (size - 1 - k)) & 31 for k in range(size)], dtype=np.uint8) for r in rank if t[r] >= 2]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Squared-hinge linear SVM by Newton steps; the last column (the bias) is hardly penalised."""
+    """Squared-hinge linear SVM by Newton steps over blocks of rows; the last column (the bias) is hardly penalised."""
     w = np.zeros(x.shape[1])
     ridge = np.ones(x.shape[1])
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa = x[active]
-        new = np.linalg.solve(np.diag(ridge) + (xa * cost[active, None]).T @ xa, (xa * cost[active, None]).T @ y[active])
+        left, right = np.diag(ridge), np.zeros(len(w))
+        for at in range(0, len(x), 2000):
+            part, goal = x[at : at + 2000].astype(np.float64), y[at : at + 2000]
+            active = goal * (part @ w) < 1
+            part, goal, c = part[active], goal[active], cost[at : at + 2000][active]
+            left += (part * c[:, None]).T @ part
+            right += part.T @ (c * goal)
+        new = np.linalg.solve(left, right)
         step = np.abs(new - w).max()
         w = new if step > 1e-9 else w
         if step < 1e-6:
@@ -219,9 +243,13 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
     flat = ToxicityModel(np.zeros(1 << BITS * ORDER, np.float32), 0.0, 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     if len(np.unique(y)) < 2:
         return flat
-    sym, sentences, sentence_doc = symbols(texts)
-    doc_of = np.repeat(np.arange(len(texts)), [len(t or "") + SPAN for t in texts])
-    marks = _landmarks(sym, doc_of, y, landmarks)
+    parts = [symbols(texts[at : at + 200]) for at in range(0, len(texts), 200)]
+    bases = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+    sym = np.concatenate([p[0] for p in parts])
+    sentences = np.concatenate([p[1] + b for p, b in zip(parts, bases, strict=False)])
+    sentence_doc = np.concatenate([p[2] + 200 * k for k, p in enumerate(parts)])
+    del parts
+    marks = _landmarks(sym, np.cumsum([len(t or "") + SPAN for t in texts]), y, landmarks)
     if not marks:
         return flat
     z = np.concatenate([np.concatenate([m, np.zeros(SPAN, np.uint8)]) for m in marks])
@@ -252,16 +280,16 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
         picked = order[(toxic & ((place < 1) | ((place < 5) & (f[order] > 0 if turn else place < 3)))) | (~toxic & ((place < 2) | (order % 37 == turn)))]
         pieces = [sym[a:b] for a, b in sentences[picked]]
         hits = y[sentence_doc[picked]] == 1
-        spread = [p for n, piece in enumerate(pieces) if hits[n] for p in _spread(piece, model.weights, n)] if turn else []
+        spread = [p for n, piece in enumerate(pieces) if hits[n] and n % 3 == turn for p in _spread(piece, model.weights, n)] if turn else []
         sign = np.concatenate([np.where(hits, 1.0, -1.0), np.ones(len(spread))])
         cost = np.concatenate([np.where(hits, 50.0, 20.0), np.full(len(spread), 5.0)])
         pieces += spread
-        feats = []
-        for at in range(0, len(pieces), 500):
-            some = [np.concatenate([p, np.zeros(SPAN, np.uint8)]) for p in pieces[at : at + 500]]
+        x = np.ones((len(pieces), root.shape[1] + 2), np.float32)
+        for at in range(0, len(pieces), 200):
+            some = [np.concatenate([p, np.zeros(SPAN, np.uint8)]) for p in pieces[at : at + 200]]
             phi = _phi_rows(np.concatenate(some), [len(p) for p in some], slot, len(z_codes))
-            feats.append(phi @ phi_z.T @ root)
-        x = np.column_stack([np.concatenate(feats), [len(p) / 100.0 for p in pieces], np.ones(len(pieces))])
+            x[at : at + 200, :-2] = phi @ phi_z.T @ root
+            x[at : at + 200, -2] = [len(p) / 100.0 for p in some]
         w = _svm(x, sign, cost)
         model = ToxicityModel(table(root @ w[:-2]), float(w[-2] / 100.0), float(w[-1]), 1.0, 0.0)
     best = np.full(len(texts), -np.inf)
