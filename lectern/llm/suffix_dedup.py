@@ -36,8 +36,10 @@ from lectern.llm.shared import materialise, slices, text_bytes
 
 GRAM = 16
 LAST = (1 << 63) - 1
-BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BATCH_BYTES = 1 << 20
+BUCKET_BYTES = 4 << 20
+#: Windows sorted together, up to the end of the gram they end in (bounds a task's memory).
+SORT_WINDOWS = 250_000
 _BLOCK = 1 << 17
 _U = np.uint64
 
@@ -99,7 +101,7 @@ def runs(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.
         firsts.append(start[ok[new]])
         counts.append(np.diff(np.append(new, len(ok))))
         places.append(p[new] + at)
-        hashes.append(h[p[new]])
+        hashes.append(_mix(h[p[new]] * _U(_BASE)))  # chosen for being small, so mixed anew for the buckets
     if not firsts:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
@@ -358,14 +360,25 @@ def _least_documents(size: int):
         begin = np.cumsum(window + size - 1) - (window + size - 1)
         gram = np.ascontiguousarray(data[(begin + offset)[:, None] + np.arange(GRAM)]).view("V16").reshape(-1)
         _, gram = np.unique(gram, return_inverse=True)
-        of = np.repeat(np.arange(len(window)), window)
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(window) - window, window)
-        result = doc[of]
-        # a gram with one context has nothing to compare
-        several = np.flatnonzero((np.bincount(gram) > 1)[gram][of])
-        group = gram[of[several]] * 64 + offset[of[several]] - inside[several]
-        result[several] = least_documents(data, begin[of[several]] + inside[several], group, result[several], size)
+        result = np.repeat(doc, window)
         heads = np.cumsum(window) - window
+        # a gram with one context has nothing to compare
+        several = np.flatnonzero((np.bincount(gram) > 1)[gram]) if len(gram) else gram
+        several = several[np.argsort(gram[several], kind="stable")]
+        upto = np.cumsum(window[several])
+        at = 0
+        while at < len(several):
+            stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SORT_WINDOWS))
+            stop = int(np.searchsorted(gram[several], gram[several[min(stop, len(several) - 1)]], side="right"))
+            mine = several[at:stop]
+            w, length = window[mine], window[mine] + size - 1
+            local = np.cumsum(length) - length
+            part = data[np.repeat(begin[mine] - local, length) + np.arange(length.sum())]
+            inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            group = np.repeat(gram[mine] * 64 + offset[mine], w) - inside
+            least_of = least_documents(part, np.repeat(local, w) + inside, group, np.repeat(doc[mine], w), size)
+            result[np.repeat(heads[mine], w) + inside] = least_of
+            at = stop
         out = []
         for use in uses:
             w = window[use]
