@@ -4,10 +4,11 @@ A document's set holds the 64-bit hashes of its five-word shingles. One hash per
 fills all bins (its high bits choose the bin); empty bins borrow by optimal densification
 (a fixed probe sequence per bin). Equal sets collapse to one node first, so copies never
 meet again. Bands of bins give bucket keys. In each round every bucket that still holds
-several components offers one centre, drawn by a hash of the round, and only the edges
-between it and members of other components: at most as many edges as members. The pairs
-are checked on the full sets. Rounds go on until buckets offer nothing new or two
-successive rounds confirm no link.
+several components offers one centre and only the edges between it and members of other
+components: at most as many edges as members. The centre is the member that shares its
+buckets with most others (an original among its edited copies), as it is the likeliest to
+be linked with the rest. The pairs are checked on the full sets. A centre leaves its
+bucket, which then offers the next one, until a round confirms no link.
 
 Skew: buckets are reduced to (count, centre) by aggregates that combine before the
 shuffle and joined back, a join that adaptive execution may split; no group is gathered
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import ensure_columns, materialise, slices, text_bytes
+from lectern.llm.shared import bucketed, ensure_columns, materialise, slices, text_bytes
 
 BINS = 256
 #: (rows, least set size, most set size): sets under 134 shingles, where few bins are
@@ -189,8 +190,9 @@ def _agreement(x: str, y: str):
 
 
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, comp) after joining the components that ``links`` (a, b) connect; the smallest id names each."""
-    la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+    """``labels`` (node, comp, more) after joining the components that ``links`` (a, b) connect; the smallest id names each."""
+    rest = [c for c in labels.columns if c != "comp"]
+    la, lb = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     edges = links.join(la, "a").join(lb, "b").where("ca <> cb").select(F.col("ca").alias("x"), F.col("cb").alias("y")).distinct()
     edges = materialise(edges, "contracted")
     roots: DataFrame | None = None
@@ -215,7 +217,7 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
         edges = materialise(edges.join(sx, "x").join(sy, "y").where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "contracted")
     if roots is None:
         return labels
-    return materialise(labels.join(roots.toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+    return materialise(labels.join(roots.toDF("comp", "root"), "comp", "left").select(*rest, F.coalesce("root", "comp").alias("comp")), "labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -230,49 +232,48 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = ensure_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sketch = materialise(docs.mapInArrow(_sketch, _SKETCH), "sketch")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    owners = sketch.where("n_shingles > 0").groupBy("set_id").agg(best.alias("o")).select("set_id", F.col("o.uid").alias("node"), F.col("o.doc_id").alias("doc_id"))
-    owners = materialise(owners, "owners")
+    owners = sketch.where("n_shingles > 0").groupBy("set_id").agg(best.alias("o"), F.first("n_shingles").alias("size"))
+    owners = materialise(owners.select("set_id", F.col("o.uid").alias("node"), F.col("o.doc_id").alias("doc_id"), "size"), "owners")
     own = owners.select(F.col("node").alias("uid"))
-    postings = sketch.join(own, "uid", "left_semi").select(F.col("uid").alias("node"), F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    postings = materialise(postings.join(shared, "key"), "postings")
+    postings = sketch.join(own.hint("merge"), "uid", "left_semi").select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
+    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    postings = materialise(postings.join(shared.hint("merge"), "key"), "postings")
+    ranks = postings.groupBy("node").agg((-F.sum("n")).alias("rank"))
     signatures = sketch.select(F.col("uid").alias("node"), "signature")
-    labels = materialise(postings.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
-    tested = sets = None
-    idle = turn = 0
-    while idle < 2:
+    labels = materialise(ranks.select("node", "rank", F.col("node").alias("comp")), "labels")
+    postings = postings.drop("n")
+    # the sets of all nodes that share a key, once; repeated ids are told apart by the set
+    wanted = owners.join(labels.select("node"), "node")
+    found = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "set_id", "text")
+    sets = bucketed(found.mapInArrow(_sets, "node long, shingles binary"), "sets", "node")
+    tested = None
+    while True:
         held = postings.join(labels, "node")
-        draw = F.min(F.struct(F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("node"), F.col("node").alias("n"), "comp"))
+        draw = F.min(F.struct("rank", "node", "comp", "size"))
         centres = held.groupBy("key").agg(draw.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        centres = centres.select("key", F.col("c.n").alias("centre"), F.col("c.comp").alias("centre_comp"))
-        offered = held.join(centres, "key").where("comp <> centre_comp")
-        edges = offered.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        centres = centres.select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size"))
+        # sets whose sizes are too far apart can't be similar
+        offered = held.join(centres, "key").where(f"comp <> centre_comp and 100 * least(size, centre_size) >= {int(percent)} * greatest(size, centre_size)")
+        edges = offered.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.least("size", "centre_size").alias("size")).distinct()
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = materialise(edges, "edges")
         if edges.isEmpty():
             break
-        tested = edges if tested is None else tested.unionByName(edges)
+        tested = edges.select("a", "b") if tested is None else tested.unionByName(edges.select("a", "b"))
         near = edges.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
-        # 0.75 agrees in 48 of 64 places on average, with a deviation of 3.5; five deviations below it, pairs are far apart
-        near = materialise(near.where(_agreement("sa", "sb") >= int(SIGNATURE * percent / 100 - 17)).select("a", "b"), "near")
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets, "node", "left_anti")
-        wanted = materialise(wanted.join(owners, "node"), "wanted")
-        if not wanted.isEmpty():
-            # repeated ids are told apart by the set; a node's copies give its set more than once
-            found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "set_id", "text")
-            found = materialise(found.mapInArrow(_sets, "node long, shingles binary"), "sets")
-            sets = found if sets is None else sets.unionByName(found)
+        # at the least similarity 0.75 of the places agree, with a deviation of 3.5 of 64; five deviations
+        # below, pairs are far apart. Small sets fill few bins, agree less regularly, and are all checked.
+        near = materialise(near.where((F.col("size") < SCHEMES[0][2]) | (_agreement("sa", "sb") >= int(SIGNATURE * percent / 100 - 17))).select("a", "b"), "near")
         pairs = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         links = materialise(pairs.mapInArrow(_similar(percent), "a long, b long"), "links")
-        idle = idle + 1 if links.isEmpty() else 0
+        if links.isEmpty():
+            break
         labels = merge_components(labels, links)
         # a centre has now met all others of its bucket
-        postings = materialise(postings.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").join(centres.select("key"), "key", "left_semi"), "postings")
-        turn += 1
-    nodes = owners.join(labels, "node", "left").select("set_id", "doc_id", F.coalesce("comp", "node").alias("comp"))
+        left = postings.join(centres.select("key", "centre"), "key").where("node <> centre").drop("centre")
+        postings = materialise(left, "postings")
+    nodes = owners.join(labels.select("node", "comp"), "node", "left").select("set_id", "doc_id", F.coalesce("comp", "node").alias("comp"))
     first = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = materialise(nodes.join(first, "comp").select("set_id", "component_id"), "classes")
     rows = sketch.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")

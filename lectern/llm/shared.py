@@ -41,6 +41,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As materialise(), bucketed by ``key``: later joins on it move only their other side."""
+    spark = df.sparkSession
+    name = f"lectern_{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(buckets, key)
+    rows.write.option("compression", "zstd").option("path", f"{work_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def ensure_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, by exact name, whatever else the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])
