@@ -8,7 +8,9 @@ several components offers one centre and only the edges between it and members o
 components: at most as many edges as members. The centre is the member that shares its
 buckets with most others (an original among its edited copies), as it is the likeliest to
 be linked with the rest. The pairs are checked on the full sets. A centre leaves its
-bucket, which then offers the next one, until a round confirms no link.
+bucket. Later rounds offer twice as many centres each, whether or not links were found,
+until no bucket holds two components: all pairs that share a bucket are then linked or
+tested, in as many rounds as the largest bucket's size has bits.
 
 Skew: buckets are reduced to (count, centre) by aggregates that combine before the
 shuffle and joined back, a join that adaptive execution may split; no group is gathered
@@ -246,33 +248,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     wanted = owners.join(labels.select("node"), "node")
     found = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "set_id", "text")
     sets = bucketed(found.mapInArrow(_sets, "node long, shingles binary"), "sets", "node")
-    tested = None
+    tested, width = None, 1
     while True:
         held = postings.join(labels, "node")
         draw = F.min(F.struct("rank", "node", "comp", "size"))
-        centres = held.groupBy("key").agg(draw.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        centres = centres.select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size"))
+        live = held.groupBy("key").agg(draw.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        live = materialise(live.select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size"), "n"), "live")
+        if live.isEmpty():
+            break
+        centres = live.drop("n")
+        if width > 1:  # about width - 1 further members, all of them where a bucket holds no more
+            drawn = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) * F.col("n") < (width - 1) << 20
+            more = held.join(live.select("key", "centre", "n"), "key").where((F.col("node") != F.col("centre")) & drawn)
+            centres = materialise(centres.unionByName(more.select("key", F.col("node").alias("centre"), F.col("comp").alias("centre_comp"), F.col("size").alias("centre_size"))), "centres")
         # sets whose sizes are too far apart can't be similar
         offered = held.join(centres, "key").where(f"comp <> centre_comp and 100 * least(size, centre_size) >= {int(percent)} * greatest(size, centre_size)")
         edges = offered.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.least("size", "centre_size").alias("size")).distinct()
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = materialise(edges, "edges")
-        if edges.isEmpty():
-            break
-        tested = edges.select("a", "b") if tested is None else tested.unionByName(edges.select("a", "b"))
-        near = edges.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
-        # at the least similarity 0.75 of the places agree, with a deviation of 3.5 of 64; five deviations
-        # below, pairs are far apart. Small sets fill few bins, agree less regularly, and are all checked.
-        near = materialise(near.where((F.col("size") < SCHEMES[0][2]) | (_agreement("sa", "sb") >= int(SIGNATURE * percent / 100 - 17))).select("a", "b"), "near")
-        pairs = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        links = materialise(pairs.mapInArrow(_similar(percent), "a long, b long"), "links")
-        if links.isEmpty():
-            break
-        labels = merge_components(labels, links)
+        if not edges.isEmpty():
+            tested = edges.select("a", "b") if tested is None else tested.unionByName(edges.select("a", "b"))
+            near = edges.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
+            # at the least similarity 0.75 of the places agree, with a deviation of 3.5 of 64; five deviations
+            # below, pairs are far apart. Small sets fill few bins, agree less regularly, and are all checked.
+            near = materialise(near.where((F.col("size") < SCHEMES[0][2]) | (_agreement("sa", "sb") >= int(SIGNATURE * percent / 100 - 17))).select("a", "b"), "near")
+            pairs = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+            links = materialise(pairs.mapInArrow(_similar(percent), "a long, b long"), "links")
+            if not links.isEmpty():
+                labels = merge_components(labels, links)
         # a centre has now met all others of its bucket
-        left = postings.join(centres.select("key", "centre"), "key").where("node <> centre").drop("centre")
+        left = postings.join(live.select("key"), "key", "left_semi").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
         postings = materialise(left, "postings")
+        width *= 2
     nodes = owners.join(labels.select("node", "comp"), "node", "left").select("set_id", "doc_id", F.coalesce("comp", "node").alias("comp"))
     first = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = materialise(nodes.join(first, "comp").select("set_id", "component_id"), "classes")

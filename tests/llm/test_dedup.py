@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from lectern.llm import chunk_dedup, exact_dedup, minhash, suffix_dedup
 
@@ -80,6 +81,25 @@ def test_near_odd_rows(odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_near_pairs_behind_other_centres(spark, monkeypatch):
+    """One bucket holds a family whose first centres resemble nobody enough; its pairs are found all the same."""
+    sketch = minhash._sketch
+
+    def one_bucket(batches):
+        for b in sketch(batches):
+            yield b.set_column(4, "keys", pa.array([[1]] * b.num_rows, pa.list_(pa.int64())))
+
+    monkeypatch.setattr(minhash, "_sketch", one_bucket)
+    slots = [[f"s{i}v{a}w{k}" for k in range(10)] for i in range(16) for a in range(2)]
+    picks = np.random.default_rng(5).integers(0, 2, (14, 16)).tolist()
+    picks += [[1 - v if i == 0 else v for i, v in enumerate(picks[d])] for d in (9, 12)]
+    rows = [(d, " ".join(w for i, a in enumerate(p) for w in slots[2 * i + a])) for d, p in enumerate(picks)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_components(docs.collect())
+    assert want[14][1] == 9 and want[15][1] == 12 and len({c for _, c in want.values()}) == 14
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == want
+
+
 def test_densified_bins_agree_as_sets_do():
     rng = np.random.default_rng(0)
     hits = []
