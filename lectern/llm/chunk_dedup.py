@@ -3,7 +3,9 @@
 A gear hash rolls over the UTF-8 bytes; where it falls under a bound, a chunk ends. As a
 cut depends only on the last bytes, an insertion moves chunk borders nearby and no
 others. A chunk whose digest also occurs in a document with a smaller id is a duplicate;
-neighbouring duplicates form runs, and runs of at least ``least_run`` bytes are removed.
+neighbouring duplicates form runs, and runs of at least ``least_run`` bytes are removed;
+with ``whole_copies`` a document whose every chunk is a duplicate goes whole, however short. Chunks are small
+against the run, so that a repeated passage loses little at its two ends.
 
 Each digest is reduced to the smallest and largest document id by an aggregate that
 combines before the shuffle; only digests found in several documents are joined back, a
@@ -47,7 +49,7 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(data: bytes, least: int = 16, usual: int = 48, most: int = 512) -> list[int]:
+def cut_points(data: bytes, least: int = 8, usual: int = 20, most: int = 512) -> list[int]:
     """Ends of the chunks of ``data``; the last is its length."""
     n = len(data)
     if not n:
@@ -118,7 +120,7 @@ def _runs(least_run: int):
     return run
 
 
-def chunk_duplicates(docs: DataFrame, least_run: int = 80, least: int = 16, usual: int = 48, most: int = 512) -> DataFrame:
+def chunk_duplicates(docs: DataFrame, least_run: int = 80, least: int = 8, usual: int = 20, most: int = 512, whole_copies: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_chunks, n_dup_chunks, n_removed, n_spans, spans (start, length in bytes).
 
     Only repeats from a document with a smaller doc_id are removed; repeats inside one
@@ -137,6 +139,9 @@ def chunk_duplicates(docs: DataFrame, least_run: int = 80, least: int = 16, usua
     out = table.select("uid", "doc_id", "n_bytes", F.size("starts").alias("n_chunks")).join(spans, "uid", "left")
     none = F.array().cast("array<struct<start:int,length:int>>")
     out = out.withColumn("spans", F.coalesce("spans", none)).withColumn("n_dup_chunks", F.coalesce("n_dup_chunks", F.lit(0)))
+    if whole_copies:
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("length")))
+        out = out.withColumn("spans", F.when((F.col("n_chunks") > 0) & (F.col("n_dup_chunks") == F.col("n_chunks")), whole).otherwise(F.col("spans")))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])
     return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_chunks", "n_dup_chunks", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans")
 

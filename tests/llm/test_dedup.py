@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from lectern.llm import chunk_dedup, exact_dedup, minhash, suffix_dedup
+from tests.llm.conftest import prose
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -191,3 +192,16 @@ def test_chunk_duplicates(rng_docs, odd_docs, no_docs):
     cut = {r.doc_id: r.text for r in chunk_dedup.cut_documents(odd_docs).collect()}
     assert cut[5] == "" and cut[9] == "one two" and cut[3] is None
     assert chunk_dedup.chunk_duplicates(no_docs).count() == 0
+
+
+def test_chunks_find_short_passages_and_copies(spark, odd_docs):
+    """Passages of 260 bytes in two contexts each, and copies of documents shorter than a run."""
+    rows = []
+    for i in range(300):
+        passage = prose(7000 + i, 60)[:260]
+        rows += [(2 * i + k, prose(8000 + 2 * i + k, 30) + " " + passage + " " + prose(9000 + 2 * i + k, 30)) for k in range(2)]
+    got = {r.doc_id: r for r in chunk_dedup.chunk_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1].n_removed > 0 for i in range(300)) >= 297
+    assert all(got[2 * i].n_removed == 0 for i in range(300))
+    odd = {r.doc_id: r for r in chunk_dedup.chunk_duplicates(odd_docs, whole_copies=True).collect()}
+    assert odd[9].n_removed == 0 and odd[10].n_removed == odd[10].n_bytes == 7 and odd[10].n_spans == 1
