@@ -1,5 +1,8 @@
 """Values that define results: word lists, character sets, limits."""
 
+# White space and line ends as the engine counts them (bodies of character classes).
+WHITE = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 # Stop words by language, in the order that breaks ties of the vote.
 STOPWORDS = {
     "es": ("que", "de", "la", "el", "en", "los", "una", "por", "con", "para"),
@@ -23,3 +26,45 @@ TUNINGS = {"even": ((43, 128, 213), (0, 85, 170, 255)), "x4": ((30, 50, 140), (1
 # Characters a URL must not hold, and those a file name must not hold.
 UNSAFE_IN_URL = '"<>\\^`{|}'
 UNSAFE_IN_NAME = '/\\:*?"<>|'
+# Limits of page triage: characters of a text page, coverage of an image page, shares that raise flags.
+TEXT_PAGE_CHARS = 100
+IMAGE_PAGE_COVERAGE = 0.3
+DOUBLED_LINES_OVER, STRAY_SINGLES_OVER = 0.10, 0.02
+DEDUPE_UNDER = 0.7
+# File endings of sidecars, in order of preference.
+TRANSCRIPT_ENDINGS = ("md", "markdown", "txt", "text")
+COVER_ENDINGS = ("png", "jpg", "jpeg", "webp", "tiff", "tif", "bmp", "gif")
+# Bounds of a correction: share of changed characters, longest span, net growth.
+MAX_CHANGED, MAX_SPAN, MAX_GROWTH = 0.02, 24, 0.01
+# The panel, its levels, the most enlargement, the least mat, the largest bitmap.
+PANEL_W, PANEL_H = 528, 792
+LEVELS = (0, 85, 170, 255)
+LUMA = (29, 150, 77)  # blue, green, red, of 256
+LEVEL_BOUNDS = (42.5, 127.5, 212.5)
+MAX_UPSCALE, MIN_MAT_AREA = 1.5, 0.06
+MAX_IMAGE_W, MAX_IMAGE_H = 2048, 3072
+# What a bitmap reader reports, in the order in which it checks.
+BITMAP_ERRORS = {
+    "short": "FileInvalid",
+    "magic": "NotBMP (missing 'BM')",
+    "dib": "DIBTooSmall (<40 bytes)",
+    "planes": "BadPlanes (!= 1)",
+    "depth": "UnsupportedBpp (expected 1, 2, 4, 8, 24, or 32)",
+    "compression": "UnsupportedCompression (expected BI_RGB or BI_BITFIELDS for 32bpp)",
+    "colours": "PaletteTooLarge",
+    "dimensions": "BadDimensions",
+    "large": "ImageTooLarge (max 2048x3072)",
+    "palette": "FileInvalid",
+    "offset": "SeekPixelDataFailed",
+}
+# Places that get a share of a pixel's error (right, down) and the share, for each kernel.
+SIX = ((1, 0), (2, 0), (-1, 1), (0, 1), (1, 1), (0, 2))
+KERNELS = {"atkinson": {at: 1 / 8 for at in SIX}, "floyd": {(1, 0): 7 / 16, (-1, 1): 3 / 16, (0, 1): 5 / 16, (1, 1): 1 / 16}}
+NOISE_SHARE = 0.55
+GAMMA = 0.85
+# Sizes that a user interface's font needs.
+UI_SIZES = (8, 10, 12)
+# Length of a slug, of a short gloss, of a preview.
+SLUG_LENGTH, GLOSS_LENGTH, PREVIEW_LENGTH = 60, 110, 1200
+# Statuses of finished chapters.
+DONE = ("accepted", "drafted-and-validated")

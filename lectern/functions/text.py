@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern.functions import fixed
 
@@ -13,7 +17,22 @@ HAN = r"[一-鿿]"
 
 def no_space(x: Column) -> Column:
     """All Unicode white space removed."""
-    return F.regexp_replace(x, r"(?U)\s+", "")
+    return F.regexp_replace(x, f"[{fixed.WHITE}]+", "")
+
+
+def strip(x: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(x, f"^[{fixed.WHITE}]+|[{fixed.WHITE}]+$", "")
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def words_of(x: Column) -> Column:
+    """Runs of anything but white space."""
+    return F.filter(F.split(x, f"[{fixed.WHITE}]+"), lambda w: w != "")
 
 
 def latin_words(x: Column) -> Column:
@@ -22,11 +41,12 @@ def latin_words(x: Column) -> Column:
 
 
 def lines_of(x: Column) -> Column:
-    return F.filter(F.split(x, "\n"), lambda l: F.trim(l) != "")
+    """Lines that hold more than white space."""
+    return F.filter(F.split(x, fixed.LINE_END), lambda l: l.rlike(f"[^{fixed.WHITE}]"))
 
 
 def digit_mask(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\p{Nd}+", "#"))
+    return strip(F.regexp_replace(x, r"\p{Nd}+", "#"))
 
 
 def has_han(x: Column) -> Column:
@@ -56,12 +76,12 @@ def dedoubled(line: Column) -> Column:
     start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("cut"), F.lit(0).alias("at"))
 
     def step(a, c):
-        seen = a["seen"] + F.when(c.rlike(r"^(?U)\s?$"), 0).otherwise(1)
+        seen = a["seen"] + F.when(c.rlike(f"^[{fixed.WHITE}]?$"), 0).otherwise(1)
         at = a["at"] + F.length(c)
         return F.struct(seen.alias("seen"), F.when((a["cut"] == 0) & (seen >= half), at).otherwise(a["cut"]).alias("cut"), at.alias("at"))
 
     cut = F.aggregate(chars, start, step, lambda a: a["cut"])
-    return F.when(is_self_doubled(line), F.trim(F.substring(line, F.lit(1), cut))).otherwise(line)
+    return F.when(is_self_doubled(line), strip(F.substring(line, F.lit(1), cut))).otherwise(line)
 
 
 def level_ceiling(x: Column) -> Column:
@@ -74,17 +94,23 @@ def compact_reading(x: Column) -> Column:
     return F.when(x.rlike(r"\p{Lu}"), x).otherwise(F.replace(x, F.lit(" "), F.lit("")))
 
 
-def gloss_short(x: Column, most: int = 110) -> Column:
+def gloss_short(x: Column, most: int = fixed.GLOSS_LENGTH) -> Column:
     return F.when(F.length(x) > most, F.concat(F.rtrim(F.substring(x, 1, most - 3), F.lit(" ;,")), F.lit("..."))).otherwise(x)
 
 
 def blocks(md: Column) -> Column:
     """Markdown blocks divided by blank lines."""
-    return F.filter(F.split(F.trim(md), r"\n\s*\n"), lambda b: F.trim(b) != "")
+    return F.filter(F.split(strip(md), r"\n\s*\n"), lambda b: strip(b) != "")
 
 
 def without_headings(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?m)^#.*$", "")
+    """Without heading and recap lines."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?m)^#.*$", ""), r"(?m)^RECAP:.*$", "")
+
+
+def chapter_prose(x: Column) -> Column:
+    """Fence lines dropped, heading marks dropped, the text of headings kept."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?m)^```.*$", ""), r"(?m)^#+\s*", "")
 
 
 def is_structure(line: Column) -> Column:
@@ -95,7 +121,7 @@ def slug(x: Column, fallback: Column | None = None) -> Column:
     """ASCII words joined by hyphens, 60 characters at most; the fallback's, then 'book', for nothing left."""
     def one(c):
         s = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^A-Za-z0-9._-]+", "-"), r"^[-.]+|[-.]+$", "")
-        return F.when(s != "", F.substring(s, 1, 60))
+        return F.when(s != "", F.substring(s, 1, fixed.SLUG_LENGTH))
 
     return F.coalesce(one(x), one(F.lit("") if fallback is None else fallback), F.lit("book"))
 
@@ -185,17 +211,20 @@ def human_size(n: Column) -> Column:
 
 
 def unescape_html(x: Column) -> Column:
-    """The five named references and the blank; others stay."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """All character references, named and numeric; texts without an ampersand skip the worker."""
+    return F.when(x.contains("&"), _unescaped(x)).otherwise(x)
+
+
+@F.pandas_udf(StringType())
+def _unescaped(x: pd.Series) -> pd.Series:
+    return x.map(html.unescape, na_action="ignore")
 
 
-def html_text(html: Column) -> Column:
-    """The body without tags, white space collapsed."""
-    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)</body>", 1)
-    body = F.when(html.rlike(r"(?is)<body[^>]*>.*?</body>"), body).otherwise(html)
-    return F.trim(F.regexp_replace(unescape_html(F.regexp_replace(body, r"<[^>]+>", " ")), r"\s+", " "))
+def html_text(page: Column) -> Column:
+    """The body (all of it, where there is none), each tag a blank, references resolved."""
+    body = F.regexp_extract(page, r"(?s)<body[^>]*>(.*)</body>", 1)
+    body = F.when(page.rlike(r"(?s)<body[^>]*>.*</body>"), body).otherwise(page)
+    return unescape_html(F.regexp_replace(body, r"<[^>]+>", " "))
 
 
 def without_fences(x: Column) -> Column:
@@ -216,20 +245,27 @@ def ordinal_zh(n: Column) -> Column:
 
 
 def tone_mark(syllable: Column) -> Column:
-    """A numbered syllable (hao3, lu:4) with its tone mark: a or e takes it, then the o of ou, else the last vowel."""
-    body = F.replace(F.lower(F.regexp_extract(syllable, r"^([a-zA-Z:]+)([1-5])?$", 1)), F.lit("u:"), F.lit("v"))
-    tone = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(syllable, r"([1-5])$", 1), F.lit("")), F.lit("9")).cast("int"), F.lit(5))
+    """A numbered syllable (hao3, LU:4) with its tone mark: a or e takes it, then the o of ou, else the last vowel. Case stays."""
+    pattern = r"^([a-zA-Z:]+)([1-5])?$"
+    body = F.replace(F.replace(F.regexp_extract(syllable, pattern, 1), F.lit("u:"), F.lit("v")), F.lit("U:"), F.lit("V"))
+    tone = F.coalesce(F.nullif(F.regexp_extract(syllable, pattern, 2), F.lit("")).cast("int"), F.lit(5))
+    low = F.lower(body)
     spot = (
-        F.when(body.contains("a"), F.instr(body, "a")).when(body.contains("e"), F.instr(body, "e")).when(body.contains("ou"), F.instr(body, "ou"))
-        .otherwise(F.length(F.regexp_extract(body, r"^(.*[iouv])", 1)))
+        F.when(low.contains("a"), F.instr(low, "a")).when(low.contains("e"), F.instr(low, "e")).when(low.contains("ou"), F.instr(low, "o"))
+        .otherwise(F.length(F.regexp_extract(low, r"^(.*[iouv])", 1)))
     )
     marks = F.create_map(*[F.lit(x) for k, v in fixed.TONES.items() for x in (k, v)])
     vowel = F.substring(body, spot, F.lit(1))
-    marked = F.substring(F.try_element_at(marks, vowel), tone, F.lit(1))
+    marked = F.substring(F.try_element_at(marks, F.lower(vowel)), tone, F.lit(1))
+    marked = F.when(vowel == F.upper(vowel), F.upper(marked)).otherwise(marked)
     whole = F.concat(F.substring(body, F.lit(1), spot - 1), marked, F.substring(body, spot + 1, F.length(body)))
-    whole = F.replace(F.when(spot > 0, whole).otherwise(body), F.lit("v"), F.lit("ü"))
-    capital = syllable.rlike("^[A-Z]")
-    return F.when(body == "", syllable).when(capital, F.concat(F.upper(F.substring(whole, 1, 1)), F.substring(whole, F.lit(2), F.length(whole)))).otherwise(whole)
+    whole = F.when(spot > 0, F.replace(whole, F.lit("V"), F.lit("Ü"))).otherwise(body)
+    return F.when(syllable.rlike(pattern), F.replace(whole, F.lit("v"), F.lit("ü"))).otherwise(syllable)
+
+
+def tone_marks(numbered: Column) -> Column:
+    """All syllables of a reading."""
+    return F.array_join(F.transform(words_of(numbered), tone_mark), " ")
 
 
 def is_wide_cjk(ch: Column) -> Column:
@@ -237,11 +273,13 @@ def is_wide_cjk(ch: Column) -> Column:
 
 
 def luma(b: Column, g: Column, r: Column) -> Column:
-    return F.shiftright(77 * r + 150 * g + 29 * b, 8)
+    weighted = [c * w for c, w in zip((b, g, r), fixed.LUMA, strict=True)]
+    return F.shiftright(weighted[0] + weighted[1] + weighted[2], 8)
 
 
 def nearest_level(v: Column) -> Column:
-    return F.when(v <= 42.5, 0).when(v <= 127.5, 1).when(v <= 212.5, 2).otherwise(3)
+    low, middle, high = fixed.LEVEL_BOUNDS
+    return F.when(v <= low, 0).when(v <= middle, 1).when(v <= high, 2).otherwise(3)
 
 
 def page_number(x: Column) -> Column:
@@ -258,4 +296,42 @@ def sleep_scan_accepts(name: Column) -> Column:
 
 
 def native_palette(bpp: Column, lum: Column) -> Column:
-    return (bpp <= 2) | F.forall(lum, lambda x: F.abs(x - F.shiftright(x, 6) * 85) <= 21)
+    """Whether a palette (luma values, none for true colour) maps straight to the panel's levels."""
+    return (bpp <= 2) | ((F.size(lum) > 0) & F.forall(lum, lambda x: F.abs(x - F.shiftright(x, 6) * 85) <= 21))
+
+
+def has_greyscale(bpp: Column) -> Column:
+    return bpp > 1
+
+
+def percent(x: Column, places: int = 1) -> Column:
+    return F.format_string(f"%.{places}f%%", x * 100)
+
+
+def recap(x: Column) -> Column:
+    """What follows 'RECAP:' in the last line that isn't blank, whatever its case; null if that line is no recap."""
+    last = strip(F.try_element_at(lines_of(x), F.lit(-1)))
+    return F.when(F.upper(last).startswith("RECAP:"), strip(F.substring(last, F.lit(7), F.length(last))))
+
+
+def without_recap(x: Column) -> Column:
+    """The text before its recap line, ended by one line feed; as it is without one."""
+    cut = F.regexp_replace(F.regexp_replace(x, f"[{fixed.WHITE}]+$", ""), r"(^|[\n\r])[^\n\r]*$", "")
+    return F.when(recap(x).isNotNull(), F.concat(F.regexp_replace(cut, f"[{fixed.WHITE}]+$", ""), F.lit("\n"))).otherwise(x)
+
+
+def page_range(spec: Column) -> Column:
+    """'A-B' or 'N' as an array of page numbers; null for a blank spec, which means all."""
+    lo = F.split_part(spec, F.lit("-"), F.lit(1)).cast("int")
+    hi = F.nullif(F.split_part(spec, F.lit("-"), F.lit(2)), F.lit("")).cast("int")
+    return F.when(F.coalesce(strip(spec), F.lit("")) != "", F.when(F.coalesce(hi, lo) >= lo, F.sequence(lo, F.coalesce(hi, lo))).otherwise(F.array().cast("array<int>")))
+
+
+def looks_structured(x: Column) -> Column:
+    return x.rlike(r"(?m)^#{1,6}\s|```")
+
+
+def family_of_path(path: Column) -> Column:
+    """The family of a path /fonts/NAME, else null."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    return F.when((F.size(parts) == 2) & (F.lower(F.try_element_at(parts, F.lit(1))) == "fonts"), F.try_element_at(parts, F.lit(2)))

@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from lectern.functions import fixed
 from lectern.functions import text as T
 
 
 def word_ngrams(text: Column, n: int = 5) -> Column:
-    """Distinct n-grams of blank-divided words; none for a shorter text."""
-    words = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
-    size = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(size >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Hashes of the distinct n-grams of white-space-divided words; none for a shorter text.
+
+    The words are found once for each row and windows are hashed from them, so the work
+    is linear in the text; equal 64-bit hashes stand for equal grams.
+    """
+    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[w[i + k] for k in range(n)]))
+    return T.bound(T.words_of(text), lambda w: F.when(F.size(w) >= n, F.array_distinct(windows(w))).otherwise(F.array().cast("array<bigint>")))
 
 
 def char_ratio(before: Column, after: Column) -> Column:
@@ -27,8 +30,8 @@ def char_ratio(before: Column, after: Column) -> Column:
 
 def containment(before: Column, after: Column, n: int = 5) -> Column:
     """Share of the distinct grams of ``before`` that ``after`` holds; 1.0 without any."""
-    a, b = word_ngrams(before, n), word_ngrams(after, n)
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(1.0)
+    both = F.struct(word_ngrams(before, n).alias("a"), word_ngrams(after, n).alias("b"))
+    return T.bound(both, lambda g: F.when(F.size(g["a"]) > 0, F.size(F.array_intersect(g["a"], g["b"])) / F.size(g["a"])).otherwise(1.0))
 
 
 def gate(ratio: Column, held: Column) -> Column:
@@ -53,12 +56,30 @@ def edit_measures(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["edits", "changed", "longest", "growth"])
 
 
+def changed_ratio(size: Column, m: Column) -> Column:
+    return F.bround(m["changed"] / F.greatest(size, F.lit(1)), 4)
+
+
+def growth_ratio(size: Column, m: Column) -> Column:
+    """Net growth or loss, as a share."""
+    return F.bround(F.abs(m["growth"]) / F.greatest(size, F.lit(1)), 4)
+
+
 def edit_bounds(size: Column, m: Column) -> Column:
-    """Bounds that a correction breaks: 2 % changed, a span of 24, 1 % growth."""
-    size = F.greatest(size, F.lit(1))
-    return F.array_compact(F.array(F.when(m["changed"] / size > 0.02, "changed"), F.when(m["longest"] > 24, "span"), F.when(m["growth"] / size > 0.01, "growth")))
+    """Bounds that a correction breaks, on rounded ratios: text changed, span of one edit, growth or loss."""
+    over = [(changed_ratio(size, m) > fixed.MAX_CHANGED, "changed"), (m["longest"] > fixed.MAX_SPAN, "span"), (growth_ratio(size, m) > fixed.MAX_GROWTH, "growth")]
+    return F.array_compact(F.array(*[F.when(broken, name) for broken, name in over]))
 
 
 @F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series(["\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="")) for a, b in zip(before.fillna(""), after.fillna(""), strict=True)])
+    lines = lambda x: x.splitlines(keepends=True)
+    return pd.Series(["".join(difflib.unified_diff(lines(a), lines(b), "restored.md", "corrected.md")) for a, b in zip(before.fillna(""), after.fillna(""), strict=True)])
+
+
+def coverage(books: DataFrame, key: str, before: str, after: str, integrity_errors: str) -> DataFrame:
+    """Per book char_ratio, containment (both rounded to four places), coverage_pass and passed: no integrity error and covered."""
+    r, c = char_ratio(F.col(before), F.col(after)), containment(F.col(before), F.col(after))
+    rows = books.select(key, r.alias("r"), c.alias("c"), (F.col(integrity_errors) == 0).alias("sound"))
+    ok = gate(F.col("r"), F.col("c"))
+    return rows.select(key, F.bround("r", 4).alias("char_ratio"), F.bround("c", 4).alias("ngram_containment"), ok.alias("coverage_pass"), (ok & F.col("sound")).alias("passed"))

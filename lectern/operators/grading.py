@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import fixed
 from lectern.functions import text as T
 
 
@@ -69,7 +73,7 @@ def classify(tokens: DataFrame, lexicon: DataFrame, idioms: DataFrame) -> DataFr
     graded = graded.join(listed.withColumn("is_known", F.lit(True)), "word", "left").join(idioms.select("word").distinct().withColumn("is_idiom", F.lit(True)), "word", "left")
     splits = F.coalesce(decomposes(F.col("word"), F.col("parts")), F.lit(False))
     tier = (
-        F.when(F.col("is_idiom"), "chengyu").when(F.col("is_known"), "known").when((F.length("word") == 1) & F.col("chars_known"), "known")
+        F.when(F.col("is_idiom"), "chengyu").when(F.col("is_known"), "known").when((F.col("n_han") == 1) & F.col("chars_known"), "known")
         .when(T.is_number(F.col("word")) & F.col("chars_known"), "composed").when(splits, "composed").when((F.col("n_han") >= 2) & F.col("chars_known"), "stretch").otherwise("flagged")
     )
     graded = graded.select(F.col("word").alias("token"), tier.alias("tier"))
@@ -80,7 +84,7 @@ def report(tiers: DataFrame, by: str) -> DataFrame:
     """Counts by tier and rates rounded to four places, 0.0 for an empty text."""
     count = lambda t: F.count_if(F.col("tier") == t).alias(t)
     out = tiers.groupBy(by).agg(F.count("tier").alias("counted"), *[count(t) for t in ("known", "chengyu", "composed", "stretch", "flagged")])
-    rate = lambda part: F.when(F.col("counted") > 0, F.round(F.col(part) / F.col("counted"), 4)).otherwise(0.0)
+    rate = lambda part: F.when(F.col("counted") > 0, F.bround(F.col(part) / F.col("counted"), 4)).otherwise(0.0)
     return out.withColumn("out_of_list_rate", rate("flagged")).withColumn("stretch_rate", rate("stretch"))
 
 
@@ -89,14 +93,172 @@ def gate(reports: DataFrame, gates: Gates, chars: Column | None = None, expressi
     chars, expressions = chars if chars is not None else F.lit(0), expressions if expressions is not None else F.lit(0)
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("out_of_list_rate") > gates.threshold, "out_of_list_rate>threshold"), F.when(F.col("out_of_list_rate") < gates.min_out_of_list, "out_of_list_rate<min"),
-            F.when(F.col("stretch_rate") > gates.max_stretch, "stretch_rate>max_stretch"), F.when(chars < gates.min_chars, "too short"), F.when(expressions < gates.min_expressions, "too few expressions"),
+            F.when(F.col("out_of_list_rate") > gates.threshold, "out_of_list_rate>threshold"), F.when(F.col("out_of_list_rate") < gates.min_out_of_list, "out_of_list_rate<min (too easy — reach a little further)"),
+            F.when(F.col("stretch_rate") > gates.max_stretch, "stretch_rate>max_stretch"), F.when(chars < gates.min_chars, F.format_string(f"too short (%d<{gates.min_chars} chars)", chars)),
+            F.when(expressions < gates.min_expressions, F.format_string(f"too few expressions (%d<{gates.min_expressions})", expressions)),
         )
     )
     return reports.withColumn("fail_reasons", reasons).withColumn("passed", F.size("fail_reasons") == 0)
 
 
+def book_verdict(gated: DataFrame, book: str) -> DataFrame:
+    """(book, chapters, passed): a book passes if all its chapters do."""
+    return gated.groupBy(book).agg(F.count("*").alias("chapters"), F.bool_and("passed").alias("passed"))
+
+
 def expression_hits(texts: DataFrame, key: str, text: str, expressions: list[tuple[str, str | None]]) -> DataFrame:
     """The listed expressions that occur in each text, by pattern or literally, once each, in list order."""
     hits = F.array_compact(F.array(*[F.when(F.col(text).rlike(rx) if rx else F.col(text).contains(name), name) for name, rx in expressions]))
     return texts.select(key, hits.alias("expressions"), F.size(hits).alias("expression_count"))
+
+
+def resolve_gates(given: Mapping[str, object], plan: Mapping[str, object]) -> Gates:
+    """Each gate from the call, else from the plan's validation block, else the default; null in the call means not given."""
+    chosen = {f.name: given[f.name] if given.get(f.name) is not None else plan.get(f.name, f.default) for f in fields(Gates)}
+    return Gates(**chosen)
+
+
+def resolved(given: Column, plan: Column, default: Column | None = None) -> Column:
+    """The same rule for a column of a table: the call's value, the plan's, the default."""
+    return F.coalesce(given, plan, *([default] if default is not None else []))
+
+
+def report_lists(tiers: DataFrame, by: str, pos: str, most: int | None = None) -> DataFrame:
+    """Per text flagged_tokens and stretch_tokens: most frequent first, then first seen; ``most`` caps the lists for display."""
+    counted = tiers.where("tier in ('flagged', 'stretch')").groupBy(by, "tier", "token").agg(F.count("*").alias("n"), F.min(pos).alias("at"))
+    listed = lambda tier: F.array_sort(F.collect_list(F.when(F.col("tier") == tier, F.struct((-F.col("n")).alias("n"), "at", "token"))))
+    cut = (lambda x: F.slice(x, 1, most)) if most else (lambda x: x)
+    out = counted.groupBy(by).agg(listed("flagged").alias("flagged"), listed("stretch").alias("stretch"))
+    return out.select(by, *[cut(F.transform(t, lambda x: x["token"])).alias(f"{t}_tokens") for t in ("flagged", "stretch")])
+
+
+def with_gloss(words: DataFrame, lexicon: DataFrame, key: str = "word") -> DataFrame:
+    """Reading and gloss of each word, '' where the lexicon has none. ``lexicon``: one row a word."""
+    rows = words.join(lexicon.select(F.col("word").alias(key), "reading", "gloss"), key, "left")
+    return rows.withColumn("reading", F.coalesce("reading", F.lit(""))).withColumn("gloss", F.coalesce("gloss", F.lit("")))
+
+
+def gloss_worthy(tiers: DataFrame, lexicon: DataFrame, by: str, pos: str) -> DataFrame:
+    """(by, token, first_pos): distinct tokens that deserve a gloss: a book's own words, stretches and flagged ones."""
+    own = lexicon.where("source = 'book'").select(F.col("word").alias("token")).distinct().withColumn("own", F.lit(True))
+    rows = tiers.where("tier is not null").join(own, "token", "left").where(F.col("own") | F.col("tier").isin("stretch", "flagged"))
+    return rows.groupBy(by, "token").agg(F.min(pos).alias("first_pos"))
+
+
+def by_band(lexicon: DataFrame, bands: tuple[str, ...], other: str) -> DataFrame:
+    """(band, words, n): sorted words of each band; unknown levels go to ``other``, personal words nowhere."""
+    band = F.when(F.col("level").isin(*bands), F.col("level")).otherwise(other)
+    return lexicon.where("source <> 'personal'").groupBy(band.alias("band")).agg(F.array_sort(F.collect_list("word")).alias("words")).withColumn("n", F.size("words"))
+
+
+def topic_words(lexicon: DataFrame) -> DataFrame:
+    """A book's own words as one sorted array of (word, reading, gloss)."""
+    cells = F.array_sort(F.collect_list(F.struct("word", "reading", "gloss")))
+    return lexicon.where("source = 'book'").agg(cells.alias("topic"))
+
+
+def best_definitions(entries: DataFrame, pos: str) -> DataFrame:
+    """(word, reading, gloss): of a word's entries (reading, definitions) that with most definitions, the first of equals.
+
+    The gloss holds two senses that don't begin with 'see ', or any two, shortened.
+    """
+    best = F.max_by(F.struct("reading", "definitions"), F.struct(F.size("definitions").alias("n"), (-F.col(pos)).alias("p"))).alias("e")
+    rows = entries.groupBy("word").agg(best).select("word", "e.*")
+    own = F.filter("definitions", lambda d: ~d.startswith("see "))
+    senses = F.when(F.size(own) > 0, own).otherwise(F.col("definitions"))
+    return rows.select("word", T.tone_marks(F.col("reading")).alias("reading"), T.gloss_short(F.array_join(F.slice(senses, 1, 2), "; ")).alias("gloss"))
+
+
+def pending(outline: DataFrame, only: int | None = None, since: int | None = None) -> DataFrame:
+    """Chapters (n, status) to write: the one asked for, those from a number on, or all that aren't done."""
+    if only is not None:
+        return outline.where(F.col("n") == only)
+    if since is not None:
+        return outline.where(F.col("n") >= since)
+    return outline.where(F.col("status").isNull() | ~F.col("status").isin(*fixed.DONE))
+
+
+def segment(texts: DataFrame, key: str, text: str, lexicon: DataFrame, total: float | None = None) -> DataFrame:
+    """(key, pos, token): the likeliest split of each text's Han runs into listed words (word, freq).
+
+    A word's probability is its frequency over their sum; a character that begins no listed
+    word stands alone at frequency 1; of equally likely splits that with the longer word
+    first. Other runs (letters and digits) are tokens, signs single ones. The lexicon is a
+    word list and travels to the workers; texts stay where they are.
+    """
+    from math import log
+
+    words = {r["word"]: float(r["freq"]) for r in lexicon.select("word", "freq").collect()}  # a word list, not a corpus
+    size = log(total if total else max(1.0, sum(words.values())))
+    longest = max(map(len, words), default=1)
+    shared = texts.sparkSession.sparkContext.broadcast({w: log(max(f, 1e-9)) - size for w, f in words.items()})
+
+    def split(run: str) -> list[str]:
+        cost, n = shared.value, len(run)
+        best: list[tuple[float, int]] = [(0.0, 0)] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            ends = [i + 1, *[j for j in range(i + 2, min(n, i + longest) + 1) if run[i:j] in cost]]
+            best[i] = max((cost.get(run[i:j], -size) + best[j][0], j) for j in ends)
+        out, i = [], 0
+        while i < n:
+            out.append(run[i : best[i][1]])
+            i = best[i][1]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        runs = re.compile(r"([一-鿿]+)|([A-Za-z0-9]+)|(.)", re.DOTALL)
+        for df in batches:
+            rows = []
+            for k, t in zip(df[key], df[text], strict=True):
+                tokens = [w for m in runs.finditer(t or "") for w in (split(m[1]) if m[1] else [m[0]])]
+                rows += [(k, n, w) for n, w in enumerate(tokens)]
+            yield pd.DataFrame(rows, columns=[key, "pos", "token"])
+
+    return texts.select(key, text).mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, pos int, token string")
+
+
+def story_so_far(outline: DataFrame, book: str, chapter: int) -> DataFrame:
+    """(book, so_far): a line for each earlier chapter, with its recap or else its summary."""
+    said = F.coalesce(F.nullif("recap", F.lit("")), F.col("summary"), F.lit(""))
+    line = F.concat(F.lit("- Ch "), F.col("n").cast("string"), F.lit(" "), F.coalesce("title", F.lit("")), F.lit(": "), said)
+    cells = F.array_sort(F.collect_list(F.struct("n", line.alias("line"))))
+    return outline.where(F.col("n") < chapter).groupBy(book).agg(F.array_join(F.transform(cells, lambda c: c["line"]), "\n").alias("so_far"))
+
+
+def brief(outline: DataFrame, book: str, chapter: int, introduced: DataFrame, lexicon: DataFrame, gates: Gates, bands: tuple[str, ...], other: str) -> DataFrame:
+    """(book, brief): a chapter's summary, the story so far, the limits, words introduced, topic words and words by band.
+
+    ``outline``: book, n, title, summary, recap; ``introduced``: book, word, pos. Sections
+    without content are left out; texts that a model should read can be put before it.
+    """
+    here = outline.where(F.col("n") == chapter).select(book, "title", "summary")
+    known = introduced.groupBy(book).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w")).select(book, F.array_join(F.transform("w", lambda x: x["word"]), "、").alias("known"))
+    topic = topic_words(lexicon).select(F.array_join(F.transform("topic", lambda t: F.concat(F.lit("- **"), t["word"], F.lit("** "), t["reading"], F.lit(" — "), t["gloss"])), "\n").alias("topic"))
+    rank = F.array_position(F.array(*map(F.lit, (*bands, other))), F.col("band"))
+    groups = by_band(lexicon, bands, other).select(F.struct(rank.alias("rank"), F.format_string("### %s  (%d words)\n%s", "band", "n", F.array_join("words", "、")).alias("line")).alias("g"))
+    groups = groups.agg(F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["line"]), "\n").alias("vocabulary"))
+    rows = here.join(story_so_far(outline, book, chapter), book, "left").join(known, book, "left").crossJoin(F.broadcast(topic)).crossJoin(F.broadcast(groups))  # one row each
+    limits = f"- out of list: {gates.min_out_of_list:.0%} to {gates.threshold:.0%}\n- stretch: at most {gates.max_stretch:.0%}\n- length: at least {gates.min_chars} characters\n- expressions: at least {gates.min_expressions}"
+    section = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"## {head}\n"), c))
+    parts = [
+        F.concat(F.lit(f"# Chapter {chapter}: "), F.coalesce("title", F.lit(""))), section("Summary", F.col("summary")), section("Story so far", F.col("so_far")), F.lit(f"## Limits\n{limits}"),
+        section("Already introduced", F.col("known")), section("Topic words", F.col("topic")), section("Vocabulary", F.col("vocabulary")),
+    ]
+    return rows.select(book, F.array_join(F.array_compact(F.array(*parts)), "\n\n").alias("brief"))
+
+
+def accept_chapter(outline: DataFrame, introduced: DataFrame, worthy: DataFrame, chapter: int, recap: str | None, book: str, status: str = "accepted") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """After a chapter: the outline with its status and recap, the introduced words with the new ones behind, and the new words.
+
+    ``worthy``: (book, token, first_pos) as gloss_worthy() gives; only words not introduced
+    before are new. ``introduced``: (book, word, pos).
+    """
+    here = F.col("n") == chapter
+    outline = outline.withColumn("status", F.when(here, status).otherwise(F.col("status"))).withColumn("recap", F.when(here & F.lit(bool(recap)), F.lit(recap)).otherwise(F.col("recap")))
+    new = worthy.withColumnRenamed("token", "word").join(introduced.select(book, "word"), [book, "word"], "left_anti")
+    last = introduced.groupBy(book).agg(F.max("pos").alias("last"))
+    place = F.row_number().over(Window.partitionBy(book).orderBy("first_pos"))
+    added = new.withColumn("place", place).join(last, book, "left").select(book, "word", (F.coalesce("last", F.lit(-1)) + F.col("place")).cast(introduced.schema["pos"].dataType).alias("pos"))
+    return outline, introduced.select(book, "word", "pos").unionByName(added), new

@@ -43,6 +43,85 @@ def spine_errors(opf: DataFrame, key: str, xml: str) -> DataFrame:
     return lost.unionByName(opf.select(key).join(spine.select(key).distinct(), key, "left_anti").withColumn("error", F.lit("empty spine")))
 
 
+def dead_links(files: DataFrame, book: str, name: str, html: str, entries: DataFrame) -> DataFrame:
+    """(book, name, href, error) of links in a book's documents that lead nowhere.
+
+    ``files``: the documents; ``entries``: (book, name) of everything in the archive. A
+    bare fragment must be an id of its own document; of other local links the file part,
+    resolved against the document's folder, must be an entry. Web and mail links pass.
+    """
+    h = F.regexp_extract_all(F.col(html), F.lit(r'(?:href|src)="([^"]+)"'), F.lit(1))
+    rows = files.select(book, name, F.explode(F.array_distinct(h)).alias("href"))
+    inner = rows.where(F.col("href").startswith("#")).withColumn("anchor", F.substring("href", F.lit(2), F.length("href")))
+    ids = files.select(book, name, F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(r'id="([^"]+)"'), F.lit(1)))).alias("anchor"))
+    lost = inner.join(ids, [book, name, "anchor"], "left_anti").select(book, name, "href", F.lit("dead fragment").alias("error"))
+    outer = rows.where(~F.col("href").rlike("^(#|https?://|mailto:)"))
+    folder = F.regexp_extract(name, r"^(.*/)?[^/]*$", 1)
+    outer = outer.withColumn("target", resolve_path(F.concat(folder, F.regexp_extract("href", r"^([^#]*)", 1))))
+    held = entries.select(book, F.col(name).alias("target")).distinct()
+    return lost.unionByName(outer.join(held, [book, "target"], "left_anti").select(book, name, "href", F.lit("dead link").alias("error")))
+
+
+def resolve_path(path):
+    """A relative path without '.', '..' and empty parts; '..' at its start stays."""
+    def step(a, part):
+        up = (part == "..") & (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)) != "..")
+        return F.when((part == "") | (part == "."), a).when(up, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.concat(a, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def verdict(books: DataFrame, book: str, errors: list[DataFrame]) -> DataFrame:
+    """(book, errors, passed): how many rows the error tables have for each book; passed without any."""
+    from functools import reduce
+
+    every = reduce(DataFrame.unionByName, [e.select(book) for e in errors])
+    counted = every.groupBy(book).agg(F.count("*").alias("errors"))
+    return books.select(book).join(counted, book, "left").select(book, F.coalesce("errors", F.lit(0)).alias("errors"), F.col("errors").isNull().alias("passed"))
+
+
+def checksums(lines: DataFrame, file: str, pos: str, text: str) -> DataFrame:
+    """(name, bytes, md5) of a manifest's lines NAME<TAB>BYTES<TAB>MD5; comments and blank lines are skipped.
+
+    Reading a file ends at the first line whose size is no number: rows before it stay.
+    """
+    from pyspark.sql import Window
+
+    cell = lambda k: F.coalesce(F.get(F.split(F.col(text), "\t"), F.lit(k)), F.lit(""))
+    rows = lines.where((T.strip(F.col(text)) != "") & ~F.col(text).startswith("#"))
+    rows = rows.select(file, pos, cell(0).alias("name"), F.expr("try_cast(null as long)").alias("bytes"), cell(2).alias("md5"), T.strip(cell(1)).alias("size"))
+    rows = rows.withColumn("bytes", F.when(F.col("size").rlike(r"^[+-]?\d+$"), F.col("size").cast("long")))
+    broken = F.count_if(F.col("bytes").isNull()).over(Window.partitionBy(file).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("broken", broken).where("broken = 0").select(file, "name", "bytes", "md5")
+
+
+def font_families(files: DataFrame) -> DataFrame:
+    """(family, sizes, bytes, ui_ready) of font files (rel: FAMILY/NAME_SIZE.ending, size): the sizes as a sorted set."""
+    from lectern.functions import fixed
+
+    family, number = F.regexp_extract("rel", r"^([^/]+)/[^/]+$", 1), F.regexp_extract("rel", r"_(\d+)\.[^./]*$", 1)
+    rows = files.select(family.alias("family"), F.nullif(number, F.lit("")).cast("int").alias("n"), "size").where("family <> ''")
+    out = rows.groupBy("family").agg(F.array_sort(F.collect_set("n")).alias("sizes"), F.sum("size").alias("bytes"))
+    return out.withColumn("ui_ready", F.size(F.array_except(F.array(*map(F.lit, fixed.UI_SIZES)), "sizes")) == 0)
+
+
+def newest_files(files: DataFrame, by: list[str], most: int | None = None, newest: bool = True) -> DataFrame:
+    """Files of each group by time, the newest first, names break ties: with ``place`` (from 1), ``most`` at most."""
+    from pyspark.sql import Window
+
+    time = F.col("mtime").desc() if newest else F.col("mtime").asc()
+    rows = files.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(time, "name")))
+    return rows.where(F.col("place") <= most) if most else rows
+
+
+def listing(files: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
+    """A folder's entries: folders first, then case-blind by name; with ``place``, ``most`` at most."""
+    from pyspark.sql import Window
+
+    rows = files.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(~F.col("is_folder"), F.lower("name"), "name")))
+    return rows.where(F.col("place") <= most) if most else rows
+
+
 def page_text(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, T.html_text(F.col(html)).alias("body_text"))
 
@@ -59,3 +138,21 @@ def checksum_report(expected: DataFrame, actual: DataFrame, key: str, value: str
     """Each expected row with ``ok``: present and equal."""
     right = actual.select(key, F.col(value).alias("__actual"))
     return expected.join(right, key, "left").select(key, F.col(value), F.col("__actual").alias("actual"), F.coalesce(F.col("__actual") == F.col(value), F.lit(False)).alias("ok"))
+
+
+def footnotes(refs: DataFrame, defs: DataFrame, doc: str) -> DataFrame:
+    """(doc, marker, number, note, error): referenced notes in order of first reference; a reference without a note is an error.
+
+    ``refs``: doc, marker, pos; ``defs``: doc, marker, pos, note, the last of a marker wins.
+    """
+    notes = defs.groupBy(doc, "marker").agg(F.max_by("note", "pos").alias("note"))
+    numbered = number_references(refs, doc, "marker", "pos")
+    rows = numbered.join(notes.withColumn("known", F.lit(True)), [doc, "marker"], "left")
+    return rows.select(doc, "marker", "number", "note", F.when(F.col("known").isNull(), F.concat(F.lit("undefined footnote reference "), "marker")).alias("error"))
+
+
+def spine_text(chapters: DataFrame, book: str, html: str) -> DataFrame:
+    """(book, text): the texts of a book's documents in spine order (pos), a line feed between them."""
+    rows = chapters.select(book, "pos", T.html_text(F.col(html)).alias("t"))
+    cells = F.array_sort(F.collect_list(F.struct("pos", "t")))
+    return rows.groupBy(book).agg(F.array_join(F.transform(cells, lambda c: c["t"]), "\n").alias("text"))

@@ -44,6 +44,19 @@ def nth_anchor(lines: DataFrame, doc: str, text: str, anchor: str, occurrence: i
     return lines.where(F.trim(text) == anchor).withColumn("n", n).where(F.col("n") == occurrence).drop("n")
 
 
+def locate_anchor(lines: DataFrame, docs: DataFrame, doc: str, text: str, anchor: str, occurrence: int | None = None) -> DataFrame:
+    """(doc, pos, error): the line equal to ``anchor`` in each of ``docs``, or why there is none.
+
+    'missing' without such a line; 'ambiguous' for several without an ``occurrence``;
+    'out of range' for an occurrence there isn't.
+    """
+    hits = lines.where(F.col(text) == anchor).groupBy(doc).agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    rows = docs.select(doc).join(hits, doc, "left").withColumn("at", F.coalesce("at", F.array().cast(hits.schema["at"].dataType)))
+    n, nth = F.size("at"), 1 if occurrence is None else occurrence
+    error = F.when(n == 0, "missing").when(F.lit(occurrence is None) & (n > 1), "ambiguous").when(F.lit(nth < 1) | (n < nth), "out of range")
+    return rows.select(doc, F.when(error.isNull(), F.get("at", F.lit(max(0, nth - 1)))).alias("pos"), error.alias("error"))
+
+
 def cover_errors(spans: DataFrame, by: str, size: Column) -> DataFrame:
     """Where half-open spans fail to tile [0, size) of their group: gaps, overlaps, both ends."""
     w = Window.partitionBy(by).orderBy("start", "end")
@@ -75,16 +88,36 @@ def two_sided_difference(expected: DataFrame, actual: DataFrame, key: str) -> Da
     return both.where("__e is null or __a is null").select(key, F.when(F.col("__a").isNull(), "missing").otherwise("stray").alias("state"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Nodes reachable from ``start`` (node) over edges (src, dst) with the least number of hops."""
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes reachable from ``start`` (node) over edges (src, dst) with the least number of hops, however many."""
     from lectern.plans.cache import pinned
 
     seen = pinned(start.select("node").distinct().withColumn("hops", F.lit(0)))
-    frontier = seen
-    for k in range(1, most_rounds + 1):
+    frontier, k = seen, 0
+    while not frontier.isEmpty():
+        k += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = pinned(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
-        if frontier.isEmpty():
+        seen = pinned(seen.unionByName(frontier))  # one table, whatever the number of hops
+    return seen
+
+
+def chase(links: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
+    """Pages along ``next`` links (url, next) from ``start`` (chain, url), ``most`` at most and none twice: (chain, url, place)."""
+    from lectern.plans.cache import pinned
+
+    seen = pinned(start.select("chain", "url").withColumn("place", F.lit(0)))
+    last = seen
+    for k in range(1, most):
+        step = last.join(links, "url").where("next is not null and next <> ''").select("chain", F.col("next").alias("url"))
+        last = pinned(step.distinct().join(seen.select("chain", "url"), ["chain", "url"], "left_anti").withColumn("place", F.lit(k)))
+        if last.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(last)
     return seen
+
+
+def flagged(rows: DataFrame, marks: DataFrame, key: str, name: str) -> DataFrame:
+    """``name``: whether ``marks`` has the row's key."""
+    hit = marks.select(key).distinct().withColumn(name, F.lit(True))
+    return rows.join(hit, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))

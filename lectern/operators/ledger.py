@@ -48,3 +48,60 @@ def first_mentions(tokens: DataFrame, by: str, word: str, pos: str) -> DataFrame
 def toggle(selected, other):
     """Symmetric difference of two selections (array columns)."""
     return F.array_sort(F.array_union(F.array_except(selected, other), F.array_except(other, selected)))
+
+
+def remove_ids(queue: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The queue without the items of the given ids; equal names under other ids stay."""
+    return queue.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def fresh(scan: DataFrame, memo: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a memo keyed by (path, mtime, size) already knows of a scan, and the rows that must be read anew."""
+    known = scan.join(memo, keys)
+    return known, scan.join(memo.select(*keys).distinct(), keys, "left_anti")
+
+
+def stale_handles(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``asked`` with ``answer``: 'ok' for a handle that is known, 'stale' for one that isn't any more."""
+    hit = known.select(key).distinct().withColumn("__k", F.lit(True))
+    return asked.join(hit, key, "left").withColumn("answer", F.when(F.col("__k"), "ok").otherwise("stale")).drop("__k")
+
+
+def select_more(selected, other):
+    """Union and difference of two selections (array columns)."""
+    return F.array_sort(F.array_union(selected, other)), F.array_sort(F.array_except(selected, other))
+
+
+def expired(views: DataFrame, at: str, now, seconds: float) -> DataFrame:
+    """Views (with the time ``at`` of their last refresh, null for none) that are due again."""
+    return views.where(F.col(at).isNull() | (now - F.col(at) > seconds))
+
+
+def rework(attempts: DataFrame, by: str, cap: int) -> DataFrame:
+    """(by, attempts, outcome) of bounded reworking: a chapter is validated cap + 1 times at most and accepted at its first pass.
+
+    ``attempts``: by, attempt (from 1), passed. 'pending' where neither a pass nor the cap is reached.
+    """
+    seen = attempts.where(F.col("attempt") <= cap + 1)
+    first = F.min(F.when(F.col("passed"), F.col("attempt")))
+    out = seen.groupBy(by).agg(first.alias("first"), F.max("attempt").alias("last"))
+    outcome = F.when(F.col("first").isNotNull(), "accepted").when(F.col("last") >= cap + 1, "gave up").otherwise("pending")
+    return out.select(by, F.coalesce("first", "last").alias("attempts"), outcome.alias("outcome"))
+
+
+def in_rows(buttons: DataFrame, by: list[str], order: str, width: int = 5) -> DataFrame:
+    """``buttons`` with ``button_row`` and ``button_col`` (from 0), ``width`` to a row."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    return buttons.withColumn("button_row", F.floor(place / width).cast("int")).withColumn("button_col", (place % width).cast("int"))
+
+
+def choose_folder(present: DataFrame, preferred: str, fallback: str) -> DataFrame:
+    """(host, folder): the fallback folder only where it already holds bitmaps, else the preferred one. ``present``: host, folder, name."""
+    held = F.bool_or((F.col("folder") == fallback) & F.lower("name").endswith(".bmp"))
+    return present.groupBy("host").agg(F.when(held, fallback).otherwise(preferred).alias("folder"))
+
+
+def option_index(options, label):
+    """The index (from 0) of a label among a setting's options; null for none."""
+    at = F.array_position(options, label)
+    return F.when(at > 0, at - 1)

@@ -1,10 +1,9 @@
-"""Book packages: feeds, metadata of archives, chapters as XHTML, byte-identical archives."""
+"""Book packages: feeds, metadata of archives, byte-identical archives."""
 
 from __future__ import annotations
 
 import io
 import re
-import uuid
 import zipfile
 
 import pandas as pd
@@ -13,25 +12,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.functions import text as T
-from lectern.operators.catalog import xml_escape
+from lectern.operators import render
+
+# Marks by which a feed's reader knows links to books, to feeds and the search template.
+ACQUISITION_MARK, EPUB_TYPE, FEED_MARK, SEARCH_MARK = "opds-spec.org/acquisition", "application/epub+zip", "application/atom+xml", "{searchTerms}"
+
+
+def _links(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(r"(?s)(<(?:\w+:)?link\s[^>]*>)"), F.lit(1))
+
+
+def _href(tags: Column, at: int) -> Column:
+    return F.coalesce(F.try_element_at(F.transform(tags, lambda l: F.regexp_extract(l, r'\bhref="([^"]*)"', 1)), F.lit(at)), F.lit(""))
 
 
 def parse_feed(feeds: DataFrame, key: str, xml: str) -> DataFrame:
-    """Entries of Atom feeds: key, pos, kind, title, author, href, id, next. Entries without title or link go."""
+    """Entries of Atom feeds: key, pos, kind, title, author, href, id, and the feed's next, previous and search links.
+
+    A book has an acquisition link of an archive's type: the first whose address looks like
+    an archive, else the first. An entry without one leads to a feed, by its last feed
+    link. Entries without title or link go.
+    """
     whole = F.col(xml)
-    tag = lambda c, name: T.unescape_html(F.regexp_extract(c, rf"(?s)<{name}[^>]*>(.*?)</{name}>", 1))
-    links = lambda c: F.regexp_extract_all(c, F.lit(r"(?s)(<link\s[^>]*>)"), F.lit(1))
-    attr = lambda c, name: F.regexp_extract(c, rf'\b{name}="([^"]*)"', 1)
-    head = F.regexp_replace(whole, r"(?s)<entry\b.*</entry>", "")
-    following = F.try_element_at(F.filter(links(head), lambda l: attr(l, "rel") == "next"), F.lit(1))
-    rows = feeds.select(key, F.coalesce(attr(following, "href"), F.lit("")).alias("next"), F.posexplode(F.regexp_extract_all(whole, F.lit(r"(?s)(<entry\b.*?</entry>)"), F.lit(1))).alias("pos", "e"))
-    rows = rows.withColumn("all", links(F.col("e"))).withColumn("books", F.filter("all", lambda l: attr(l, "type").contains("epub")))
-    link = F.coalesce(F.try_element_at("books", F.lit(1)), F.try_element_at("all", F.lit(1)))
+    plain = lambda l, name: F.regexp_extract(l, rf'\b{name}="([^"]*)"', 1)
+    tag = lambda name: F.regexp_extract("e", rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}>", 1)
+    related = lambda links, rel: F.filter(links, lambda l: plain(l, "rel") == rel)
+    head = _links(F.regexp_replace(whole, r"(?s)<entry\b.*</entry>", ""))
+    rows = feeds.select(
+        key, *[_href(related(head, r), -1).alias(r) for r in ("next", "previous")],
+        _href(F.filter(_links(whole), lambda l: (plain(l, "rel") == "search") & plain(l, "href").contains(SEARCH_MARK)), -1).alias("search"),
+        F.posexplode(F.regexp_extract_all(whole, F.lit(r"(?s)(<entry\b.*?</entry>)"), F.lit(1))).alias("pos", "e"),
+    )
+    rows = rows.withColumn("all", _links(F.col("e")))
+    books = F.filter("all", lambda l: plain(l, "rel").contains(ACQUISITION_MARK) & (plain(l, "type") == EPUB_TYPE) & (plain(l, "href") != ""))
+    rows = rows.withColumn("books", books).withColumn("plain", F.filter("books", lambda l: plain(l, "href").contains(".epub") | plain(l, "href").contains("/epub/")))
+    rows = rows.withColumn("feeds", F.filter("all", lambda l: plain(l, "type").contains(FEED_MARK) & (plain(l, "href") != "")))
+    address = F.when(F.size("plain") > 0, _href(F.col("plain"), 1)).when(F.size("books") > 0, _href(F.col("books"), 1)).otherwise(_href(F.col("feeds"), -1))
     rows = rows.select(
-        key, "pos", F.when(F.size("books") > 0, "book").otherwise("navigation").alias("kind"), tag(F.col("e"), "title").alias("title"), tag(F.col("e"), "name").alias("author"),
-        F.coalesce(attr(link, "href"), F.lit("")).alias("href"), tag(F.col("e"), "id").alias("id"), "next",
+        key, "pos", F.when(F.size("books") > 0, "book").otherwise("navigation").alias("kind"), tag("title").alias("title"), F.regexp_extract("e", r"(?s)<author>.*?<name>(.*?)</name>", 1).alias("author"),
+        address.alias("href"), tag("id").alias("id"), "next", "previous", "search",
     )
-    return rows.where("title <> '' and href <> ''")
+    text = ("title", "author", "href", "id", "next", "previous", "search")
+    return rows.where("title <> '' and href <> ''").select(key, "pos", "kind", *[T.unescape_html(F.col(c)).alias(c) for c in text])
 
 
 @F.pandas_udf(StructType([StructField(n, StringType()) for n in ("title", "author", "language")]))
@@ -54,33 +76,9 @@ def epub_metadata(files: DataFrame, key: str, content: str) -> DataFrame:
     return files.select(key, _metadata(F.col(content)).alias("m")).select(key, "m.*")
 
 
-def chapter_html(md: Column) -> Column:
-    """Headings and paragraphs with emphasis, escaped."""
-
-    def block(b):
-        line = xml_escape(F.trim(b))
-        line = F.regexp_replace(F.regexp_replace(line, r"\*\*(.+?)\*\*", "<strong>$1</strong>"), r"\*(.+?)\*", "<em>$1</em>")
-        level = F.length(F.regexp_extract(line, r"^(#{1,6}) ", 1))
-        return F.when(level > 0, F.concat(F.lit("<h"), level.cast("string"), F.lit(">"), F.regexp_replace(line, r"^#{1,6} ", ""), F.lit("</h"), level.cast("string"), F.lit(">"))).otherwise(F.concat(F.lit("<p>"), line, F.lit("</p>")))
-
-    return F.array_join(F.transform(T.blocks(md), block), "\n")
-
-
 def epub_bytes(title: str, author: str, language: str, chapters: list[tuple[str, str]]) -> bytes:
-    """An archive whose first entry is the stored mimetype; fixed times make rebuilds byte-identical."""
-    book_id = uuid.uuid5(uuid.NAMESPACE_URL, title)
-    names = [f"ch{n:02d}" for n in range(1, len(chapters) + 1)]
-    opf = f'<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:identifier>{book_id}</dc:identifier><dc:title>{title}</dc:title><dc:creator>{author}</dc:creator><dc:language>{language}</dc:language></metadata><manifest>'
-    opf += "".join(f'<item id="{n}" href="{n}.xhtml" media-type="application/xhtml+xml"/>' for n in names) + "</manifest><spine>" + "".join(f'<itemref idref="{n}"/>' for n in names) + "</spine></package>"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        put = lambda name, data, kind=zipfile.ZIP_DEFLATED: z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, kind)
-        put("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
-        put("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
-        put("OEBPS/content.opf", opf)
-        for n, (heading, body) in zip(names, chapters, strict=True):
-            put(f"OEBPS/{n}.xhtml", f"<html><head><title>{heading}</title></head><body>{body}</body></html>")
-    return out.getvalue()
+    """An archive of (title, body) chapters; equal sources give equal bytes."""
+    return render.archive(title, author, language, chapters, {})
 
 
 def build_archives(chapters: DataFrame) -> DataFrame:

@@ -13,10 +13,17 @@ _own: list[str] = []
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder (spark.checkpoint.dir; a temporary one where unset) and read back."""
+    """``df`` written to the shared folder spark.checkpoint.dir and read back.
+
+    Where that is unset, a local session uses a temporary folder; on a cluster that would
+    be another folder on each machine, so it is an error there.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="lectern-pinned-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

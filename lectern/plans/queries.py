@@ -29,6 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: White space and line ends as classes of DuckDB's regular expressions.
+WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')"
+
+
+def lines_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{LINE_END}'), lambda x: regexp_matches(x, '[^{WHITE}]'))"
+
+
+def words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '[{WHITE}]+'), lambda x: x <> '')"
+
+
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')"
 _SCORES = ", ".join(f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in ws)})))::INT AS {lang}" for lang, ws in fixed.STOPWORDS.items())
 _VOTE = f"""SELECT doc_id, lang, source, CASE WHEN b < 5 THEN 'unknown' {" ".join(f"WHEN {lang} = b THEN '{lang}'" for lang in fixed.STOPWORDS)} END AS lang_guess, b::INT AS votes
@@ -42,29 +59,47 @@ def lang_vote(spark, d):
 
 @query(f"SELECT lang, lang_guess, count(*) AS n FROM ({_VOTE}) GROUP BY ALL")
 def lang_vote_confusion(spark, d):
-    docs = table(spark, d, "documents")
-    return profile.language_vote(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "lang_guess").agg(F.count("*").alias("n"))
+    return profile.language_vote(table(spark, d, "documents"), "doc_id", "text", ("lang",)).groupBy("lang", "lang_guess").agg(F.count("*").alias("n"))
+
+
+def no_space_sql(x: str) -> str:
+    return f"regexp_replace({x}, '[{WHITE}]+', '', 'g')"
 
 
-_NS = r"regexp_replace({0}, '[\s\x{{00A0}}\x{{3000}}]+', '', 'g')"
 _DOUBLED = "(length(n) >= 16 AND length(n) % 2 = 0 AND n[:length(n) // 2] = n[length(n) // 2 + 1:])"
+
+
 def _profiles(spark, d):
+    return profile.page_profile(table(spark, d, "documents"), "doc_id", "text", ("source",))
+
+
+def _numbered_profiles(spark, d):
+    """Every other document under a numbered head line, as the pages of a source."""
     docs = table(spark, d, "documents")
-    return profile.page_profile(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
+    head = F.concat(F.lit("Vol. "), F.col("doc_id").cast("string"), F.lit("\n"))
+    return profile.page_profile(docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(head, "text")).otherwise(F.col("text"))), "doc_id", "text", ("source",))
+
 
+_NUMBERED = "(SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'Vol. ' || doc_id || chr(10) || text ELSE text END AS text FROM documents)"
 
-# Lines that are their own text twice don't occur often; their cut needs no regular expression of variable length here.
-_PROFILE = rf"""
-WITH l AS (SELECT doc_id, source, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
-n AS (SELECT *, list_transform(ls, lambda x: {_NS.format("x")}) AS ns FROM l),
+
+def profile_sql(documents: str) -> str:
+    # Lines that are their own text twice don't occur often; their cut needs no regular expression of variable length here.
+    cut = f"list_filter(range(1, length(ls[i]) + 1), lambda k: length({no_space_sql('ls[i][:k]')}) = length(ns[i]) // 2)[1]"
+    return f"""
+WITH l AS (SELECT doc_id, source, text, {lines_sql('text')} AS ls FROM {documents}),
+n AS (SELECT *, list_transform(ls, lambda x: {no_space_sql('x')}) AS ns FROM l),
 f AS (SELECT *, list_transform(ns, lambda n: {_DOUBLED}) AS ds FROM n),
-c AS (SELECT *, list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN ds[i] THEN trim(ls[i][:list_filter(range(1, length(ls[i]) + 1), lambda k: length({_NS.format("ls[i][:k]")}) = length(ns[i]) // 2)[1]]) ELSE ls[i] END) AS cs FROM f),
-q AS (SELECT *, regexp_extract_all(lower(array_to_string(cs, ' ')), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS ws FROM c)
-SELECT doc_id, source, length({_NS.format("text")})::INT AS chars, len(ls)::INT AS lines, len(list_filter(ds, lambda x: x))::INT AS doubled_lines,
+c AS (SELECT *, list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN ds[i] THEN {strip_sql(f'ls[i][:{cut}]')} ELSE ls[i] END) AS cs FROM f),
+q AS (SELECT *, regexp_extract_all(lower(array_to_string(cs, ' ')), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS ws FROM c)
+SELECT doc_id, source, length({no_space_sql('text')})::INT AS chars, len(ls)::INT AS lines, len(list_filter(ds, lambda x: x))::INT AS doubled_lines,
   len(ws)::INT AS words, len(list_filter(ws, lambda w: length(w) = 1 AND NOT contains('{fixed.SINGLE_WORDS}', w)))::INT AS stray_singles,
   coalesce(cs[1][:80], '') AS first_line, coalesce(cs[-1][:80], '') AS last_line FROM q"""
 
 
+_PROFILE = profile_sql("documents")
+
+
 @query(_PROFILE)
 def page_profile(spark, d):
     return _profiles(spark, d)
@@ -77,20 +112,32 @@ def ratio_of_sums_by_source(spark, d):
     )
 
 
-@query(rf"""WITH p AS ({_PROFILE}), e AS (SELECT source, trim(regexp_replace(x, '\p{{Nd}}+', '#', 'g')) AS edge_line FROM (SELECT source, unnest([first_line, last_line]) AS x FROM p)),
-t AS (SELECT source, greatest(3, count(*) // 3) AS least FROM p GROUP BY source)
-SELECT source, edge_line, count(*) AS n FROM e JOIN t USING (source) WHERE edge_line <> '' GROUP BY source, edge_line, least HAVING count(*) >= least""")
+_FURNITURE = f"""e AS (SELECT source, {strip_sql("regexp_replace(x, '\\p{Nd}+', '#', 'g')")} AS edge_line FROM (SELECT source, unnest([first_line, last_line]) AS x FROM p)),
+t AS (SELECT source, greatest(3, count(*) // 3) AS least FROM p GROUP BY source),
+h AS (SELECT source, edge_line, count(*) AS n FROM e JOIN t USING (source) WHERE edge_line <> '' GROUP BY source, edge_line, least HAVING count(*) >= least)"""
+
+
+@query(f"WITH p AS ({profile_sql(_NUMBERED)}), {_FURNITURE} SELECT source, edge_line, n FROM h")
 def furniture_lines(spark, d):
-    return profile.furniture(_profiles(spark, d), "source")
+    return profile.furniture(_numbered_profiles(spark, d), "source")
+
+
+# Page images and doubled glyphs by document number; every ninth source has a transcript.
+_ROUTE = f"""WITH p AS ({profile_sql(_NUMBERED)}), {_FURNITURE},
+x AS (SELECT *, doc_id % 5 < 3 AS cd, (doc_id % 10) / 10 AS cover FROM p),
+a AS (SELECT source, count(*) AS pages, count(*) FILTER (chars >= 100) AS text_pages, count(*) FILTER (chars < 100 AND cover > 0.3) AS image_pages, floor(quantile_cont(chars, 0.5))::INT AS median_chars,
+ count(*) FILTER (cd) AS dp, sum(doubled_lines) / greatest(sum(lines), 1) AS dr, sum(stray_singles) / greatest(sum(words), 1) AS sr FROM x GROUP BY source)
+SELECT source, pages, text_pages, image_pages, median_chars, round_even(dr, 3) AS doubled_line_ratio, round_even(sr, 3) AS stray_single_ratio,
+ CASE WHEN ends_with(source, '9') THEN 'TRANSCRIPT' WHEN text_pages >= 0.9 * pages THEN 'TEXT' WHEN text_pages <= 0.1 * pages THEN 'OCR' ELSE 'HYBRID' END AS route,
+ concat_ws(',', CASE WHEN dp > pages / 2 THEN 'doubled_chars' END, CASE WHEN dr > 0.10 THEN 'doubled_lines' END, CASE WHEN sr > 0.02 THEN 'broken_spacing' END,
+ CASE WHEN source IN (SELECT source FROM h) THEN 'page_furniture' END) AS flags FROM a"""
 
 
-@query(f"""WITH p AS ({_PROFILE}), a AS (SELECT source, count(*) AS pages, count(*) FILTER (chars >= 100) AS text_pages, floor(quantile_cont(chars, 0.5))::INT AS median_chars,
- sum(doubled_lines) / greatest(sum(lines), 1) AS dr, sum(stray_singles) / greatest(sum(words), 1) AS sr FROM p GROUP BY source)
-SELECT source, pages, text_pages, median_chars, round(dr, 6) AS doubled_line_ratio, round(sr, 6) AS stray_single_ratio,
- CASE WHEN text_pages / pages >= 0.9 THEN 'TEXT' WHEN text_pages / pages <= 0.1 THEN 'OCR' ELSE 'HYBRID' END AS route,
- concat_ws(',', CASE WHEN dr > 0.05 THEN 'FAKE_BOLD' END, CASE WHEN sr > 0.05 THEN 'BROKEN_SPACING' END, CASE WHEN text_pages < pages THEN 'HAS_IMAGE_PAGES' END, CASE WHEN median_chars < 200 THEN 'SPARSE' END) AS flags FROM a""")
+@query(_ROUTE)
 def route_by_source(spark, d):
-    return profile.route(_profiles(spark, d), "source")
+    p = _numbered_profiles(spark, d).withColumn("char_doubled", F.col("doc_id") % 5 < 3).withColumn("image_coverage", (F.col("doc_id") % 10) / 10)
+    told = table(spark, d, "documents").where(F.col("source").endswith("9")).select("source")
+    return profile.route(p, "source", told)
 
 
 @query("SELECT source, floor(quantile_cont(n_chars, 0.5))::INT AS median_chars FROM documents GROUP BY source")
@@ -98,7 +145,7 @@ def median_chars(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.floor(F.percentile("n_chars", 0.5)).cast("int").alias("median_chars"))
 
 
-_LINES = "SELECT doc_id, 0 AS page, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)"
+_LINES = f"SELECT doc_id, 0 AS page, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS text FROM (SELECT doc_id, {lines_sql('text')} AS ls FROM documents)"
 
 
 def _lines(spark, d):
@@ -201,24 +248,25 @@ def asof_offset(spark, d):
     return joins.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), marks, ["user_id"], "ts", "last_purchase", 0)
 
 
-@query("""WITH p AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS para, unnest(ls) AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents))
+@query(f"""WITH p AS (SELECT doc_id, pos AS para, text FROM ({_LINES}))
 SELECT doc_id, para::INT AS para, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM p""")
 def paragraph_offsets(spark, d):
     p = _lines(spark, d).select("doc_id", F.col("pos").alias("para"), "text")
     return reflow.offsets(p, "doc_id").select("doc_id", "para", "off")
 
 
-_GRAMS = "(SELECT {k}, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT {k}, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM {t}))"
+def grams_sql(key: str, source: str) -> str:
+    return f"(SELECT {key}, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT {key}, {words_sql('text')} AS w FROM {source}))"
 
 
-@query(f"WITH a AS (SELECT doc_id, unnest(g) AS gram FROM {_GRAMS.format(k='doc_id', t='documents')}), b AS (SELECT item_id, unnest(g) AS gram FROM {_GRAMS.format(k='item_id', t='benchmark')}) SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (gram) GROUP BY ALL HAVING count(*) >= 5")
+@query(f"WITH a AS (SELECT doc_id, unnest(g) AS gram FROM {grams_sql('doc_id', 'documents')}), b AS (SELECT item_id, unnest(g) AS gram FROM {grams_sql('item_id', 'benchmark')}) SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (gram) GROUP BY ALL HAVING count(*) >= 5")
 def fivegram_overlap(spark, d):
     return fidelity.overlap(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 @query(rf"""WITH x AS (SELECT doc_id, text, regexp_replace(text, '[#*$%&|<>]+', '', 'g') AS t2 FROM documents),
-g AS (SELECT a.doc_id, a.g AS ga, b.g AS gb FROM {_GRAMS.format(k='doc_id', t='x')} a JOIN (SELECT doc_id, g FROM {_GRAMS.format(k='doc_id', t='(SELECT doc_id, t2 AS text FROM x)')}) b USING (doc_id)),
-m AS (SELECT doc_id, CASE WHEN length({_NS.format('text')}) > 0 THEN length({_NS.format('t2')}) / length({_NS.format('text')}) ELSE 1.0 END AS r FROM x)
+g AS (SELECT a.doc_id, a.g AS ga, b.g AS gb FROM {grams_sql('doc_id', 'x')} a JOIN (SELECT doc_id, g FROM {grams_sql('doc_id', '(SELECT doc_id, t2 AS text FROM x)')}) b USING (doc_id)),
+m AS (SELECT doc_id, CASE WHEN length({no_space_sql('text')}) > 0 THEN length({no_space_sql('t2')}) / length({no_space_sql('text')}) ELSE 1.0 END AS r FROM x)
 SELECT doc_id, round(r, 9) AS char_ratio, round(CASE WHEN len(ga) > 0 THEN len(list_intersect(ga, gb)) / len(ga) ELSE 1.0 END, 9) AS containment,
  r BETWEEN 0.98 AND 1.02 AND (CASE WHEN len(ga) > 0 THEN len(list_intersect(ga, gb)) / len(ga) ELSE 1.0 END) >= 0.995 AS ok FROM g JOIN m USING (doc_id)""")
 def fidelity_gate(spark, d):
@@ -285,7 +333,7 @@ _TIER = "CASE WHEN w IN ('the', 'and', 'of') THEN 'chengyu' WHEN w IN ({0}) THEN
 )
 _REPORT = f"""WITH t AS (SELECT source, {_TIER} AS tier FROM (SELECT source, unnest({_WORDS}) AS w FROM documents)),
 r AS (SELECT source, count(*) AS counted, {", ".join(f"count(*) FILTER (tier = '{t}') AS {t}" for t in ("known", "chengyu", "composed", "stretch", "flagged"))} FROM t GROUP BY source)
-SELECT *, round(flagged / counted, 4) AS out_of_list_rate, round(stretch / counted, 4) AS stretch_rate FROM r"""
+SELECT *, round_even(flagged / counted, 4) AS out_of_list_rate, round_even(stretch / counted, 4) AS stretch_rate FROM r"""
 
 
 def _report(spark, d):
@@ -300,8 +348,8 @@ def tier_report(spark, d):
     return _report(spark, d)
 
 
-@query(f"""SELECT *, len(fail_reasons) = 0 AS passed FROM (SELECT source, list_filter([CASE WHEN out_of_list_rate > 0.35 THEN 'out_of_list_rate>threshold' END, CASE WHEN out_of_list_rate < 0.3 THEN 'out_of_list_rate<min' END,
- CASE WHEN stretch_rate > 0.28 THEN 'stretch_rate>max_stretch' END, CASE WHEN counted < 20000 THEN 'too short' END], lambda x: x IS NOT NULL) AS fail_reasons FROM ({_REPORT}))""")
+@query(f"""SELECT *, len(fail_reasons) = 0 AS passed FROM (SELECT source, list_filter([CASE WHEN out_of_list_rate > 0.35 THEN 'out_of_list_rate>threshold' END, CASE WHEN out_of_list_rate < 0.3 THEN 'out_of_list_rate<min (too easy — reach a little further)' END,
+ CASE WHEN stretch_rate > 0.28 THEN 'stretch_rate>max_stretch' END, CASE WHEN counted < 20000 THEN 'too short (' || counted || '<20000 chars)' END], lambda x: x IS NOT NULL) AS fail_reasons FROM ({_REPORT}))""")
 def gate_report(spark, d):
     out = grading.gate(_report(spark, d), grading.Gates(0.35, 0.3, 0.28, 20000, 0), chars=F.col("counted"))
     return out.select("source", "fail_reasons", "passed")
@@ -309,7 +357,8 @@ def gate_report(spark, d):
 
 @query(f"SELECT count(*) AS sources, bool_and(out_of_list_rate <= 0.4) AS all_passed FROM ({_REPORT})")
 def book_verdict(spark, d):
-    return _report(spark, d).agg(F.count("*").alias("sources"), F.bool_and(F.col("out_of_list_rate") <= 0.4).alias("all_passed"))
+    gated = grading.gate(_report(spark, d), grading.Gates(0.4, 0.0, 1.0, 0, 0)).withColumn("book", F.lit("all"))
+    return grading.book_verdict(gated, "book").select(F.col("chapters").alias("sources"), F.col("passed").alias("all_passed"))
 
 
 _EXPRESSIONS = [("the", None), ("und", None), ("of..the", r"of \w+ the"), ("zero", r"\d{3}"), ("shout", r"[A-Z]{4}!!")]
@@ -320,7 +369,13 @@ def expression_hits(spark, d):
     return grading.expression_hits(table(spark, d, "documents"), "doc_id", "text", _EXPRESSIONS)
 
 
-@query()
+# The pages hold these references and no others.
+_UNESCAPED = "regexp_replace(CASE WHEN regexp_matches(html, '(?s)<body[^>]*>.*</body>') THEN regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) ELSE html END, '<[^>]+>', ' ', 'g')"
+for _name, _char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_name}', '{_char}')"
+
+
+@query(f"SELECT page_id, {_UNESCAPED} AS body_text FROM pages")
 def html_strip(spark, d):
     return integrity.page_text(table(spark, d, "pages"), "page_id", "html")
 
@@ -333,10 +388,14 @@ def link_targets(spark, d):
     return integrity.links(table(spark, d, "pages"), "page_id", "html")
 
 
-@query(f"""SELECT page_id, pos::INT AS pos, href FROM {_HREF} l WHERE starts_with(href, '#') AND NOT EXISTS (SELECT 1 FROM
- (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\\bid\\s*=\\s*"([^"]*)"', 1)) AS a FROM pages) i WHERE i.page_id = l.page_id AND i.a = l.href[2:])""")
+_ANCHORED = """(SELECT page_id, html || '<a href="#p' || (page_id % 7) || '">x</a><p id="p3">y</p>' AS html FROM pages)"""
+
+
+@query(f"""SELECT page_id, pos::INT AS pos, href FROM {_HREF.replace("FROM pages", f"FROM {_ANCHORED}")} l WHERE starts_with(href, '#') AND NOT EXISTS (SELECT 1 FROM
+ (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\\bid\\s*=\\s*"([^"]*)"', 1)) AS a FROM {_ANCHORED}) i WHERE i.page_id = l.page_id AND i.a = l.href[2:])""")
 def dangling_fragments(spark, d):
-    return integrity.dangling_fragments(table(spark, d, "pages"), "page_id", "html")
+    more = F.format_string('<a href="#p%d">x</a><p id="p3">y</p>', F.col("page_id") % 7)
+    return integrity.dangling_fragments(table(spark, d, "pages").withColumn("html", F.concat("html", more)), "page_id", "html")
 
 
 @query("""SELECT partkey, CASE WHEN b IS NULL THEN 'missing' ELSE 'stray' END AS state FROM (SELECT p_partkey AS partkey, 1 AS a FROM part WHERE p_partkey % 7 <> 0) FULL JOIN (SELECT DISTINCT l_partkey AS partkey, 1 AS b FROM lineitem WHERE l_quantity > 45) USING (partkey) WHERE a IS NULL OR b IS NULL""")
@@ -425,10 +484,9 @@ def checksum_compare(spark, d):
     return integrity.checksum_report(want, have, "o_orderkey", "want")
 
 
-@query("SELECT conv_id, turn, coalesce(string_agg(left(text, 10), ' / ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS so_far FROM conversations")
+@query("SELECT conv_id, turn, coalesce(string_agg(text, ' / ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS so_far FROM conversations")
 def outline_prior(spark, d):
-    rows = table(spark, d, "conversations").withColumn("head", F.left("text", F.lit(10)))
-    return ledger.prior(rows, "conv_id", "turn", "head").select("conv_id", "turn", "so_far")
+    return ledger.prior(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "so_far")
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation),
@@ -457,6 +515,13 @@ def level_quantise(spark, d):
     return _pixels(spark, d).select("vec_id", imaging.quantise(F.col("p")).alias("levels"))
 
 
+def _images(spark, d):
+    """Each vector as an image: eight wide where its size allows, else one row."""
+    px, n = _pixels(spark, d), F.size("p")
+    w = F.when(n % 8 == 0, 8).otherwise(n)
+    return px.select(F.col("vec_id").alias("image"), w.cast("int").alias("w"), (n / w).cast("int").alias("h"), F.col("p").alias("pixels"))
+
+
 @query()
 def error_diffusion_1d(spark, d):
     return _pixels(spark, d).select("vec_id", imaging.diffuse_row(F.col("p")).alias("levels"))
@@ -464,8 +529,22 @@ def error_diffusion_1d(spark, d):
 
 @query()
 def error_diffusion_2d(spark, d):
-    px = _pixels(spark, d).where(F.size("p") % 8 == 0)
-    return imaging.diffuse(px.select(F.col("vec_id").alias("image"), F.lit(8).alias("w"), (F.size("p") / 8).cast("int").alias("h"), F.col("p").alias("pixels")))
+    return imaging.diffuse(_images(spark, d))
+
+
+@query()
+def serpentine_diffusion(spark, d):
+    return imaging.dither(_images(spark, d), "floyd")
+
+
+@query(f"""WITH i AS (SELECT vec_id AS image, p, CASE WHEN len(p) % 8 = 0 THEN 8 ELSE len(p) END AS w FROM {_PIXELS}),
+c AS (SELECT image, w, len(p) // w AS h, unnest(p) > 42.5 AS v, generate_subscripts(p, 1) - 1 AS k FROM i), x AS (SELECT image, w, h, k % w AS x, k // w AS y, v FROM c),
+s AS (SELECT a.dx, b.dy FROM (SELECT unnest(range(-6, 7)) AS dx) a, (SELECT unnest(range(0, 7)) AS dy) b WHERE NOT (dy = 0 AND dx <= 0) AND NOT (abs(dx) <= 1 AND dy <= 1)),
+m AS (SELECT a.image, dx, dy, avg((a.v = b.v)::INT) AS m FROM x a, s, x b WHERE b.image = a.image AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY ALL),
+q AS (SELECT image, pow(avg(v::INT), 2) + pow(1 - avg(v::INT), 2) AS chance FROM x GROUP BY image)
+SELECT image, CASE WHEN any_value(chance) >= 0.999 THEN 0.0 ELSE greatest(0.0, max((m - chance) / (1 - chance))) END AS self_match FROM m JOIN q USING (image) GROUP BY image""")
+def self_match(spark, d):
+    return imaging.self_match(_images(spark, d).withColumn("levels", imaging.quantise(F.col("pixels"))))
 
 
 @query("SELECT label, list_sort(list_concat(list_filter(a, lambda x: NOT list_contains(b, x)), list_filter(b, lambda x: NOT list_contains(a, x)))) AS toggled FROM (SELECT label, list_distinct(list(vec_id % 50)) AS a, list_distinct(list(vec_id % 30 + 25)) AS b FROM embeddings GROUP BY label)")
@@ -474,11 +553,11 @@ def selection_algebra(spark, d):
     return e.select("label", ledger.toggle(F.col("a"), F.col("b")).alias("toggled"))
 
 
-@query("SELECT event_id, name FROM (SELECT event_id, 'f' || user_id AS name FROM events WHERE event_type = 'view') q WHERE name NOT IN (SELECT 'f' || user_id FROM events WHERE event_type = 'purchase' AND value > 50)")
+@query("SELECT event_id, name FROM (SELECT event_id, 'f' || user_id AS name FROM events WHERE event_type = 'view') q WHERE name NOT IN (SELECT 'f' || user_id FROM events WHERE event_type = 'purchase' AND value > 50 AND user_id % 2 = 0)")
 def queue_drain(spark, d):
     e = table(spark, d, "events")
     name = F.format_string("f%d", "user_id").alias("name")
-    return ledger.drain(e.where("event_type = 'view'").select("event_id", name), e.where("event_type = 'purchase'").select(name, (F.col("value") > 50).alias("ok")))
+    return ledger.drain(e.where("event_type = 'view'").select("event_id", name), e.where("event_type = 'purchase'").select(name, ((F.col("value") > 50) & (F.col("user_id") % 2 == 0)).alias("ok")))
 
 
 @query("SELECT event_id, CASE WHEN user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'live' ELSE 'missing' END AS state FROM events")
@@ -507,9 +586,9 @@ def rfc3339(spark, d):
     return table(spark, d, "events").select("event_id", T.rfc3339(F.col("event_id") * F.lit(86413.7)).alias("updated"))
 
 
-@query("""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(text[:90], '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[:60], ''), 'book') AS slug FROM documents""")
+@query("""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[:60], ''), 'book') AS slug FROM documents""")
 def slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 90)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^((?:.*?://)?[^/]*)', 1) AS host, CASE WHEN contains(url, '://') THEN url ELSE 'http://' || url END AS full_url FROM pages""")
@@ -517,9 +596,17 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", T.extract_host(F.col("url")).alias("host"), T.ensure_protocol(F.col("url")).alias("full_url"))
 
 
-@query(r"SELECT item_id, len(list_filter(regexp_split_to_array(trim(text), '\n\s*\n'), lambda b: trim(b) <> ''))::INT AS n_blocks, regexp_replace(text, '(?m)^#.*$', '', 'g') AS body FROM benchmark")
+@query(r"""WITH m AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN '# T' || item_id || chr(10) || text || chr(10) || 'RECAP: end ' || item_id WHEN item_id % 3 = 1 THEN text || chr(10) || ' ' || chr(10) || '```verse' || chr(10) || 'a' || chr(10) || '```' ELSE text END AS text FROM benchmark)
+SELECT item_id, len(list_filter(regexp_split_to_array(trim(text), '\n\s*\n'), lambda b: trim(b) <> ''))::INT AS n_blocks, regexp_replace(regexp_replace(text, '(?m)^#.*$', '', 'g'), '(?m)^RECAP:.*$', '', 'g') AS body,
+ regexp_replace(regexp_replace(text, '(?m)^```.*$', '', 'g'), '(?m)^#+\s*', '', 'g') AS prose, CASE WHEN item_id % 3 = 0 THEN 'end ' || item_id END AS recap,
+ CASE WHEN item_id % 3 = 0 THEN regexp_replace(regexp_replace(text, '\n[^\n]*$', ''), '\s+$', '') || chr(10) ELSE text END AS kept FROM m""")
 def markdown_blocks(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.size(T.blocks(F.col("text"))).alias("n_blocks"), T.without_headings(F.col("text")).alias("body"))
+    b, n, t = table(spark, d, "benchmark"), F.col("item_id"), F.col("text")
+    titled = F.concat(F.format_string("# T%d\n", n), t, F.format_string("\nRECAP: end %d", n))
+    t = F.when(n % 3 == 0, titled).when(n % 3 == 1, F.concat(t, F.lit("\n \n```verse\na\n```"))).otherwise(t)
+    return b.select("item_id", t.alias("t")).select(
+        "item_id", F.size(T.blocks(F.col("t"))).alias("n_blocks"), T.without_headings(F.col("t")).alias("body"), T.chapter_prose(F.col("t")).alias("prose"), T.recap(F.col("t")).alias("recap"), T.without_recap(F.col("t")).alias("kept")
+    )
 
 
 @query("SELECT p_partkey, CASE WHEN v <= 42.5 THEN 0 WHEN v <= 127.5 THEN 1 WHEN v <= 212.5 THEN 2 ELSE 3 END AS level, ((77 * (v % 256) + 150 * (v % 199) + 29 * (v % 91)) >> 8)::INT AS luma FROM (SELECT p_partkey, (p_partkey % 256)::INT AS v FROM part)")
@@ -532,7 +619,8 @@ def luma_levels(spark, d):
 def edit_measures(spark, d):
     docs = table(spark, d, "benchmark").select("item_id", "text", F.regexp_replace("text", "th", "t").alias("t2"))
     m = docs.withColumn("m", fidelity.edit_measures("text", "t2"))
-    return m.select("item_id", "m.*", fidelity.edit_bounds(F.length("text"), F.col("m")).alias("broken"))
+    size = F.length("text")
+    return m.select("item_id", "m.*", fidelity.changed_ratio(size, F.col("m")).alias("changed_ratio"), fidelity.growth_ratio(size, F.col("m")).alias("growth_ratio"), fidelity.edit_bounds(size, F.col("m")).alias("broken"))
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer")

@@ -1,6 +1,6 @@
 """All queries of the engine by name, with the SQL that states the same result."""
 
-from lectern.plans import queries, queries_fixture
+from lectern.plans import queries, queries_books, queries_fixture
 
-QUERIES: dict = queries.Q | queries_fixture.Q
-ORACLE_SQL: dict = queries.SQL | queries_fixture.SQL
+QUERIES: dict = queries.Q | queries_fixture.Q | queries_books.Q
+ORACLE_SQL: dict = queries.SQL | queries_fixture.SQL | queries_books.SQL

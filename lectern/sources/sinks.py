@@ -18,11 +18,22 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 
 def staged_overwrite(df: DataFrame, path: str) -> None:
-    """Replace a table that ``df`` itself reads: write beside it, then rename through the Hadoop file system."""
+    """Replace a table that ``df`` itself reads: write beside it, move the old one aside, move the new one in.
+
+    A failed move puts the old table back; at each moment one whole table lies at ``path``,
+    beside it as ``.staged``, or as ``.old``.
+    """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    final, stage = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.staged")
+    final, stage, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".staged", ".old"))
     df.write.mode("overwrite").parquet(stage.toString())
     fs = final.getFileSystem(conf)
-    fs.delete(final, True)
-    fs.rename(stage, final)
+    fs.delete(old, True)
+    had = fs.exists(final)
+    if had and not fs.rename(final, old):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(stage, final):
+        if had:
+            fs.rename(old, final)
+        raise OSError(f"could not move the new table to {path}")
+    fs.delete(old, True)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-UPDATE = "update_id long, from_id long, chat_id long, kind string, payload string"
+UPDATE = "update_id long, from_id long, chat_id long, kind string, payload string, item string"
+ITEM = "struct<item:string,payload:string>"
 
 
 def updates(spark: SparkSession, folder: str, schema: str = UPDATE, files_per_batch: int = 1) -> DataFrame:
@@ -23,22 +24,57 @@ def whitelisted(rows: DataFrame, owner: int) -> DataFrame:
 
 
 def queue_sizes(rows: DataFrame) -> DataFrame:
-    """Per owner the queue after each batch: 'add' appends the payload, 'remove' takes it out, 'clear' empties it."""
+    """Per owner the queue after each batch: 'add' appends an item, 'remove' takes out the item its payload names, 'clear' empties it.
+
+    An item's id is ``item``, or its payload where none is given; equal payloads under
+    different ids are different items. All of a batch's updates are applied in the order of
+    their ids, however the batch is cut.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items = list(state.get[0]) if state.exists else []
-        for df in batches:
-            for kind, payload in df.sort_values("update_id")[["kind", "payload"]].itertuples(index=False):
-                if kind == "add":
-                    items.append(payload)
-                elif kind == "remove":
-                    items = [i for i in items if i != payload]
-                elif kind == "clear":
-                    items = []
+        items = [tuple(i) for i in state.get[0]] if state.exists else []
+        every = pd.concat(list(batches)).sort_values("update_id")
+        for kind, payload, item in every[["kind", "payload", "item"]].itertuples(index=False):
+            if kind == "add":
+                items.append((payload if item is None else item, payload))
+            elif kind == "remove":
+                items = [i for i in items if i[0] != payload]
+            elif kind == "clear":
+                items = []
         state.update((items,))
-        yield pd.DataFrame({"owner": [key[0]], "items": [items], "n": [len(items)]})
+        yield pd.DataFrame({"owner": [key[0]], "items": [[p for _, p in items]], "n": [len(items)]})
+
+    if "item" not in rows.columns:
+        rows = rows.withColumn("item", F.lit(None).cast("string"))
+    return rows.groupBy("from_id").applyInPandasWithState(fold, "owner long, items array<string>, n long", f"items array<{ITEM}>", "update", GroupStateTimeout.NoTimeout)
+
 
-    return rows.groupBy("from_id").applyInPandasWithState(fold, "owner long, items array<string>, n long", "items array<string>", "update", GroupStateTimeout.NoTimeout)
+def pending_slot(rows: DataFrame) -> DataFrame:
+    """Per owner the question that a text answers: 'ask' sets the slot, 'text' reads and clears it, 'cancel' clears it.
+
+    Rows: owner, update_id, question (null: nothing was asked), payload; one for each text.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        asked = state.get[0] if state.exists else None
+        out = []
+        for kind, payload, n in pd.concat(list(batches)).sort_values("update_id")[["kind", "payload", "update_id"]].itertuples(index=False):
+            if kind == "ask":
+                asked = payload
+            elif kind == "text":
+                out.append((key[0], n, asked, payload))
+                asked = None
+            elif kind == "cancel":
+                asked = None
+        state.update((asked,))
+        yield pd.DataFrame(out, columns=["owner", "update_id", "question", "payload"])
+
+    return rows.groupBy("from_id").applyInPandasWithState(fold, "owner long, update_id long, question string, payload string", "question string", "append", GroupStateTimeout.NoTimeout)
+
+
+def admitted(rows: DataFrame, most: int, limit: int = 20 * 1024 * 1024) -> DataFrame:
+    """``rows`` (size) with ``admitted``: whether a file fits the configured size and the transport's."""
+    return rows.withColumn("admitted", F.coalesce(F.col("size") <= min(most, limit), F.lit(True)))
 
 
 def windowed_counts(events: DataFrame, at: str, kind: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
