@@ -9,14 +9,15 @@ A block holds whole documents, in ascending doc_id order over (shard, seq), and
 on its own: the bit offset of every 128th id is a checkpoint, so all stretches between
 checkpoints are decoded together, each step one look-up of the next bits in a table.
 
-Lengths come from counts over the whole corpus, reduced per task before the shuffle; the
-driver sees one count for each id of the vocabulary at most. Documents are ordered by a
-range partitioning, never in one task.
+Texts are read and tokenised once, where they lie: each task also leaves one row with its
+counts of ids, so lengths follow from counts over the whole corpus without another look at
+the tokens; the driver sees one count for each id of the vocabulary at most. Only ids, in
+two bytes where the vocabulary allows, are put in order, by a range partitioning and never
+in one task, and encoded as they arrive.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,23 +27,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import materialise, slices, work_dir
+from lectern.llm.shared import discard, materialise, scratch, slices, text_bytes
 from lectern.llm.tokens import tokenizer
 
 STRIDE = 128
+#: Most bits of a code; more only where there are too many ids for that.
 LIMIT = 16
 BLOCK_TOKENS = 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits for positive counts (package-merge)."""
+    """Optimal code lengths of at most ``limit`` bits for positive counts (package-merge); of as many as n symbols need, if that is more."""
     n = len(counts)
     if n == 0:
         return np.zeros(0, np.int64)
     if n == 1:
         return np.ones(1, np.int64)
-    if n > 1 << limit:
-        raise ValueError(f"{n} symbols need more than {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
     order = np.argsort(counts, kind="stable")
     leaves = counts[order].astype(np.float64)
     merged, is_leaf, levels = leaves, np.ones(n, bool), []
@@ -98,117 +99,126 @@ class Codebook:
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """All stretches between checkpoints advance together."""
-        b = np.frombuffer(payload + b"\0\0\0", np.uint8).astype(np.int32)
-        wide = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+        b = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
+        wide = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
         lanes = len(checkpoints)
         out = np.zeros((STRIDE, lanes), np.uint32)
         at = checkpoints.astype(np.int64)
-        mask, shift = (1 << self.limit) - 1, 24 - self.limit
+        mask, shift = np.uint32((1 << self.limit) - 1), 32 - self.limit
         rest = n - (lanes - 1) * STRIDE
         for t in range(min(STRIDE, n)):
             if t == rest and lanes > 1:
                 at = at[:-1]  # the last stretch has ended
             elif t >= rest and lanes == 1:
                 break
-            bits = (wide[at >> 3] >> (shift - (at & 7))) & mask
+            bits = (wide[at >> 3] >> (shift - (at & 7)).astype(np.uint32)) & mask
             out[t, : len(at)] = self.table_id[bits]
             at = at + self.table_length[bits]
         return out.T.reshape(-1)[:n]
 
 
-_TOKENS = "shard int, seq long, doc_id long, n_tokens long, ids binary"
+_TOKENS = "doc_id long, n_tokens long, ids binary, counts binary"
+_TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, kind: str):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, seq = tokenizer(path).encode, TaskContext.get().partitionId(), 0
+        encode, total = tokenizer(path).encode_all, np.zeros(0, np.int64)
         for whole in batches:
             for batch in slices(whole):
-                ids = [encode(t) + end for t in batch.column(1).to_pylist()]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["shard", "seq", "doc_id", "n_tokens", "ids"],
-                )
-                seq += n
+                ids, ends = encode(text_bytes(batch.column(1)), end)
+                n = np.bincount(ids, minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                ids = ids.astype(kind)
+                cells = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.concatenate([[0], ends]) * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends, prepend=0)), cells, pa.nulls(len(ends), pa.binary())], schema=_TOKENS_ARROW)
+        used = np.flatnonzero(total)
+        if len(used):
+            counts = np.stack([used, total[used]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], schema=_TOKENS_ARROW)
 
     return run
 
 
+def _width(path: str) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab().values(), default=0) < 1 << 16 else "<u4"
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """Ids of every document (u32 bytes, end id included) in ascending doc_id order over (shard, seq)."""
+    """A row for each document, with its ids (end id included) in 2 or 4 bytes each, and a row of counts from each task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("`text`"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialise(ordered.mapInArrow(_tokenise(tokenizer_path, end_id), _TOKENS), "tokens")
+    return materialise(rows.mapInArrow(_tokenise(tokenizer_path, end_id, _width(tokenizer_path)), _TOKENS), "tokens")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for part in slices(batch, 16 << 20):
-            n = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), "<u4"))
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[: len(n)] += n
+        for raw in batch.column(0):
+            ids, n = np.frombuffer(raw.as_py(), "<i8").reshape(2, -1)
+            if len(ids) and ids[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(ids[-1] + 1 - len(total), np.int64)])
+            total[ids] += n
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
 
 _BLOCKS = "shard int, seq long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, checkpoints array<long>, payload binary"
+_BLOCKS_ARROW = pa.schema(
+    [("shard", pa.int32()), ("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()),
+     ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())]
+)
 
 
-def _encode(book):
+def _encode(book, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "seq", "doc_ids", "doc_tokens", "n_tokens", "checkpoints", "payload"]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-
-        def block(rows):
-            payload, marks = book.value.encode(np.frombuffer(b"".join(r[4] for r in rows), "<u4"))
-            cells = [rows[0][0], rows[0][1], [r[2] for r in rows], [r[3] for r in rows], sum(r[3] for r in rows), marks, payload]
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names)
-
-        held, size = [], 0
+        shard, seq, code = TaskContext.get().partitionId(), 0, book.value
         for whole in batches:
             for batch in slices(whole):
-                for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                    if held and (size + row[3] > BLOCK_TOKENS or row[0] != held[-1][0] or row[1] != held[-1][1] + 1):
-                        yield block(held)
-                        held, size = [], 0
-                    held.append(row)
-                    size += row[3]
-        if held:
-            yield block(held)
+                cells, n = batch.column(2), batch.num_rows
+                offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + n + 1]
+                ids = np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+                ends = (offsets - offsets[0]) // ids.itemsize
+                at = 0
+                while at < n:  # whole documents up to BLOCK_TOKENS, one at least
+                    stop = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_TOKENS, side="right")) - 1)
+                    payload, marks = code.encode(ids[ends[at] : ends[stop]])
+                    row = [[shard], [seq], [batch.column(0)[at:stop].to_pylist()], [np.diff(ends[at : stop + 1])], [int(ends[stop] - ends[at])], [marks], [payload]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _BLOCKS_ARROW, strict=True)], schema=_BLOCKS_ARROW)
+                    at, seq = stop, seq + 1
 
     return run
 
 
-def write(tokens: DataFrame, path: str) -> None:
-    """Write the file set of ``tokens`` (as tokenise() gives them) to the folder ``path``."""
+def write(tokens: DataFrame, path: str, kind: str) -> None:
+    """Write the file set of ``tokens`` (as tokenise() gives them, ids of type ``kind``) to the folder ``path``."""
     spark = tokens.sparkSession
-    counts = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary
-    counts.sort(key=lambda r: r["id"])
-    ids = np.array([r["id"] for r in counts], dtype=np.int64)
-    lengths = code_lengths(np.array([r["n"] for r in counts], dtype=np.int64))
-    rows = list(zip(ids.tolist(), lengths.tolist(), strict=True))
-    spark.createDataFrame(rows, "id long, length long").coalesce(1).write.parquet(f"{path}/codebook")
+    counts = tokens.where("counts is not null").select("counts").mapInArrow(_sum_counts, "id long, n long")
+    rows = sorted(tuple(r) for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect())  # one row for each id of the vocabulary
+    ids, times = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+    lengths = code_lengths(times)
+    spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist(), strict=True)), "id long, length long").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast(Codebook(ids, lengths))
-    tokens.mapInArrow(_encode(book), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered = tokens.where("ids is not null").select("doc_id", "n_tokens", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.mapInArrow(_encode(book, kind), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _decode(book):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, seq, doc_ids, doc_tokens, n, marks, payload = [batch.column(i)[k].as_py() for i in range(7)]
-                ids = book.value.decode(payload, np.array(marks, np.int64), n).astype("<u4") if n else np.zeros(0, "<u4")
-                ends = np.cumsum(doc_tokens)
-                starts = ends - doc_tokens
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-                m = len(doc_ids)
+                doc_ids, marks = (batch.column(i)[k].values for i in (2, 5))
+                ends = np.cumsum(batch.column(3)[k].values.to_numpy())
+                starts = np.concatenate([[0], ends[:-1]])
+                ids = book.value.decode(batch.column(6)[k].as_py(), marks.to_numpy(), int(ends[-1])).astype("<u4")
+                m, view = len(doc_ids), memoryview(ids)
+                crcs = [zlib.crc32(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * m, pa.int32()), pa.array([seq] * m, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(doc_tokens, pa.int64()), pa.array(crcs, pa.int64())],
+                    [pa.array([batch.column(0)[k].as_py()] * m, pa.int32()), pa.array([batch.column(1)[k].as_py()] * m, pa.int64()), doc_ids, pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())],
                     names=["shard", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
@@ -242,6 +252,8 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: str
     further columns are ignored.
     """
     spark = docs.sparkSession
-    path = path or f"{work_dir(spark)}/lectern-huffman-{uuid.uuid4().hex}"
-    write(tokenise(docs, tokenizer_path, end_id), path)
+    path = path or scratch(spark, "huffman")
+    tokens = tokenise(docs, tokenizer_path, end_id)
+    write(tokens, path, _width(tokenizer_path))
+    discard(tokens)
     return read(spark, path)

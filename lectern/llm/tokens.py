@@ -1,9 +1,11 @@
 """Token ids of whole texts with the ``tokenizers`` library, memoised by word.
 
 Byte-level BPE never merges across the places where its pattern cuts, and a single
-blank or line feed between non-blank characters is always such a place. So a text
-whose white space stands alone is encoded chunk by chunk through a bounded memo; any
-other text is encoded whole by the library. Both give the library's ids.
+blank or line feed between non-blank characters is always such a place. So a batch of
+texts is cut there into units (a word with the blank before it, or a line feed), whose
+distinct ones are found by Arrow's dictionary encoding; only those meet the bounded memo
+and the library, and Arrow joins their ids again. A text with other white space is
+encoded whole by the library. Both give the library's ids.
 """
 
 from __future__ import annotations
@@ -13,10 +15,15 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 _SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s'<]*)\Z")
-#: Entries a memo keeps before it starts afresh (bounds a worker's memory).
-MEMO_ENTRIES = 500_000
+#: The memo's younger half becomes its older one at so many entries, and longer units aren't kept (both bound a
+#: worker's memory).
+MEMO_ENTRIES = 250_000
+MEMO_UNIT_BYTES = 64
+#: Texts cut into units together.
+PIECE_BYTES = 8 << 20
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -29,24 +36,6 @@ def _byte_alphabet() -> dict[int, str]:
 _LETTERS = _byte_alphabet()
 
 
-class _Whole(Exception):
-    """The text must be encoded as a whole."""
-
-
-class _Memo(dict):
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self._encode, self._prefix = encode, prefix
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Whole
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        ids = self[chunk] = self._encode(self._prefix, chunk)
-        return ids
-
-
 class DocumentTokenizer:
     """``encode(text)``: ids as little-endian unsigned 32-bit bytes, without the end id."""
 
@@ -56,49 +45,113 @@ class DocumentTokenizer:
 
         self._library = Tokenizer.from_file(path)
         self._model = self._library.model
-        self._words: dict[str, bytes] = {}
-        byte_level = "ByteLevel" in str(self._library.pre_tokenizer) and self._library.normalizer is None
-        self._by_chunk = byte_level
-        self._line_feed = self._ids("\n") if byte_level else b""
-        self._first, self._next = _Memo(self._chunk, ""), _Memo(self._chunk, " ")
+        self._by_unit = "ByteLevel" in str(self._library.pre_tokenizer) and self._library.normalizer is None
+        self._young: dict[bytes, bytes | None] = {}
+        self._old: dict[bytes, bytes | None] = {}
+        self._marks: dict[bytes, bytes] = {}
+        self._feed = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one unit of the pattern, spaces included."""
-        ids = self._words.get(word)
-        if ids is None:
-            if len(self._words) >= MEMO_ENTRIES:
-                self._words.clear()
-            letters = word.encode().decode("latin-1").translate(_LETTERS)
-            ids = self._words[word] = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
-        return ids
-
-    def _chunk(self, prefix: str, chunk: str) -> bytes:
-        m = _SIMPLE.match(chunk)
+    def _bytes(self, raw: bytes) -> bytes:
+        """Ids of one unit of the pattern, its blank included."""
+        letters = raw.decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+
+    def _unit(self, raw: bytes) -> bytes | None:
+        """Ids of a unit; None if white space within it could join what stands around it."""
+        text = raw.decode()
+        if text == "\n":
+            return self._feed
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha():
+            return self._bytes(raw)
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        m = _SIMPLE.match(word)
         if m and m[1].isalpha():
             # a run of letters and one of marks: the pattern cuts between them, and nowhere else
-            head = self._word(prefix + m[1])
-            return head + self._word(m[2]) if m[2] else head
-        return self._ids(prefix + chunk)
+            marks = m[2].encode()
+            tail = self._marks.get(marks)
+            if tail is None:
+                tail = self._bytes(marks)
+                if len(marks) <= 4 and len(self._marks) < 10_000:
+                    self._marks[marks] = tail
+            return self._bytes(raw[: len(raw) - len(marks)]) + tail
+        return self._ids(text)
+
+    def _units(self, distinct: list[bytes]) -> list[bytes | None]:
+        out = []
+        for raw in distinct:
+            ids = self._young.get(raw, self)
+            if ids is self:
+                ids = self._old.get(raw, self)
+                if ids is self:
+                    ids = self._unit(raw)
+                if len(raw) <= MEMO_UNIT_BYTES:
+                    self._young[raw] = ids
+            out.append(ids)
+        if len(self._young) >= MEMO_ENTRIES:
+            self._old, self._young = self._young, {}
+        return out
+
+    def encode_all(self, raws: list[bytes], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, ``end`` after each, as one array, and the place in it where each text's ids end."""
+        parts, ends, held, size, at = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], [], 0, 0
+        for n, raw in enumerate(raws):
+            held.append(raw)
+            size += len(raw)
+            if size >= PIECE_BYTES or n == len(raws) - 1:
+                ids, stops = self._piece(held, end)
+                parts.append(ids)
+                ends.append(stops + at)
+                held, size, at = [], 0, at + len(ids)
+        return np.concatenate(parts), np.concatenate(ends)
+
+    def _piece(self, raws: list[bytes], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(r) for r in raws], np.int64)
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        stop = np.cumsum(sizes)
+        some = np.flatnonzero(sizes)
+        if not self._by_unit:
+            return self._joined([self._ids(r.decode()) + end for r in raws])
+        blank, feed = data == 32, data == 10
+        cut = blank | feed
+        cut[1:] |= feed[:-1]
+        cut[(stop - sizes)[some]] = True
+        start = np.flatnonzero(cut)
+        first, last = np.searchsorted(start, stop - sizes), np.searchsorted(start, stop)  # units of each text
+        units = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        coded = units.dictionary_encode()
+        ids = self._units(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # a text is encoded whole if a unit is odd by itself, or a blank or line feed isn't between words
+        gap, line = blank[start], feed[start]
+        odd = np.array([i is None for i in ids], bool)[index] if len(index) else np.zeros(0, bool)
+        begins, closes = np.zeros(len(start), bool), np.zeros(len(start), bool)
+        begins[first[some]], closes[last[some] - 1] = True, True
+        odd |= (begins & (gap | line)) | (closes & line)
+        odd[:-1] |= line[:-1] & (gap | line)[1:]
+        upto = np.concatenate([[0], np.cumsum(odd)])
+        values = [b"" if i is None else i for i in ids]
+        values += [end, b""]
+        for n in np.flatnonzero(upto[last] > upto[first]).tolist():
+            index[first[n] : last[n]] = len(ids) + 1
+            index[first[n]] = len(values)
+            values.append(self._ids(raws[n].decode()))
+        index = np.insert(index, last, len(ids))
+        taken = pa.array(values, pa.binary()).take(pa.array(index))
+        offsets = np.frombuffer(taken.buffers()[1], np.int32)[: len(index) + 1]
+        out = np.frombuffer(taken.buffers()[2] or b"", "<u4")[: int(offsets[-1]) // 4]
+        return out, offsets[last + np.arange(1, len(raws) + 1)].astype(np.int64) // 4
+
+    @staticmethod
+    def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), "<u4"), np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self._by_chunk:
-            return self._ids(text)
-        try:
-            first, following, parts = self._first, self._next, []
-            for n, line in enumerate(text.split("\n")):
-                if n:
-                    parts.append(self._line_feed)
-                words = line.split(" ")
-                parts.append(first[words[0]])
-                parts.extend([following[w] for w in words[1:]])
-            return b"".join(parts)
-        except _Whole:
-            return self._ids(text)
+        return self.encode_all([(text or "").encode()])[0].tobytes()
 
 
 _loaded: dict[str, DocumentTokenizer] = {}
