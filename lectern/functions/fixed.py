@@ -62,6 +62,7 @@ SIX = ((1, 0), (2, 0), (-1, 1), (0, 1), (1, 1), (0, 2))
 KERNELS = {"atkinson": {at: 1 / 8 for at in SIX}, "floyd": {(1, 0): 7 / 16, (-1, 1): 3 / 16, (0, 1): 5 / 16, (1, 1): 1 / 16}}
 NOISE_SHARE = 0.55
 GAMMA = 0.85
+EDGE_BAND = 0.08
 # Sizes that a user interface's font needs.
 UI_SIZES = (8, 10, 12)
 # Length of a slug, of a short gloss, of a preview.

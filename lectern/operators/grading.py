@@ -262,3 +262,17 @@ def accept_chapter(outline: DataFrame, introduced: DataFrame, worthy: DataFrame,
     place = F.row_number().over(Window.partitionBy(book).orderBy("first_pos"))
     added = new.withColumn("place", place).join(last, book, "left").select(book, "word", (F.coalesce("last", F.lit(-1)) + F.col("place")).cast(introduced.schema["pos"].dataType).alias("pos"))
     return outline, introduced.select(book, "word", "pos").unionByName(added), new
+
+
+def syllabus(words: DataFrame, definitions: DataFrame, bands: tuple[str, ...], most: str) -> DataFrame:
+    """(word, level, reading, gloss) of the bands up to ``most``: words (band, word) with their dictionary entry, '' without one."""
+    wanted = bands[: bands.index(most) + 1]
+    rows = words.where(F.col("band").isin(*wanted)).select("word", F.concat(F.lit("HSK"), "band").alias("level"))
+    return with_gloss(rows, definitions)
+
+
+def chapter_of(outline: DataFrame, n: int, order: str) -> DataFrame:
+    """The first entry of chapter ``n``; an error without one."""
+    first = outline.where(F.col("n") == n).orderBy(order).limit(1)
+    there = first.agg(F.count("*").alias("c")).select(F.when(F.col("c") == 0, F.raise_error(F.lit(f"chapter {n} not found"))).otherwise(F.lit(True)).alias("ok"))
+    return first.crossJoin(F.broadcast(there)).drop("ok")  # one row each

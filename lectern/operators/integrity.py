@@ -156,3 +156,24 @@ def spine_text(chapters: DataFrame, book: str, html: str) -> DataFrame:
     rows = chapters.select(book, "pos", T.html_text(F.col(html)).alias("t"))
     cells = F.array_sort(F.collect_list(F.struct("pos", "t")))
     return rows.groupBy(book).agg(F.array_join(F.transform(cells, lambda c: c["t"]), "\n").alias("text"))
+
+
+def inside(root, path):
+    """Whether an absolute path, its '..' resolved, is the root or lies below it."""
+    a, b = resolve_path(root), resolve_path(path)
+    return (a == b) | b.startswith(F.concat(a, F.lit("/"))) | (a == "")
+
+
+def cover_reasons(kind, progressive, mode, w, h):
+    """Why an image can't be a cover as it is: format, coding, colour, size; empty for a fit one."""
+    from lectern.functions import fixed
+
+    named = F.upper(F.coalesce(kind, F.lit("")))
+    return F.array_compact(
+        F.array(
+            F.when(~named.isin("PNG", "JPEG"), F.concat(F.lit("format "), F.when(named == "", "?").otherwise(named), F.lit(" (need PNG or baseline JPEG)"))),
+            F.when((named == "JPEG") & progressive, "progressive JPEG (renders as [Image] placeholder)"),
+            F.when(~mode.isin("L", "1"), F.concat(F.lit("mode "), mode, F.lit(" (need grayscale)"))),
+            F.when((w > fixed.PANEL_W) | (h > fixed.PANEL_H), F.format_string(f"size %dx%d (exceeds {fixed.PANEL_W}x{fixed.PANEL_H} panel)", w, h)),
+        )
+    )

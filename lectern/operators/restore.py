@@ -6,6 +6,7 @@ independent: every step works on all of them at once, keyed by document.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -35,9 +36,24 @@ class PageRange:
         return cls(int(first), int(last) if last else int(first), treat, reflow)
 
 
+@dataclass(frozen=True)
+class AnchorRange:
+    """Lines from one that equals ``start`` to one that equals ``end``, both included; ``end`` is sought from the start on.
+
+    A text that occurs several times needs its occurrence, counted from 1.
+    """
+
+    start: str
+    end: str
+    treat: str
+    reflow: str | None = None
+    start_occurrence: int | None = None
+    end_occurrence: int | None = None
+
+
 @dataclass(frozen=True)
 class Policy:
-    ranges: tuple[PageRange, ...]
+    ranges: tuple[PageRange | AnchorRange, ...]
     furniture: tuple[str, ...] = ()
     reflow: str = "sentence"
     dehyphenate: bool = False
@@ -52,6 +68,50 @@ class Policy:
                 raise ValueError(f"unknown reflow {r.reflow or self.reflow!r}")
 
 
+def policy_of(document: Mapping) -> Policy:
+    """A policy from its JSON document; what contradicts itself in it is an error."""
+    ranges: list[PageRange | AnchorRange] = []
+    for r in document["page_ranges"]:
+        anchored = [k for k in ("start_anchor", "end_anchor") if k in r]
+        if anchored and "pages" in r:
+            raise ValueError("a range cannot mix pages with anchors")
+        if len(anchored) == 1:
+            raise ValueError("a range needs both start_anchor and end_anchor")
+        if anchored:
+            ranges.append(AnchorRange(r["start_anchor"], r["end_anchor"], r["treat"], r.get("reflow"), r.get("start_anchor_occurrence"), r.get("end_anchor_occurrence")))
+        else:
+            ranges.append(PageRange.parse(r["pages"], r["treat"], r.get("reflow")))
+    return Policy(
+        tuple(ranges), tuple(document.get("furniture", ())), document.get("reflow", "sentence"), document.get("dehyphenate", False), tuple(document.get("dehyphenate_exceptions", ())), tuple(document.get("normalize", {}).items())
+    )
+
+
+def anchored_spans(lines: DataFrame, doc: str, r: AnchorRange) -> DataFrame:
+    """(doc, s, e, error): first and last line number (n) of an anchored range in each document."""
+    docs, rows = lines.select(doc).distinct(), lines.select(doc, F.col("n").alias("pos"), "text")
+    start = joins.locate_anchor(rows, docs, doc, "text", r.start, r.start_occurrence).select(doc, F.col("pos").alias("s"), F.col("error").alias("first"))
+    later = rows.join(start.select(doc, "s"), doc).where("pos >= s").drop("s")
+    end = joins.locate_anchor(later, docs, doc, "text", r.end, r.end_occurrence).select(doc, F.col("pos").alias("e"), F.col("error").alias("last"))
+    said = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: anchor "), c)) for name, c in (("start", "first"), ("end", "last"))]
+    return start.join(end, doc).select(doc, "s", "e", F.coalesce(*said).alias("error"))
+
+
+def with_ranges(lines: DataFrame, doc: str, policy: Policy) -> DataFrame:
+    """``lines`` with ``n`` (the line's number in its document) and ``holds``: for each of the policy's ranges whether it has the line."""
+    if "n" not in lines.columns:
+        lines = lines.withColumn("n", F.row_number().over(Window.partitionBy(doc).orderBy("page", "pos")) - 1)
+    holds = []
+    for k, r in enumerate(policy.ranges):
+        if isinstance(r, PageRange):
+            holds.append(_inside(r))
+            continue
+        span = anchored_spans(lines, doc, r).select(doc, F.struct("s", "e", "error").alias(f"__r{k}"))
+        lines = lines.join(span, doc)
+        cell = F.col(f"__r{k}")
+        holds.append(F.when(cell["error"].isNotNull(), F.raise_error(cell["error"]).cast("boolean")).otherwise(F.col("n").between(cell["s"], cell["e"])))
+    return lines.withColumn("holds", F.array(*holds)).drop(*[f"__r{k}" for k in range(len(policy.ranges))])
+
+
 def flatten(pages: DataFrame, doc: str) -> DataFrame:
     """(doc, page, pos, n, line fields): all lines of all pages in page order; ``n`` numbers a document's lines from 0."""
     rows = reflow.flatten(pages, doc)
@@ -60,9 +120,9 @@ def flatten(pages: DataFrame, doc: str) -> DataFrame:
 
 def range_errors(lines: DataFrame, doc: str, policy: Policy) -> DataFrame:
     """(doc, error): why the policy's ranges don't cut a document's lines into parts: lines in none or in several, ranges without a line."""
-    holds = [_inside(r) for r in policy.ranges]
-    n = reduce(lambda a, b: a + b, [h.cast("int") for h in holds])
-    seen = [F.count_if(h).alias(f"r{k}") for k, h in enumerate(holds)]
+    lines, holds = with_ranges(lines, doc, policy), policy.ranges
+    n = F.size(F.filter("holds", lambda h: h))
+    seen = [F.count_if(F.col("holds")[k]).alias(f"r{k}") for k in range(len(holds))]
     rows = lines.groupBy(doc).agg(F.count_if(n == 0).alias("gaps"), F.count_if(n > 1).alias("overlaps"), *seen)
     empty = [F.when(F.col(f"r{k}") == 0, f"range {k + 1} matches no line") for k in range(len(holds))]
     errors = F.array_compact(F.array(F.when(F.col("gaps") > 0, "lines in no range"), F.when(F.col("overlaps") > 0, "lines in several ranges"), *empty))
@@ -95,11 +155,10 @@ def restore(lines: DataFrame, doc: str, policy: Policy) -> tuple[DataFrame, Data
         rows = lines.withColumn("furniture", joins.first_pattern(F.col("text"), list(policy.furniture)))
     else:
         rows = lines.withColumn("furniture", F.lit(None).cast("string"))
-    which = F.lit(None).cast("int")
-    for k, r in reversed(list(enumerate(policy.ranges))):
-        which = F.when(_inside(r), k).otherwise(which)
-    rows = rows.withColumn("range", which)
-    rows = rows.withColumn("range", F.when(F.col("range").isNull(), F.raise_error(F.lit("page ranges do not cover the whole document")).cast("int")).otherwise(F.col("range")))
+    rows = with_ranges(rows, doc, policy)
+    parts_of = F.size(F.filter("holds", lambda h: h))
+    wrong = F.when(parts_of == 0, "ranges do not cover the whole document").when(parts_of > 1, "ranges overlap")
+    rows = rows.withColumn("range", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("int")).otherwise((F.array_position("holds", True) - 1).cast("int"))).drop("holds", "n")
     kept = rows.where("furniture is null").withColumn("chunk", F.struct(F.col(doc).alias("d"), F.col("range").alias("r")))
     treats = {k: (r.treat, r.reflow or policy.reflow) for k, r in enumerate(policy.ranges)}
     of = lambda pick: [k for k, t in treats.items() if pick(t)]
@@ -132,7 +191,9 @@ def restore(lines: DataFrame, doc: str, policy: Policy) -> tuple[DataFrame, Data
     units = reduce(DataFrame.unionByName, parts)
     units = units.select(F.col("chunk.d").alias(doc), F.col("chunk.r").alias("range"), "para", "kind", "text")
     units = reflow.normalise(units, "text", list(policy.normalise)) if policy.normalise else units.withColumn("hits", F.array().cast("array<bigint>"))
-    number = F.row_number().over(Window.partitionBy(doc).orderBy("range", "para")) - 1
+    begins = kept.groupBy(doc, "range").agg(F.min(F.struct("page", "pos")).alias("begin"))
+    number = F.row_number().over(Window.partitionBy(doc).orderBy("begin", "para")) - 1
+    units = units.join(begins, [doc, "range"])
     return units.select(doc, number.cast("int").alias("unit"), "kind", "text"), _report(rows, kept, units, merged, flows, doc, policy, of)
 
 
@@ -146,7 +207,7 @@ def _report(rows: DataFrame, kept: DataFrame, units: DataFrame, merged: list[Dat
     hits = [F.coalesce(F.sum(F.col("hits")[k]), F.lit(0)).alias(f"h{k}") for k in range(len(policy.normalise))]
     flowing = of(lambda t: t[0] == "body" and t[1] != "verse") or [-1]
     after = units.groupBy(doc).agg(
-        joined(F.struct("range", "para", F.col("text").alias("t"))).alias("after"), F.count("*").alias("paragraphs"), F.count_if(F.col("range").isin(flowing)).alias("flowed"), *hits
+        joined(F.struct("begin", "para", F.col("text").alias("t"))).alias("after"), F.count("*").alias("paragraphs"), F.count_if(F.col("range").isin(flowing)).alias("flowed"), *hits
     )
     # each line that comes to a flowing range and begins no paragraph there has been joined
     flows = flows or [kept.select("chunk").limit(0)]

@@ -535,3 +535,53 @@ SELECT doc_id, round_even(r, 4) AS char_ratio, round_even(c, 4) AS ngram_contain
 def book_coverage(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" and more words of no use at all to anybody"))).otherwise(F.concat(F.lower("text"), F.lit(" "))).alias("t2"), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0).alias("errors"))
     return fidelity.coverage(docs, "doc_id", "text", "t2", "errors")
+
+
+# ------------------------------------------------------------------ functions, lists, covers, panels
+@query(f"""WITH w AS (SELECT item_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM (SELECT item_id, list_filter(regexp_split_to_array(text || ' &amp; x', '\\s+'), lambda x: x <> '') AS ws FROM benchmark)) SELECT item_id, pos::INT AS pos, replace(word, '&amp;', '&') AS word FROM w""")
+def sql_functions(spark, d):
+    from lectern.functions import sql
+
+    sql.register(spark)
+    table(spark, d, "benchmark").createOrReplaceTempView("lectern_benchmark")
+    return spark.sql("SELECT item_id, w.pos, html_text(w.word) AS word FROM lectern_benchmark, LATERAL words(text || ' &amp; x') w")
+
+
+@query("SELECT p_name || p_partkey AS word, 'HSK' || band AS level, CASE WHEN p_size > 20 THEN p_type ELSE '' END AS reading, CASE WHEN p_size > 20 THEN p_brand ELSE '' END AS gloss FROM (SELECT *, ['1', '2', '3', '7-9'][p_partkey % 4 + 1] AS band FROM part) WHERE band <> '7-9'")
+def syllabus_list(spark, d):
+    bands = ("1", "2", "3", "7-9")
+    word = F.concat("p_name", key().cast("string")).alias("word")
+    words = part(spark, d).select(word, F.element_at(F.array(*map(F.lit, bands)), (key() % 4 + 1).cast("int")).alias("band"))
+    known = part(spark, d).where("p_size > 20").select(word, F.col("p_type").alias("reading"), F.col("p_brand").alias("gloss"))
+    return grading.syllabus(words, known, bands, "3")
+
+
+@query("""SELECT p_partkey, list_filter([CASE WHEN f NOT IN ('PNG', 'JPEG') THEN 'format ' || CASE WHEN f = '' THEN '?' ELSE f END || ' (need PNG or baseline JPEG)' END, CASE WHEN f = 'JPEG' AND p_partkey % 2 = 0 THEN 'progressive JPEG (renders as [Image] placeholder)' END,
+ CASE WHEN p_partkey % 3 > 0 THEN 'mode RGB (need grayscale)' END, CASE WHEN p_size * 20 > 528 OR p_partkey % 900 > 792 THEN 'size ' || p_size * 20 || 'x' || p_partkey % 900 || ' (exceeds 528x792 panel)' END], lambda x: x IS NOT NULL) AS reasons,
+ p_partkey % 4 IN (0, 3) AS inside FROM (SELECT *, ['PNG', 'JPEG', 'GIF', ''][p_partkey % 4 + 1] AS f FROM part)""")
+def cover_reasons(spark, d):
+    kind = F.element_at(F.array(F.lit("png"), F.lit("jpeg"), F.lit("gif"), F.lit(None).cast("string")), (key() % 4 + 1).cast("int"))
+    path = F.element_at(F.array(F.lit("/lib/a/../b"), F.lit("/lib/../etc"), F.lit("/library/x"), F.lit("/lib")), (key() % 4 + 1).cast("int"))
+    reasons = integrity.cover_reasons(kind, key() % 2 == 0, F.when(key() % 3 > 0, "RGB").otherwise("L"), F.col("p_size") * 20, key() % 900)
+    return part(spark, d).select("p_partkey", reasons.alias("reasons"), integrity.inside(F.lit("/lib/"), path).alias("inside"))
+
+
+@query("""WITH p AS (SELECT vec_id, (vec_id * 7) % 40 AS x, (vec_id * 3) % 60 AS y FROM embeddings), f AS (SELECT *, (20 - y) / 20.0 AS t, (y - 40 + 1) / 20.0 AS b, (10 - x) / 10.0 AS l, (x - 30 + 1) / 10.0 AS r FROM p)
+SELECT vec_id, CASE WHEN greatest(t, b, l, r) <= 0 THEN NULL WHEN t = greatest(t, b, l, r) THEN 'top' WHEN b = greatest(t, b, l, r) THEN 'bottom' WHEN l = greatest(t, b, l, r) THEN 'left' ELSE 'right' END AS side FROM f""")
+def mat_sectors(spark, d):
+    n = F.col("vec_id")
+    return table(spark, d, "embeddings").select("vec_id", imaging.mat_side((n * 7) % 40, (n * 3) % 60, 10, 20, 20, 20, 40, 60).alias("side"))
+
+
+@query("SELECT vec_id AS image, 40::BIGINT AS width, 60::BIGINT AS height, 4::BIGINT AS bpp, true AS native, NULL::VARCHAR AS error, 54 + 64 + 20 * 60 AS size FROM embeddings")
+def wallpaper_files(spark, d):
+    px = _pixels(spark, d)
+    made = imaging.wallpapers(px.select(F.col("vec_id").alias("image"), F.lit(8).alias("w"), (F.size("p") / 8).cast("int").alias("h"), F.col("p").alias("pixels")), "floyd", "edges", 40, 60)
+    heads = imaging.bmp_header(made, "image", "content")
+    return heads.select("image", "width", "height", "bpp", "native", "error").join(made.select("image", F.octet_length("content").alias("size")), "image")
+
+
+@query("SELECT conv_id AS book, role AS title FROM conversations WHERE turn = 1 AND conv_id = (SELECT min(conv_id) FROM conversations WHERE turn = 1)")
+def chapter_lookup(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("n"), F.col("role").alias("title"))
+    return grading.chapter_of(rows, 1, "book").select("book", "title")

@@ -86,6 +86,20 @@ def book(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("title", "author", "pos", F.format_string("ch%02d", F.col("pos") + 1).alias("chapter"), F.coalesce(F.col("c.source_md"), F.col("c.source")).alias("source"), F.col("c.glossary").alias("glossary"))
 
 
+def book_fallback(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, title, author, language) of the book documents below a root; a broken document gives nothing.
+
+    A built archive lies two levels below its book's folder: see grandparent().
+    """
+    rows = spark.read.schema("title string, author string, language string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("pathGlobFilter", "book.json")
+    found = rows.json(root, multiLine=True).select(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder"), "title", "author", "language", "_corrupt")
+    return found.where("_corrupt is null").select("folder", *[T.clean_metadata(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "author", "language")])
+
+
+def grandparent(path):
+    return F.regexp_extract(path, "^(.*)/[^/]*/[^/]*$", 1)
+
+
 def chapter_texts(spark: SparkSession, book_path: str) -> DataFrame:
     """Chapters of a book document (see book()) with their texts: the written source, not an annotated copy.
 

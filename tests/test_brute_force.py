@@ -191,6 +191,44 @@ def test_policies_are_checked(spark):
         restore.restore(lines, "doc", restore.Policy((restore.PageRange.parse("1-2", "body"),)))[0].collect()
 
 
+def test_anchored_ranges(spark):
+    rows = [(1, "Title", 0.0), (1, "One", 0.0), (1, "verse a", 0.0), (1, "verse b", 0.0), (1, "more.", 0.0), (2, "One", 0.0)]
+    document = {"page_ranges": [{"start_anchor": "verse a", "end_anchor": "verse b", "treat": "body", "reflow": "verse"}, {"start_anchor": "Title", "end_anchor": "One", "end_anchor_occurrence": 1, "treat": "front_matter"}, {"start_anchor": "more.", "end_anchor": "One", "treat": "body"}], "normalize": {"more": "MORE"}}
+    units, report = restore.restore(book_lines(spark, rows), "doc", restore.policy_of(document))
+    assert [(r.kind, r.text) for r in units.orderBy("unit").collect()] == [("para", "Title"), ("para", "One"), ("verse", "verse a\nverse b"), ("para", "MORE."), ("para", "One")]
+    r = report.first()
+    assert (r.gate_pass, r.char_ratio, r.joins_made, r.normalisations) == (True, 1.0, 0, [1])
+    document["page_ranges"][1].pop("end_anchor_occurrence")
+    with pytest.raises(Exception, match="anchor ambiguous"):
+        restore.restore(book_lines(spark, rows), "doc", restore.policy_of(document))[0].collect()
+    for wrong in ({"pages": "1", "start_anchor": "x", "end_anchor": "y", "treat": "skip"}, {"start_anchor": "x", "treat": "skip"}):
+        with pytest.raises(ValueError):
+            restore.policy_of({"page_ranges": [wrong]})
+
+
+def test_stages_from_the_command_line(spark, tmp_path):
+    from lectern.__main__ import main
+
+    book_lines(spark, [(1, "a b c.", 0.0), (2, "12", 0.0)]).write.parquet(str(tmp_path / "lines"))
+    (tmp_path / "policy.json").write_text(json.dumps({"page_ranges": [{"pages": "1-2", "treat": "body"}], "furniture": [r"^\d+$"]}))
+    assert main(["restore", str(tmp_path / "lines"), str(tmp_path / "units"), "--policy", str(tmp_path / "policy.json"), "--book", "doc"]) == 0
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "units")).collect()] == ["a b c."]
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books" / "x.epub").write_bytes(render.archive("T", "A", "en", [("One", '<a href="#no">x</a>')], {}))
+    assert main(["verify", str(tmp_path / "books"), str(tmp_path / "errors")]) == 1
+    assert [r.error for r in spark.read.parquet(str(tmp_path / "errors")).collect()] == ["OEBPS/ch01.xhtml dead fragment #no"]
+
+
+def test_fallback_metadata_two_levels_up(spark, tmp_path):
+    for name, text in (("a", '{"title": " T ", "author": "A"}'), ("b", "{broken")):
+        (tmp_path / name / "build").mkdir(parents=True)
+        (tmp_path / name / "book.json").write_text(text)
+    got = readers.book_fallback(spark, str(tmp_path)).collect()
+    assert [(r.title, r.author, r.language) for r in got] == [("T", "A", "")]
+    path = spark.createDataFrame([(f"{got[0].folder}/build/a.epub",)], "p string").select(readers.grandparent(F.col("p")).alias("x")).first().x
+    assert path == got[0].folder
+
+
 def test_drafts_are_checked(spark):
     assert draft.validate({"title": "T"}) == ["missing required keys: ['author', 'language', 'chapters', 'front_matter']"]
     full = {"title": "T", "author": "A", "language": "en", "chapters": [{"toc_label": "x"}], "front_matter": "keep"}
