@@ -65,10 +65,6 @@ def report(books: DataFrame) -> DataFrame:
     return books.select("rel", line.alias("line"), F.when(n > 1, F.format_string("%d books share this label", n)).alias("note"))
 
 
-def in_order(books: DataFrame) -> DataFrame:
-    return books.orderBy(F.lower("title"), "rel")
-
-
 def grouped(books: DataFrame, by: Column, name: str) -> DataFrame:
     """(name, n, place): groups in case-blind order, the blank one last."""
     from lectern.operators.profile import with_row_number

@@ -585,3 +585,27 @@ def wallpaper_files(spark, d):
 def chapter_lookup(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("n"), F.col("role").alias("title"))
     return grading.chapter_of(rows, 1, "book").select("book", "title")
+
+
+# Names, addresses and lines of the pages: heads, fences, figures and notes are structure.
+_HEADS = ["'# '", "'```'", "' ![x'", "'[^1]: '", "'plain '", "'中'"]
+
+
+@query(f"""WITH p AS (SELECT page_id, [{", ".join(_HEADS)}][page_id % 6 + 1] AS head, url, page_id % 3 AS k FROM pages)
+SELECT page_id, page_id % 6 < 4 AS structure, page_id % 6 = 5 AS wide, CASE k WHEN 0 THEN 'my-b-ok-' || page_id WHEN 1 THEN 'untitled' ELSE 'tar' || page_id END AS stem, CASE k WHEN 0 THEN '::1' WHEN 1 THEN 'h' || page_id || ':8080' ELSE 'h' || page_id END AS host, 'a b' AS clean FROM p""")
+def text_marks(spark, d):
+    n = F.col("page_id")
+    heads = F.element_at(F.array(*[F.lit(h.strip("'")) for h in _HEADS]), (n % 6 + 1).cast("int"))
+    name = F.when(n % 3 == 0, F.format_string("/x/My_B!ok %d.epub", n)).when(n % 3 == 1, "中文.txt").otherwise(F.format_string("TAR%d.tar", n))
+    address = F.when(n % 3 == 0, "http://[::1]:80/x").when(n % 3 == 1, F.format_string(" https://h%d:8080/y", n)).otherwise(F.format_string("h%d/z", n))
+    return table(spark, d, "pages").select(
+        "page_id", T.is_structure(F.concat(heads, "url")).alias("structure"), T.is_wide_cjk(heads).alias("wide"), T.stem_slug(name).alias("stem"), T.host_of_address(address).alias("host"),
+        T.clean_metadata(F.lit(" a\x01 \n\t b ")).alias("clean"),
+    )
+
+
+@query("""WITH r AS (SELECT conv_id, role AS marker, min(turn) AS f FROM conversations GROUP BY ALL), n AS (SELECT conv_id, role AS marker, arg_max(text, turn) AS note FROM conversations WHERE turn % 2 = 0 GROUP BY ALL)
+SELECT r.conv_id, r.marker, row_number() OVER (PARTITION BY r.conv_id ORDER BY f, r.marker)::INT AS number, note, CASE WHEN n.conv_id IS NULL THEN 'undefined footnote reference ' || r.marker END AS error FROM r LEFT JOIN n USING (conv_id, marker)""")
+def footnote_definitions(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", F.col("role").alias("marker"), F.col("turn").alias("pos"), F.col("text").alias("note"))
+    return integrity.footnotes(rows.drop("note"), rows.where("pos % 2 = 0"), "conv_id")

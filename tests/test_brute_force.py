@@ -219,6 +219,17 @@ def test_stages_from_the_command_line(spark, tmp_path):
     assert [r.error for r in spark.read.parquet(str(tmp_path / "errors")).collect()] == ["OEBPS/ch01.xhtml dead fragment #no"]
 
 
+def test_chapter_texts_and_roots(spark, tmp_path):
+    (tmp_path / "chapters").mkdir()
+    (tmp_path / "chapters" / "a.md").write_text("one\ntwo")
+    (tmp_path / "book.json").write_text(json.dumps({"title": "T", "chapters": [{"source": "built/a.md", "source_md": "chapters/a.md"}, {"source": "chapters/more.md"}]}))
+    (tmp_path / "chapters" / "more.md").write_text("x")
+    got = readers.chapter_texts(spark, str(tmp_path / "book.json")).orderBy("pos").collect()
+    assert [(r.chapter, r.text) for r in got] == [("ch01", "one\ntwo"), ("ch02", "x")]
+    both = readers.multi_root(spark, [str(tmp_path), str(tmp_path / "chapters")], "*.md").collect()
+    assert sorted((r.root, r.rel) for r in both) == [(0, "chapters/a.md"), (0, "chapters/more.md")]
+
+
 def test_fallback_metadata_two_levels_up(spark, tmp_path):
     for name, text in (("a", '{"title": " T ", "author": "A"}'), ("b", "{broken")):
         (tmp_path / name / "build").mkdir(parents=True)
