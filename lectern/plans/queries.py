@@ -542,9 +542,10 @@ c AS (SELECT image, w, len(p) // w AS h, unnest(p) > 42.5 AS v, generate_subscri
 s AS (SELECT a.dx, b.dy FROM (SELECT unnest(range(-6, 7)) AS dx) a, (SELECT unnest(range(0, 7)) AS dy) b WHERE NOT (dy = 0 AND dx <= 0) AND NOT (abs(dx) <= 1 AND dy <= 1)),
 m AS (SELECT a.image, dx, dy, avg((a.v = b.v)::INT) AS m FROM x a, s, x b WHERE b.image = a.image AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY ALL),
 q AS (SELECT image, pow(avg(v::INT), 2) + pow(1 - avg(v::INT), 2) AS chance FROM x GROUP BY image)
-SELECT image, CASE WHEN any_value(chance) >= 0.999 THEN 0.0 ELSE greatest(0.0, max((m - chance) / (1 - chance))) END AS self_match FROM m JOIN q USING (image) GROUP BY image""")
+SELECT image, round(CASE WHEN any_value(chance) >= 0.999 THEN 0.0 ELSE greatest(0.0, max((m - chance) / (1 - chance))) END, 9) AS self_match FROM m JOIN q USING (image) GROUP BY image""")
 def self_match(spark, d):
-    return imaging.self_match(_images(spark, d).withColumn("levels", imaging.quantise(F.col("pixels"))))
+    scores = imaging.self_match(_images(spark, d).withColumn("levels", imaging.quantise(F.col("pixels"))))
+    return scores.select("image", F.round("self_match", 9).alias("self_match"))
 
 
 @query("SELECT label, list_sort(list_concat(list_filter(a, lambda x: NOT list_contains(b, x)), list_filter(b, lambda x: NOT list_contains(a, x)))) AS toggled FROM (SELECT label, list_distinct(list(vec_id % 50)) AS a, list_distinct(list(vec_id % 30 + 25)) AS b FROM embeddings GROUP BY label)")

@@ -117,7 +117,7 @@ def sidecars(spark, d):
     return profile.sidecars(files, part(spark, d).select(F.col("p_brand").alias("stem")), "transcript", fixed.TRANSCRIPT_ENDINGS)
 
 
-@query(f"SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, {strip_sql('text')} = '' AS empty, regexp_matches(text, '(?m)^#{{1,6}}\\s|```') AS looks_structured, text[:1200] AS preview FROM documents")
+@query(f"SELECT doc_id, length(text)::INT AS chars, (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS lines, {strip_sql('text')} = '' AS empty, regexp_matches(text, '(?m)^#{{1,6}}\\s|```') AS looks_structured, text[:1200] AS preview FROM documents")
 def transcript_profile(spark, d):
     return profile.transcript_profile(table(spark, d, "documents"), "doc_id", "text")
 
@@ -151,7 +151,7 @@ _LOCATED = f"""a AS (SELECT book, text, n, anchor, label, (length(text) - length
 s AS (SELECT book, n, label, (SELECT max(para) FROM o WHERE o.book = a.book AND o.off <= a.at) AS para FROM a WHERE hits = 1)"""
 
 
-@query(f"WITH {_PARAS}, {_LOCATED} SELECT a.book, a.n, CASE WHEN hits = 0 THEN 'anchor not found' WHEN hits > 1 THEN 'anchor ambiguous (' || hits || ' hits)' END AS error, s.para FROM a LEFT JOIN s USING (book, n)")
+@query(f"WITH {_PARAS}, {_LOCATED} SELECT a.book, a.n, CASE WHEN hits = 0 THEN 'anchor not found' WHEN hits > 1 THEN 'anchor ambiguous (' || hits || ' hits)' END AS error, s.para::INT AS para FROM a LEFT JOIN s USING (book, n)")
 def draft_anchors(spark, d):
     starts, _, located = _starts(spark, d)
     return located.select("book", "n", "error").join(starts.select("book", "n", "para"), ["book", "n"], "left")
@@ -519,7 +519,7 @@ def push_folder(spark, d):
     return ledger.choose_folder(rows, "/.sleep", "/sleep")
 
 
-@query("SELECT event_id, nullif(list_position(['click', 'view', 'error'], event_type), 0) - 1 AS idx, user_id <= least(15, 20 * 1024 * 1024) AS admitted FROM events")
+@query("SELECT event_id, nullif(list_position(['click', 'view', 'error'], event_type), 0)::BIGINT - 1 AS idx, user_id <= least(15, 20 * 1024 * 1024) AS admitted FROM events")
 def option_indexes(spark, d):
     from lectern.streaming.queue import admitted
 

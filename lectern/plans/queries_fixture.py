@@ -227,8 +227,8 @@ _BITMAP = """(SELECT p_partkey, (p_partkey * 37) % 2200 - 4 AS width, CASE WHEN
 e AS (SELECT *, CASE WHEN size < 54 THEN 'FileInvalid' WHEN p_partkey % 43 = 0 THEN 'NotBMP (missing ''BM'')' WHEN dib < 40 THEN 'DIBTooSmall (<40 bytes)' WHEN planes <> 1 THEN 'BadPlanes (!= 1)' WHEN bpp = 16 THEN 'UnsupportedBpp (expected 1, 2, 4, 8, 24, or 32)'
  WHEN comp <> 0 AND NOT (bpp = 32 AND comp = 3) THEN 'UnsupportedCompression (expected BI_RGB or BI_BITFIELDS for 32bpp)' WHEN colours > 256 THEN 'PaletteTooLarge' WHEN width <= 0 OR h = 0 THEN 'BadDimensions'
  WHEN width > 2048 OR abs(h) > 3072 THEN 'ImageTooLarge (max 2048x3072)' WHEN size < 54 + 4 * colours THEN 'FileInvalid' WHEN off_bits > size THEN 'SeekPixelDataFailed' END AS error FROM b),
-q AS (SELECT *, list_transform(range(0, colours::BIGINT), lambda i: ((77 + 150 + 29) * ((i * 17 + p_partkey) % 256)) >> 8) AS palette FROM e)
-SELECT p_partkey, error, CASE WHEN error IS NULL THEN width END AS width, CASE WHEN error IS NULL THEN abs(h) END AS height, CASE WHEN error IS NULL THEN h < 0 END AS top_down, CASE WHEN error IS NULL THEN bpp END AS bpp,
+q AS (SELECT *, list_transform(range(0, colours::BIGINT), lambda i: (((77 + 150 + 29) * ((i * 17 + p_partkey) % 256)) >> 8)::INT) AS palette FROM e)
+SELECT p_partkey, error, CASE WHEN error IS NULL THEN width END AS width, CASE WHEN error IS NULL THEN abs(h) END AS height, CASE WHEN error IS NULL THEN h < 0 END AS top_down, CASE WHEN error IS NULL THEN bpp::BIGINT END AS bpp,
  CASE WHEN error IS NULL THEN (width * bpp + 31) // 32 * 4 END AS row_bytes, CASE WHEN error IS NULL THEN palette[1:5] END AS first_colours,
  CASE WHEN error IS NULL THEN bpp <= 2 OR (colours > 0 AND list_bool_and(list_transform(palette, lambda x: abs(x - (x >> 6) * 85) <= 21))) END AS native FROM q""")
 def bitmap_headers(spark, d):
