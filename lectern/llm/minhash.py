@@ -3,18 +3,35 @@
 A document's set holds the 64-bit hashes of its five-word shingles. One hash per shingle
 fills all bins (its high bits choose the bin); empty bins borrow by optimal densification
 (a fixed probe sequence per bin). Equal sets collapse to one node first, so copies never
-meet again. Bands of bins give bucket keys. In each round every bucket that still holds
+meet again. Bands of bins give bucket keys. In the first round every bucket that holds
 several components offers one centre and only the edges between it and members of other
 components: at most as many edges as members. The centre is the member that shares its
 buckets with most others (an original among its edited copies), as it is the likeliest to
-be linked with the rest. The pairs are checked on the full sets. A centre leaves its
-bucket. Later rounds offer twice as many centres each, whether or not links were found,
-until no bucket holds two components: all pairs that share a bucket are then linked or
-tested, in as many rounds as the largest bucket's size has bits.
+be linked with the rest. Pairs are checked on the full sets, and links contract components.
+
+Most buckets are then of one component. In the second round all pairs of the others are
+tested, and each bucket's work is in proportion to its members or done in blocks:
+
+* Buckets of up to SMALL members offer all their members as centres.
+* Larger ones hold documents that share passages without being alike. Their members leave
+  them and are posted anew, under the shingles of their prefixes: of a set in one common
+  order (the commonest shingles, that over SMALL such members have, come last) the
+  first (1 - t) of it. Two sets of similarity t or more share a shingle of their prefixes, so
+  no pair is lost, and the passage's shingles, being last, bring few together. Where a prefix
+  does reach them, it holds all the set's other shingles, too; so a pair that only meets under
+  common shingles has nothing else in common, and one of its sets must consist of them by
+  2t / (1 + t) at least: those are the leading sets of such a bucket.
+* What still is a large bucket is a family of variants of one text, too far from each other
+  to be linked. Its members are dealt into blocks, and for each pair of blocks one task counts
+  all common shingles as a matrix product. No pair of members becomes a row: a task returns
+  a spanning forest of the links that it has found.
+
+So all pairs that share a bucket are linked or tested after two rounds.
 
 Skew: buckets are reduced to (count, centre) by aggregates that combine before the
 shuffle and joined back, a join that adaptive execution may split; no group is gathered
-in one task. Components are contracted by joins, never on the driver.
+in one task. The set of a centre of many edges is dealt out in salted copies. Components
+are contracted by joins, never on the driver. Working tables go as soon as they are read.
 """
 
 from __future__ import annotations
@@ -29,13 +46,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import bucketed, ensure_columns, materialise, slices, text_bytes
+from lectern.llm.shared import bucketed, discard, ensure_columns, keep_rows, materialise, slices, text_bytes
 
 BINS = 256
 #: (rows, least set size, most set size): sets under 134 shingles, where few bins are
 #: filled, get short bands. A pair of similarity 0.75 always shares one of the schemes.
 SCHEMES = ((3, 1, 134), (5, 100, None))
 SIGNATURE = 64
+#: Members of a bucket whose pairs are all tested in one round.
+SMALL = 64
+#: Edges of a centre that share one copy of its set.
+SALTED = 256
+#: Common shingles that the prefixes' order knows as such.
+FREQUENT = 250_000
+#: Members of a block of a large bucket.
+BLOCK = 512
 _WORD_MEMO = 400_000
 _U = np.uint64
 
@@ -117,9 +142,9 @@ def bands(values: np.ndarray, size: int) -> list[int]:
     return keys
 
 
-_SKETCH = "uid long, doc_id long, n_shingles long, set_id binary, keys array<long>, signature binary"
+_SKETCH = "uid long, doc_id long, n_shingles long, set_id binary, keys array<long>, signature binary, text_key binary"
 _SKETCH_ARROW = pa.schema(
-    [("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary())]
+    [("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary()), ("text_key", pa.binary())]
 )
 
 
@@ -133,12 +158,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole, 4 << 20):
             out = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                s = shingle_set(raw)
+                s, key = shingle_set(raw), hashlib.md5(raw).digest()
                 if len(s):
                     v = one_permutation(s)
-                    out.append((uid, doc_id, len(s), _set_id(s), bands(v, len(s)), v[:: BINS // SIGNATURE].astype("<u2").tobytes()))
+                    out.append((uid, doc_id, len(s), _set_id(s), bands(v, len(s)), v[:: BINS // SIGNATURE].astype("<u2").tobytes(), key))
                 else:
-                    out.append((uid, doc_id, 0, None, [], None))
+                    out.append((uid, doc_id, 0, None, [], None, key))
                 uid += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SKETCH_ARROW, strict=True)], schema=_SKETCH_ARROW)
 
@@ -201,95 +226,263 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("y", "x"))
         hook = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("root"))
-        hook = materialise(hook, "hooks")
-        while True:  # pointer jumping: a chain of hooks halves each time
-            up = hook.select(F.col("x").alias("root"), F.col("root").alias("top"))
-            jumped = materialise(hook.join(up, "root", "left").select("x", F.coalesce("top", "root").alias("root"), (F.coalesce("top", "root") != F.col("root")).alias("moved")), "jumps")
-            moved = not jumped.where("moved").isEmpty()
-            hook = jumped.select("x", "root")
-            if not moved:
-                break
+        held = materialise(hook.withColumn("moved", F.lit(True)), "hooks")
+        moved = True
+        while moved:  # pointer jumping: a chain of hooks halves each time
+            up = held.select(F.col("x").alias("root"), F.col("root").alias("top"))
+            top = F.coalesce("top", "root")
+            jumped = materialise(held.drop("moved").join(up, "root", "left").select("x", top.alias("root"), (top != F.col("root")).alias("moved")), "jumps")
+            discard(held)
+            held, moved = jumped, not jumped.where("moved").isEmpty()
+        hook = held.select("x", "root")
         if roots is None:
-            roots = hook
+            new = materialise(hook, "roots")
         else:
-            step = hook.toDF("root", "top")
-            old = roots.join(step, "root", "left").select("x", F.coalesce("top", "root").alias("root"))
-            roots = materialise(old.unionByName(hook.join(roots.select("x"), "x", "left_anti")), "roots")
+            old = roots.join(hook.toDF("root", "top"), "root", "left").select("x", F.coalesce("top", "root").alias("root"))
+            new = materialise(old.unionByName(hook.join(roots.select("x"), "x", "left_anti")), "roots")
         sx, sy = hook.toDF("x", "rx"), hook.toDF("y", "ry")
-        edges = materialise(edges.join(sx, "x").join(sy, "y").where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "contracted")
+        left = materialise(edges.join(sx, "x").join(sy, "y").where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "contracted")
+        discard(edges, roots, held)
+        edges, roots = left, new
     if roots is None:
+        discard(edges)
         return labels
-    return materialise(labels.join(roots.toDF("comp", "root"), "comp", "left").select(*rest, F.coalesce("root", "comp").alias("comp")), "labels")
+    out = materialise(labels.join(roots.toDF("comp", "root"), "comp", "left").select(*rest, F.coalesce("root", "comp").alias("comp")), "labels")
+    discard(edges, roots)
+    return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed sets -> (shingle, n): each task counts what it has before anything is sent, a bounded number at a time."""
 
-    component_id is the smallest doc_id reachable over links of Jaccard similarity of at
-    least ``percent`` / 100, the row's own included. A text without words (null, empty)
-    has no set and stands alone. Rows that repeat a text share a component; of rows that
-    also repeat the doc_id each is kept alike. A null doc_id is never smallest; a group of
-    such rows only has a null component and is kept. Further columns are ignored.
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int64())], names=["shingle", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for raw in batch.column(0):
+            held.append(_unpacked(raw.as_py()).view(np.int64))
+            size += len(held[-1])
+            if size >= 4_000_000:
+                yield counted(held)
+                held, size = [], 0
+    if held:
+        yield counted(held)
+
+
+def _prefixes(percent: int, often):
+    """(node, shingles) -> (node, size, key, leads): see prefix_postings()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = often.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                s = _unpacked(batch.column(1)[k].as_py()).view(np.int64)
+                last = np.isin(s, common, assume_unique=True)
+                size, first = len(s), len(s) - (len(s) * percent + 99) // 100 + 1
+                pure = int(last.sum()) * (100 + percent) >= 2 * percent * size
+                order = np.lexsort((s, last))[:first]
+                n = len(order)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, batch.column(0)[k].as_py()), pa.int64()), pa.array(np.full(n, size), pa.int64()), pa.array(_mix(s[order].view(np.uint64)).view(np.int64)), pa.array(~last[order] | pure)],
+                    names=["node", "size", "key", "leads"],
+                )
+
+    return run
+
+
+def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, size, key, leads): the shingles of each set's prefix, of which similar sets share one.
+
+    Of sets of n and m shingles with Jaccard similarity t at least, t * n are common, so
+    the first n - ceil(t * n) + 1 of each, in one order for all, have one in common. Any
+    order will do; here the commonest shingles are last, so few prefixes reach them: those of
+    over SMALL sets, FREQUENT at most, which travel to the tasks as an array. ``leads``:
+    whether the set can be a centre there (see above).
+    """
+    spark = sets.sparkSession
+    counts = sets.select("shingles").mapInArrow(_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL)
+    often = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").collect()  # a bounded number
+    shared = spark.sparkContext.broadcast(np.array(sorted(r["shingle"] for r in often), np.int64))
+    return materialise(sets.select("node", "shingles").mapInArrow(_prefixes(percent, shared), "node long, size long, key long, leads boolean"), "prefixes")
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``near`` whose full sets are similar. A set that many pairs name as ``a`` is dealt out in salted copies."""
+    copies = near.groupBy("a").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("copies"))
+    salted = copies.join(sets.toDF("a", "sa"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("a", "salt", "sa")
+    pairs = near.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+    pairs = pairs.join(sets.toDF("b", "sb"), "b").join(salted, ["a", "salt"]).select("a", "b", "sa", "sb")
+    return materialise(pairs.mapInArrow(_similar(percent), "a long, b long"), "links")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after joining what ``links`` connect; both inputs are discarded."""
+    if links.isEmpty():
+        discard(links)
+        return labels
+    out = merge_components(labels, links)
+    if out is not labels:
+        discard(labels)
+    discard(links)
+    return out
+
+
+def _round(postings: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Buckets of several components (key, centre, n and the number of all members), and the links found from their centres.
+
+    One centre a bucket, or with ``every`` all leading members of the buckets of up to SMALL.
     """
+    held = postings.select("node", "size", "key", "leads").join(labels, "node")
+    draw = F.min(F.when(F.col("leads"), F.struct("rank", "node", "comp", "size")))
+    live = held.groupBy("key").agg(draw.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    live = materialise(live.where("lo <> hi and c is not null").select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size"), "n"), "live")
+    if every:
+        small = live.where(F.col("n") <= SMALL).select("key")
+        centres = held.where("leads").join(small, "key", "left_semi").select("key", F.col("node").alias("centre"), F.col("comp").alias("centre_comp"), F.col("size").alias("centre_size"))
+    else:
+        centres = live.drop("n")
+    # sets whose sizes are too far apart can't be similar
+    offered = held.join(centres, "key").where(f"comp <> centre_comp and 100 * least(size, centre_size) >= {int(percent)} * greatest(size, centre_size)")
+    edges = offered.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.least("size", "centre_size").alias("size")).distinct()
+    # at the least similarity 0.75 of the places agree, with a deviation of 3.5 of 64; five deviations
+    # below, pairs are far apart. Small sets fill few bins, agree less regularly, and are all checked.
+    edges = edges.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
+    alike = (F.col("size") < SCHEMES[0][2]) | (_agreement("sa", "sb") >= int(SIGNATURE * percent / 100 - 17))
+    near = materialise(edges.where(alike).select("a", "b"), "near")
+    links = _confirmed(near, sets, percent)
+    discard(near)
+    return live, links
+
+
+def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many values each two of the sets (sorted, distinct) have in common, as blocks of a matrix product."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column.max()) + 1 if len(column) else 0, width):
+        mine = (column >= at) & (column < at + width)
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[mine], column[mine] - at] = 1
+        out += has @ has.T
+    return out.astype(np.int64)  # counts under 2**24 are exact
+
+
+def _family(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For one pair of blocks: a spanning forest of the links between members of different components."""
+        nodes, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "comp"))
+        _, first = np.unique(nodes, return_index=True)
+        nodes, comps = nodes[first], comps[first]
+        raw = table.column("shingles").to_pylist()
+        sets = [_unpacked(raw[i]) for i in first.tolist()]
+        size = np.array([len(s) for s in sets])
+        both = common_counts(sets)
+        alike = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        a, b = np.nonzero(np.triu(alike & (comps[:, None] != comps[None, :]), 1))
+        parent = {c: c for c in comps.tolist()}
+        links = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            roots = []
+            for c in (int(comps[x]), int(comps[y])):
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                roots.append(c)
+            if roots[0] != roots[1]:
+                parent[max(roots)] = min(roots)
+                links.append((int(nodes[x]), int(nodes[y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def _family_links(postings: DataFrame, large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside large buckets: members are dealt into blocks by hash, and each pair of blocks is one group."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = postings.select("node", "key").join(large.select("key", blocks.alias("blocks")), "key").join(labels.select("node", "comp"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", "comp", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = rows.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_family(percent), "a long, b long")
+    return materialise(found, "families")
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
     docs = ensure_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketch = materialise(docs.mapInArrow(_sketch, _SKETCH), "sketch")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
+    return materialise(docs.mapInArrow(_sketch, _SKETCH), "sketch")
+
+
+def _components(docs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """(set_id, doc_id, comp): the smallest doc_id of each set and its component's number."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "uid"))
     owners = sketch.where("n_shingles > 0").groupBy("set_id").agg(best.alias("o"), F.first("n_shingles").alias("size"))
     owners = materialise(owners.select("set_id", F.col("o.uid").alias("node"), F.col("o.doc_id").alias("doc_id"), "size"), "owners")
     own = owners.select(F.col("node").alias("uid"))
-    postings = sketch.join(own.hint("merge"), "uid", "left_semi").select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    postings = materialise(postings.join(shared.hint("merge"), "key"), "postings")
-    ranks = postings.groupBy("node").agg((-F.sum("n")).alias("rank"))
+    every = sketch.join(own.hint("merge"), "uid", "left_semi").select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"), F.lit(True).alias("leads"))
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    postings = materialise(every.join(shared.hint("merge"), "key"), "postings")
     signatures = sketch.select(F.col("uid").alias("node"), "signature")
-    labels = materialise(ranks.select("node", "rank", F.col("node").alias("comp")), "labels")
-    postings = postings.drop("n")
+    labels = materialise(postings.groupBy("node").agg((-F.sum("n")).alias("rank")).select("node", "rank", F.col("node").alias("comp")), "labels")
     # the sets of all nodes that share a key, once; repeated ids are told apart by the set
     wanted = owners.join(labels.select("node"), "node")
-    found = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "set_id", "text")
+    texts = ensure_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "set_id", "text")
     sets = bucketed(found.mapInArrow(_sets, "node long, shingles binary"), "sets", "node")
-    tested, width = None, 1
-    while True:
-        held = postings.join(labels, "node")
-        draw = F.min(F.struct("rank", "node", "comp", "size"))
-        live = held.groupBy("key").agg(draw.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        live = materialise(live.select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size"), "n"), "live")
-        if live.isEmpty():
-            break
-        centres = live.drop("n")
-        if width > 1:  # about width - 1 further members, all of them where a bucket holds no more
-            drawn = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) * F.col("n") < (width - 1) << 20
-            more = held.join(live.select("key", "centre", "n"), "key").where((F.col("node") != F.col("centre")) & drawn)
-            centres = materialise(centres.unionByName(more.select("key", F.col("node").alias("centre"), F.col("comp").alias("centre_comp"), F.col("size").alias("centre_size"))), "centres")
-        # sets whose sizes are too far apart can't be similar
-        offered = held.join(centres, "key").where(f"comp <> centre_comp and 100 * least(size, centre_size) >= {int(percent)} * greatest(size, centre_size)")
-        edges = offered.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.least("size", "centre_size").alias("size")).distinct()
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = materialise(edges, "edges")
-        if not edges.isEmpty():
-            tested = edges.select("a", "b") if tested is None else tested.unionByName(edges.select("a", "b"))
-            near = edges.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
-            # at the least similarity 0.75 of the places agree, with a deviation of 3.5 of 64; five deviations
-            # below, pairs are far apart. Small sets fill few bins, agree less regularly, and are all checked.
-            near = materialise(near.where((F.col("size") < SCHEMES[0][2]) | (_agreement("sa", "sb") >= int(SIGNATURE * percent / 100 - 17))).select("a", "b"), "near")
-            pairs = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-            links = materialise(pairs.mapInArrow(_similar(percent), "a long, b long"), "links")
-            if not links.isEmpty():
-                labels = merge_components(labels, links)
-        # a centre has now met all others of its bucket
-        left = postings.join(live.select("key"), "key", "left_semi").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
-        postings = materialise(left, "postings")
-        width *= 2
-    nodes = owners.join(labels.select("node", "comp"), "node", "left").select("set_id", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    live, links = _round(postings, labels, signatures, sets, percent, every=False)
+    labels = _merged(labels, links)
+    large = live.where(F.col("n") > SMALL).select("key")
+    hubs = materialise(postings.join(large, "key", "left_semi").select("node").distinct(), "hubs")
+    rest = postings.join(live.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("node", "size", "key", "leads")
+    hub_sets = materialise(sets.join(hubs, "node"), "hub_sets")
+    prefixes = prefix_postings(hub_sets, percent)
+    rest = materialise(rest.unionByName(prefixes), "postings")
+    discard(postings, live, hubs, hub_sets, prefixes)
+    live, links = _round(rest, labels, signatures, sets, percent, every=True)
+    families = _family_links(rest, live.where(F.col("n") > SMALL), labels, sets, percent)
+    labels = _merged(_merged(labels, links), families)
+    discard(rest, live)
+    out = materialise(owners.join(labels.select("node", "comp"), "node", "left").select("set_id", "doc_id", F.coalesce("comp", "node").alias("comp")), "nodes")
+    discard(owners, labels, sets)
+    return out
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    component_id is the smallest doc_id reachable over links of Jaccard similarity of at
+    least ``percent`` / 100, the row's own included. A text without words (null, empty)
+    has no set and stands alone. Rows that repeat a text share a component; of rows that
+    also repeat the doc_id each is kept alike. A null doc_id is never smallest; a group of
+    such rows only has a null component and is kept. An empty table gives no rows; further
+    columns are ignored.
+    """
+    sketch = _sketches(docs)
+    nodes = _components(docs, sketch, percent)
     first = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = materialise(nodes.join(first, "comp").select("set_id", "component_id"), "classes")
+    discard(nodes)
     rows = sketch.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose doc_id is the smallest of their component."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(kept, "__id", "left_semi").drop("__id")
+    """One row of ``docs`` for each component, with all columns: of the smallest doc_id, null last, and of its texts any one.
+
+    Rows without words (null or blank text) all stay. Rows that repeat id and text become
+    one; rows that repeat only the id, or have none, are told apart by their texts. An
+    empty table stays empty; working columns avoid the names of the table's own.
+    """
+    sketch = _sketches(docs)
+    nodes = _components(docs, sketch, percent)
+    rows = sketch.where("n_shingles > 0").groupBy("set_id", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rows")).alias("o")
+    kept = rows.join(nodes.select("set_id", "comp"), "set_id").groupBy("comp").agg(best).select("o.doc_id", "o.text_key", "o.rows", F.lit(1).cast("long").alias("copies"))
+    blank = sketch.where("n_shingles = 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
+    kept = materialise(kept.unionByName(blank.withColumn("copies", F.col("rows"))), "kept")
+    discard(nodes, sketch)
+    return keep_rows(docs, kept)
