@@ -520,7 +520,7 @@ def push_folder(spark, d):
 
 
 @query("SELECT event_id, nullif(list_position(['click', 'view', 'error'], event_type), 0)::BIGINT - 1 AS idx, user_id <= least(15, 20 * 1024 * 1024) AS admitted FROM events")
-def option_indexes(spark, d):
+def setting_options(spark, d):
     from lectern.streaming.queue import admitted
 
     options = F.array(F.lit("click"), F.lit("view"), F.lit("error"))
