@@ -102,6 +102,22 @@ def test_bitmaps_come_back(spark, bpp):
     assert (head.width, head.height, head.bpp, head.error) == (7, 5, bpp, None)
 
 
+def test_previews_are_whole_files(spark):
+    import struct
+    import zlib
+
+    rows = spark.createDataFrame([(1, 3, 2, [0, 1, 2, 3, 3, 0])], "image int, w int, h int, levels array<int>")
+    raw = bytes(imaging.previews(rows).first().content)
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts = 8, {}
+    while at < len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        parts[kind] = raw[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", raw[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + parts[kind])
+        at += 12 + n
+    assert struct.unpack(">IIBB", parts[b"IHDR"][:10]) == (3, 2, 8, 0) and zlib.decompress(parts[b"IDAT"]) == bytes([0, 0, 85, 170, 0, 255, 255, 0])
+
+
 def test_one_and_two_bit_rows():
     raw = bytes(54) + bytes([0b10110000, 0, 0, 0])
     assert imaging.decode_bmp(raw, 4, 1, True, 1, 4, 54, [0, 255]).tolist() == [[3, 0, 3, 3]]
