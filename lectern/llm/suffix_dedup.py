@@ -14,9 +14,12 @@ its context. Contexts are sent to the task of their gram and sorted there:
   document id, and documents with larger ids lose the window's bytes.
 
 A gram that occurs once in the corpus can't begin a match, so grams are first counted by
-task. All messages are arrays for a batch of documents and a bucket of grams. Inside a
-batch equal grams and equal contexts are sent once, so a passage that a third of all
-documents hold reaches its task once for each batch. Batches and buckets have bounded
+task. All messages are arrays for a batch of documents and a bucket of grams, and only
+buckets that a batch has grams for get one. Inside a batch equal grams and equal contexts
+are sent once, so a passage that a third of all documents hold reaches its task once for
+each batch. Where a passage ends, each document's context is its own; such windows differ
+in their first or last bytes, by which they are told apart before anything is sorted, so a
+common gram costs time in proportion to its contexts. Batches and buckets have bounded
 bytes; the number of buckets follows the size of the corpus.
 """
 
@@ -27,14 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import materialise, slices, text_bytes
+from lectern.llm.shared import BATCHES, buckets_of, gather, materialise, occupied, open_batch, pack_bytes, unpack_bytes
 
 GRAM = 16
+#: Null ids count as this in comparisons, and are given back as null.
 LAST = (1 << 63) - 1
 BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
@@ -55,14 +57,6 @@ _BASE = 0x2545F4914F6CDD1D
 _POWER = {s: _U(pow(_BASE, s, 1 << 64)) for s in (1, 2, 4, 8)}
 
 
-def _zip(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
-
-
-def _unzip(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Mixed polynomial hash of the 16 bytes from each place on, built by doubling."""
     h, reach = _BYTE[data], 1
@@ -115,83 +109,44 @@ def runs(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return first[keep], count[keep], place[keep], h[keep]
 
 
-_BATCHES = "batch long, doc_ids array<long>, sizes array<long>, texts binary"
-
-
-def _gather(most: int):
-    """Documents of about ``most`` bytes become one row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
-        ids: list = []
-        raws: list[bytes] = []
-        size = 0
-
-        def row():
-            cells = [number, ids, [len(r) for r in raws], _zip(b"".join(raws))]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=["batch", "doc_ids", "sizes", "texts"])
-
-        for whole in batches:
-            for batch in slices(whole, most):
-                for doc_id, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                    if ids and size + len(raw) > most:
-                        yield row()
-                        number, ids, raws, size = number + 1, [], [], 0
-                    ids.append(doc_id)
-                    raws.append(raw)
-                    size += len(raw)
-        if ids:
-            yield row()
-
-    return run
-
-
-def _open(sizes: list[int], texts: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-    raw = _unzip(texts)
-    return raw, np.frombuffer(raw, np.uint8), np.cumsum(np.array(sizes, np.int64))
-
-
-def _buckets_of(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return ((grams >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-
-
-def _distinct_grams(h: np.ndarray, doc: np.ndarray, buckets: int):
-    """Sorted distinct grams of a batch, whether several of its documents hold each, and bucket borders."""
+def _distinct_grams(h: np.ndarray, doc: np.ndarray):
+    """Sorted distinct grams of a batch, the index of each run's, and whether several of its documents hold each."""
     grams, index = np.unique(h, return_inverse=True)
     least, most = np.full(len(grams), LAST), np.full(len(grams), -1)
     np.minimum.at(least, index, doc)
     np.maximum.at(most, index, doc)
-    return grams, index, least < most, np.searchsorted(_buckets_of(grams, buckets), np.arange(buckets + 1))
+    return grams, index, least < most
+
+
+def _rows(out: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
 
 
 def _send_grams(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for k in range(rows.num_rows):
-                _, data, ends = _open(rows.column(1)[k].as_py(), rows.column(2)[k].as_py())
+                batch = rows.column(0)[k].as_py()
+                _, data, ends = open_batch(rows.column(1)[k].as_py(), rows.column(2)[k].as_py())
                 first, _, _, h = runs(data, ends, size)
-                grams, _, several, border = _distinct_grams(h, np.searchsorted(ends, first, side="right"), buckets)
-                out = [(b, rows.column(0)[k].as_py(), grams[x:y].tobytes(), several[x:y].tobytes()) for b, (x, y) in enumerate(zip(border[:-1], border[1:], strict=True)) if y > x]
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                cols = list(zip(*out, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "batch", "grams", "several"])
+                grams, _, several = _distinct_grams(h, np.searchsorted(ends, first, side="right"))
+                out = [(b, batch, grams[x:y].tobytes(), several[x:y].tobytes()) for b, x, y in occupied(buckets_of(grams, buckets))]
+                yield _rows(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "batch", "grams", "several"])
 
     return run
 
 
 def _shared_grams(table: pa.Table) -> pa.Table:
-    """For one bucket: which of each batch's grams occur in other documents too."""
+    """For one bucket: which of each batch's grams occur in other documents too; no row for a batch that has none."""
     batch, bucket = table.column("batch").to_pylist(), table.column("bucket")[0].as_py()
     parts = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
     several = np.concatenate([np.frombuffer(s, bool) for s in table.column("several").to_pylist()])
     _, index, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     inside = np.zeros(len(times), bool)
     inside[index[several]] = True
-    flags = (inside | (times > 1))[index]
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
-    bits = [np.packbits(f).tobytes() for f in np.split(flags, cuts)]
-    return pa.table({"batch": pa.array(batch, pa.int64()), "bucket": pa.array([bucket] * len(batch), pa.int32()), "bits": pa.array(bits, pa.binary())})
+    flags = np.split((inside | (times > 1))[index], np.cumsum([len(p) for p in parts])[:-1])
+    some = [(b, bucket, np.packbits(f).tobytes()) for b, f in zip(batch, flags, strict=True) if f.any()]
+    return pa.Table.from_batches([_rows(some, [pa.int64(), pa.int64(), pa.binary()], ["batch", "bucket", "bits"])])
 
 
 def _contexts(raw: bytes, data: np.ndarray, ends: np.ndarray, size: int, buckets: int, replies: list[dict]):
@@ -200,17 +155,18 @@ def _contexts(raw: bytes, data: np.ndarray, ends: np.ndarray, size: int, buckets
     Gives runs as (first, count, context number) and contexts as (bucket, bytes, gram offset, windows, run of first mention).
     """
     first, count, place, h = runs(data, ends, size)
-    grams, index, _, border = _distinct_grams(h, np.zeros(len(h), np.int64), buckets)
+    grams, index = np.unique(h, return_inverse=True)
+    spans = {b: (x, y) for b, x, y in occupied(buckets_of(grams, buckets))}
     shared = np.zeros(len(grams), bool)
     for r in replies:
-        x, y = border[r["bucket"]], border[r["bucket"] + 1]
+        x, y = spans[r["bucket"]]
         shared[x:y] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: y - x]
     pick = np.flatnonzero(shared[index])
     first, count, place, h = first[pick], count[pick], place[pick], h[pick]
     number: dict[bytes, int] = {}
     of = np.fromiter((number.setdefault(raw[f : f + c + size - 1], len(number)) for f, c in zip(first.tolist(), count.tolist(), strict=True)), np.int64, len(first))
     _, mention = np.unique(of, return_index=True)
-    return (first, count, of), list(number), _buckets_of(h, buckets)[mention], (place - first)[mention], count[mention]
+    return (first, count, of), list(number), buckets_of(h, buckets)[mention], (place - first)[mention], count[mention]
 
 
 def _send_contexts(size: int, buckets: int):
@@ -218,25 +174,26 @@ def _send_contexts(size: int, buckets: int):
         for rows in batches:
             for k in range(rows.num_rows):
                 batch, doc_ids, sizes, texts, replies = [rows.column(i)[k].as_py() for i in range(5)]
-                raw, data, ends = _open(sizes, texts)
+                raw, data, ends = open_batch(sizes, texts)
                 (first, _, of), contexts, bucket, offset, windows = _contexts(raw, data, ends, size, buckets, replies or [])
                 docs = np.full(len(contexts), LAST)
-                np.minimum.at(docs, of, np.array(doc_ids, np.int64)[np.searchsorted(ends, first, side="right")])
+                np.minimum.at(docs, of, _known(doc_ids)[np.searchsorted(ends, first, side="right")])
                 out = []
                 order = np.argsort(bucket, kind="stable")
-                border = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    mine = order[border[b] : border[b + 1]]
-                    if len(mine):
-                        joined = b"".join([contexts[i] for i in mine.tolist()])
-                        out.append((b, batch, offset[mine].astype(np.uint8).tobytes(), windows[mine].astype(np.uint8).tobytes(), _zip(docs[mine].tobytes()), _zip(joined)))
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "batch", "offsets", "windows", "docs", "contexts"])
+                for b, x, y in occupied(bucket[order]):
+                    mine = order[x:y]
+                    joined = b"".join([contexts[i] for i in mine.tolist()])
+                    out.append((b, batch, offset[mine].astype(np.uint8).tobytes(), windows[mine].astype(np.uint8).tobytes(), pack_bytes(docs[mine].tobytes()), pack_bytes(joined)))
+                yield _rows(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "batch", "offsets", "windows", "docs", "contexts"])
 
     return run
 
 
+def _known(doc_ids: list[int | None]) -> np.ndarray:
+    """Ids to compare; none counts as the largest."""
+    return np.array([LAST if i is None else i for i in doc_ids], np.int64)
+
+
 class SuffixOrder:
     """Prefix polynomial hashes of a text and the common extensions they tell."""
 
@@ -335,6 +292,31 @@ def least_documents(data: np.ndarray, place: np.ndarray, group: np.ndarray, doc:
     return back
 
 
+def _worth_sorting(data: np.ndarray, place: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that share their group and their first and last 8 bytes with others, in order of these finer groups, and their groups."""
+    ends = np.lib.stride_tricks.sliding_window_view(data, 8)
+    cells = np.empty((len(place), 3), np.uint64)
+    cells[:, 0] = group
+    cells[:, 1] = np.ascontiguousarray(ends[place]).view(np.uint64)[:, 0]
+    cells[:, 2] = np.ascontiguousarray(ends[place + size - 8]).view(np.uint64)[:, 0]
+    order = np.lexsort((cells[:, 2], cells[:, 1], cells[:, 0]))
+    cells = cells[order]
+    new = np.concatenate([[True], (cells[1:] != cells[:-1]).any(1)])
+    finer = np.cumsum(new) - 1
+    some = np.bincount(finer)[finer] > 1
+    return order[some], finer[some]
+
+
+def _portions(group: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of about SORT_WINDOWS windows that hold whole groups; ``group`` is in order."""
+    out, at = [], 0
+    while at < len(group):
+        stop = int(np.searchsorted(group, group[min(at + SORT_WINDOWS, len(group)) - 1], side="right"))
+        out.append((at, stop))
+        at = stop
+    return out
+
+
 def _least_documents(size: int):
     def run(table: pa.Table) -> pa.Table:
         """For one bucket: the smallest document of every window of every batch's contexts."""
@@ -342,7 +324,7 @@ def _least_documents(size: int):
         number: dict[bytes, int] = {}
         offsets, windows, least, uses = [], [], [], []
         for o, w, d, c in zip(cells["offsets"], cells["windows"], cells["docs"], cells["contexts"], strict=True):
-            o, w, d, joined, use, at = np.frombuffer(o, np.uint8).tolist(), np.frombuffer(w, np.uint8).tolist(), np.frombuffer(_unzip(d), np.int64).tolist(), _unzip(c), [], 0
+            o, w, d, joined, use, at = np.frombuffer(o, np.uint8).tolist(), np.frombuffer(w, np.uint8).tolist(), np.frombuffer(unpack_bytes(d), np.int64).tolist(), unpack_bytes(c), [], 0
             for off, win, doc in zip(o, w, d, strict=True):
                 context = joined[at : at + win + size - 1]
                 at += len(context)
@@ -375,17 +357,20 @@ def _least_documents(size: int):
             local = np.cumsum(length) - length
             part = data[np.repeat(begin[mine] - local, length) + np.arange(length.sum())]
             inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            place = np.repeat(local, w) + inside
             group = np.repeat(gram[mine] * 64 + offset[mine], w) - inside
-            least_of = least_documents(part, np.repeat(local, w) + inside, group, np.repeat(doc[mine], w), size)
-            result[np.repeat(heads[mine], w) + inside] = least_of
+            some, group = _worth_sorting(part, place, group, size)
+            owner = np.repeat(np.arange(len(mine)), w)[some]
+            for x, y in _portions(group):
+                result[heads[mine[owner[x:y]]] + inside[some[x:y]]] = least_documents(part, place[some[x:y]], group[x:y], doc[mine[owner[x:y]]], size)
             at = stop
         out = []
         for use in uses:
             w = window[use]
             cell = np.repeat(heads[use] - (np.cumsum(w) - w), w) + np.arange(w.sum())
-            out.append(_zip(result[cell].tobytes()))
+            out.append(pack_bytes(result[cell].tobytes()))
         bucket = table.column("bucket")[0].as_py()
-        return pa.table({"batch": pa.array(cells["batch"], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int32()), "least": pa.array(out, pa.binary())})
+        return pa.table({"batch": pa.array(cells["batch"], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "least": pa.array(out, pa.binary())})
 
     return run
 
@@ -398,9 +383,9 @@ def _remove(size: int, buckets: int):
         for rows in batches:
             for k in range(rows.num_rows):
                 _, doc_ids, sizes, texts, replies, answers = [rows.column(i)[k].as_py() for i in range(6)]
-                raw, data, ends = _open(sizes, texts)
+                raw, data, ends = open_batch(sizes, texts)
                 (first, count, of), contexts, bucket, _, windows = _contexts(raw, data, ends, size, buckets, replies or [])
-                least = {a["bucket"]: np.frombuffer(_unzip(a["least"]), np.int64) for a in answers or []}
+                least = {a["bucket"]: np.frombuffer(unpack_bytes(a["least"]), np.int64) for a in answers or []}
                 order = np.argsort(bucket, kind="stable")
                 joined = np.concatenate([least[b] for b in sorted(least)]) if least else np.zeros(0, np.int64)
                 head = np.empty(len(contexts), np.int64)
@@ -408,7 +393,7 @@ def _remove(size: int, buckets: int):
                 w = count
                 cell = np.repeat(head[of] - (np.cumsum(w) - w), w) + np.arange(w.sum())
                 start = np.repeat(first - (np.cumsum(w) - w), w) + np.arange(w.sum())
-                ids = np.array(doc_ids, np.int64)
+                ids = _known(doc_ids)
                 gone = start[joined[cell] < ids[np.searchsorted(ends, start, side="right")]] if len(cell) else start
                 change = np.zeros(len(data) + 1, np.int32)
                 np.add.at(change, gone, 1)
@@ -420,7 +405,7 @@ def _remove(size: int, buckets: int):
                     kept = data[end - n : end][~mask].tobytes() if mask.any() else raw[end - n : end]
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
                     spans = [{"start": a, "length": b - a} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-                    out.append((doc_id if doc_id != LAST else None, n, int(mask.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
+                    out.append((doc_id, n, int(mask.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
@@ -436,15 +421,15 @@ def suffix_duplicates(docs: DataFrame, size: int = 50, batch_bytes: int = BATCH_
     shorter than ``size`` stay whole; an empty table gives no rows; further columns are
     ignored.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("`text`"))
-    table = materialise(rows.mapInArrow(_gather(batch_bytes), _BATCHES), "batches")
+    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`"))
+    table = materialise(rows.mapInArrow(gather(batch_bytes), BATCHES), "batches")
     total = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(32, -(-total // bucket_bytes))
-    grams = table.select("batch", "sizes", "texts").mapInArrow(_send_grams(size, buckets), "bucket int, batch long, grams binary, several binary")
-    shared = grams.groupBy("bucket").applyInArrow(_shared_grams, "batch long, bucket int, bits binary")
+    grams = table.select("batch", "sizes", "texts").mapInArrow(_send_grams(size, buckets), "bucket long, batch long, grams binary, several binary")
+    shared = grams.groupBy("bucket").applyInArrow(_shared_grams, "batch long, bucket long, bits binary")
     replies = materialise(shared.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("replies")), "grams")
     known = table.join(replies, "batch", "left").select("batch", "doc_ids", "sizes", "texts", "replies")
-    contexts = known.mapInArrow(_send_contexts(size, buckets), "bucket int, batch long, offsets binary, windows binary, docs binary, contexts binary")
-    least = contexts.groupBy("bucket").applyInArrow(_least_documents(size), "batch long, bucket int, least binary")
+    contexts = known.mapInArrow(_send_contexts(size, buckets), "bucket long, batch long, offsets binary, windows binary, docs binary, contexts binary")
+    least = contexts.groupBy("bucket").applyInArrow(_least_documents(size), "batch long, bucket long, least binary")
     answers = materialise(least.groupBy("batch").agg(F.collect_list(F.struct("bucket", "least")).alias("answers")), "least")
     return known.join(answers, "batch", "left").mapInArrow(_remove(size, buckets), _RESULT)
