@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import discard, materialise, scratch, slices, text_bytes
+from lectern.llm.shared import discard, materialise, scratch, slices, text_bytes, tidy
 from lectern.llm.tokens import tokenizer
 
 STRIDE = 128
@@ -152,7 +152,7 @@ def _width(path: str) -> str:
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """A row for each document, with its ids (end id included) in 2 or 4 bytes each, and a row of counts from each task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("`text`"))
-    return materialise(rows.mapInArrow(_tokenise(tokenizer_path, end_id, _width(tokenizer_path)), _TOKENS), "tokens")
+    return materialise(rows.mapInArrow(tidy(_tokenise(tokenizer_path, end_id, _width(tokenizer_path))), _TOKENS), "tokens")
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

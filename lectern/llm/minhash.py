@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import bucketed, discard, ensure_columns, keep_rows, materialise, slices, text_bytes
+from lectern.llm.shared import bucketed, discard, ensure_columns, forgotten, keep_rows, materialise, slices, text_bytes, tidy
 
 BINS = 256
 #: (rows, least set size, most set size): sets under 134 shingles, where few bins are
@@ -94,6 +94,7 @@ class _Memo(dict):
 
 
 _memo = _Memo()
+forgotten.append(_memo.clear)
 
 
 def shingle_set(raw: bytes, k: int = 5) -> np.ndarray:
@@ -279,7 +280,8 @@ def _prefixes(percent: int, often):
         for batch in batches:
             for k in range(batch.num_rows):
                 s = _unpacked(batch.column(1)[k].as_py()).view(np.int64)
-                last = np.isin(s, common, assume_unique=True)
+                place = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
+                last = common[place] == s if len(common) else np.zeros(len(s), bool)
                 size, first = len(s), len(s) - (len(s) * percent + 99) // 100 + 1
                 pure = int(last.sum()) * (100 + percent) >= 2 * percent * size
                 order = np.lexsort((s, last))[:first]
@@ -413,7 +415,7 @@ def _family_links(postings: DataFrame, large: DataFrame, labels: DataFrame, sets
 
 def _sketches(docs: DataFrame) -> DataFrame:
     docs = ensure_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return materialise(docs.mapInArrow(_sketch, _SKETCH), "sketch")
+    return materialise(docs.mapInArrow(tidy(_sketch), _SKETCH), "sketch")
 
 
 def _components(docs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
@@ -431,7 +433,7 @@ def _components(docs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     wanted = owners.join(labels.select("node"), "node")
     texts = ensure_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "set_id", "text")
-    sets = bucketed(found.mapInArrow(_sets, "node long, shingles binary"), "sets", "node")
+    sets = bucketed(found.mapInArrow(tidy(_sets), "node long, shingles binary"), "sets", "node")
     live, links = _round(postings, labels, signatures, sets, percent, every=False)
     labels = _merged(labels, links)
     large = live.where(F.col("n") > SMALL).select("key")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,27 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20):
         yield batch.slice(at, per)
 
 
+#: What a worker process has remembered and can do without after a task: see tidy().
+forgotten: list[Callable[[], None]] = []
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow; after a task its worker, which later stages use again, forgets its memos and gives memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for forget in forgotten:
+                forget()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of the id as text, modulo ``mod``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("null")).cast("binary")) % mod

@@ -17,6 +17,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
+from lectern.llm.shared import forgotten
+
 _SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s'<]*)\Z")
 #: The memo's younger half becomes its older one at so many entries, and longer units aren't kept (both bound a
 #: worker's memory).
@@ -96,6 +98,10 @@ class DocumentTokenizer:
             self._old, self._young = self._young, {}
         return out
 
+    def forget(self) -> None:
+        """Empty the memo."""
+        self._young, self._old, self._marks = {}, {}, {}
+
     def encode_all(self, raws: list[bytes], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` after each, as one array, and the place in it where each text's ids end."""
         parts, ends, held, size, at = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], [], 0, 0
@@ -157,6 +163,14 @@ class DocumentTokenizer:
 _loaded: dict[str, DocumentTokenizer] = {}
 
 
+def _forget() -> None:
+    for t in _loaded.values():
+        t.forget()
+
+
+forgotten.append(_forget)
+
+
 def tokenizer(path: str) -> DocumentTokenizer:
     """One per worker process and vocabulary file."""
     if path not in _loaded:
