@@ -1,33 +1,41 @@
 """Toxicity scores from a gap-weighted subsequence kernel and a linear support vector machine.
 
-Kernel: phi_u(s) sums decay**span over all places where the four letters u occur in s in
-order, spanning at most seven characters; so "i.d.i.o.t" still shares features with its
-plain form. Nystrom landmarks are short letter strings picked by their odds between
+Kernel: phi_u(s) sums decay**span over all places where the letters u occur in s in order,
+four of them or, counted LONGER times, five, spanning at most seven characters. Signs between two letters, and blanks and signs
+between words of one letter, are gaps that cost nothing: they are left out before spans are
+measured, so "i.d.i.o.t" and "i d i o t" have the features of the plain form. A letter put
+in lengthens the spans over it, each by one decay; the training set holds such forms of its
+own insults, too. Nystrom landmarks are short letter strings picked by their odds between
 labelled toxic and clean documents; a sentence x becomes K_zz^(-1/2) K(z, x), on which a
 squared-hinge SVM is trained. Labels belong to documents, so a toxic document counts by
 its highest-scoring sentence, chosen anew in each round; a clean one by its own highest.
 
-The decision function is linear in phi, so the landmarks fold into one weight for each
-four-letter code: a table of fixed size (2**20 floats, 4 MB), broadcast once. Scoring is
-one pass over the texts without a shuffle, in blocks of bounded memory.
+The decision function is linear in phi, so the landmarks fold into one weight for each code:
+a table of fixed size for four letters (2**20 floats, 4 MB), and a short list for five (those
+that a landmark holds), which a bitmap of 1 MB guards. They are broadcast once. Scoring is
+one pass over the texts without a shuffle, in blocks of bounded memory. A sentence of more
+than WINDOW symbols is scored by windows that overlap by half: each of its subsequences lies
+whole in one of them, so nothing of a text is left out.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import crc_mod, ensure_columns, slices
+from lectern.llm.shared import crc_mod, ensure_columns, slices, tidy
 
 ORDER, SPAN, DECAY, BITS = 4, 7, 0.7, 5
 PATTERNS = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)]
+LONG_PATTERNS = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER)]
+#: Weight of five letters in the kernel.
+LONGER = 3.0
 _BLOCK = 1 << 16
 WINDOW = 48
 LEAST_EVIDENCE = 6.0
@@ -59,6 +67,20 @@ def _lookup():
     return _cache[0]
 
 
+def _free_gaps(sym: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """Which places between two letters cost nothing: signs, and blanks between words of one letter or none."""
+    if not len(sym):
+        return np.zeros(0, bool)
+    white, at = sym == 31, np.arange(len(sym))
+    letter = (sym > 0) & ~white
+    word = np.cumsum(white)  # of the word after each white space; word 0 is empty
+    single = np.bincount(word, letter, minlength=int(word[-1]) + 2) <= 1
+    free = (sym == 0) | (blank & single[np.maximum(word - 1, 0)] & single[word])
+    before = np.maximum.accumulate(np.where(free, -1, at))
+    after = np.minimum.accumulate(np.where(free, len(sym), at)[::-1])[::-1]
+    return free & (before >= 0) & (after < len(sym)) & letter[before] & letter[np.minimum(after, len(sym) - 1)]
+
+
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts as one symbol array: symbols, sentences as rows (start, end), document number of each sentence.
 
@@ -70,6 +92,9 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sym = symbol[points]
     lengths = np.array([len(t or "") for t in texts], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(lengths + SPAN)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+    stays = ~_free_gaps(sym, points == 32)
+    first = (np.cumsum(stays) - 1)[first]  # a text's first line feed always stays
+    sym, points = sym[stays], points[stays]
     ends = mark[points] & np.concatenate([space[points[1:]], [True]])
     starts = np.union1d(first, np.flatnonzero(ends[:-1]) + 1)
     stops = np.append(starts[1:], len(sym))
@@ -80,11 +105,16 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return sym, np.column_stack([starts, stops]), np.searchsorted(first, starts, side="right") - 1
 
 
-def _codes(sym: np.ndarray):
-    """For each pattern: its span and the code at each position. A code with a gap in it weighs nothing anywhere."""
+def _pairs(sym: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     n = len(sym)
     padded = np.concatenate([sym, np.zeros(SPAN, np.uint8)]).astype(np.int32)
-    low = {g: (padded[: n + SPAN - g] << BITS) | padded[g:] for g in range(1, SPAN - 2)}
+    return padded, {g: (padded[: n + SPAN - g] << BITS) | padded[g:] for g in range(1, SPAN - 2)}
+
+
+def _codes(sym: np.ndarray):
+    """For each pattern of four: its span and the code at each position. A code with a gap in it weighs nothing anywhere."""
+    n = len(sym)
+    _, low = _pairs(sym)
     high = {g: p[:n] << 2 * BITS for g, p in low.items()}
     code = np.empty(n, dtype=np.int32)
     for _, a, b, c in PATTERNS:
@@ -92,7 +122,43 @@ def _codes(sym: np.ndarray):
         yield c + 1, code
 
 
-def position_values(sym: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _long_codes(sym: np.ndarray):
+    """The same for patterns of five."""
+    n = len(sym)
+    padded, low = _pairs(sym)
+    high = {g: p[:n] << 3 * BITS for g, p in low.items()}
+    code, tail = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
+    for _, a, b, c, d in LONG_PATTERNS:
+        np.left_shift(low[c - b][b : b + n], BITS, out=tail)
+        np.bitwise_or(tail, padded[d : d + n], out=tail)
+        np.bitwise_or(high[a], tail, out=code)
+        yield d + 1, code
+
+
+class LongWeights:
+    """Weights of a few codes of five: a bitmap by hash sorts out nearly all other codes, a search the rest."""
+
+    def __init__(self, codes: np.ndarray, weights: np.ndarray):
+        self.codes, self.weights = codes.astype(np.int32), weights.astype(np.float32)  # codes in order
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._hash(self.codes)] = True
+
+    @staticmethod
+    def _hash(code: np.ndarray) -> np.ndarray:
+        return (code.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(12)
+
+    def add(self, code: np.ndarray, factor: float, out: np.ndarray) -> None:
+        at = np.flatnonzero(self.maybe[self._hash(code)])
+        if len(at) and len(self.codes):
+            place = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
+            ok = self.codes[place] == code[at]
+            out[at[ok]] += self.weights[place[ok]] * np.float32(factor)
+
+
+NO_LONG = LongWeights(np.zeros(0, np.int32), np.zeros(0, np.float32))
+
+
+def position_values(sym: np.ndarray, weights: np.ndarray, long: LongWeights = NO_LONG) -> np.ndarray:
     """At each position the weighted sum over the subsequences that start there."""
     out = np.zeros(len(sym), dtype=np.float32)
     for at in range(0, len(sym), _BLOCK):
@@ -105,12 +171,16 @@ def position_values(sym: np.ndarray, weights: np.ndarray) -> np.ndarray:
             sums[span] += got
         for span, total in sums.items():
             out[at : at + n] += total[:n] * np.float32(DECAY**span)
+        if len(long.codes):
+            for span, code in _long_codes(part):
+                long.add(code[:n], LONGER * DECAY**span, out[at : at + n])
     return out
 
 
 @dataclass
 class ToxicityModel:
-    weights: np.ndarray  # by four-letter code
+    weights: np.ndarray  # by code of four letters
+    long: LongWeights
     per_symbol: float
     bias: float
     slope: float
@@ -122,7 +192,7 @@ class ToxicityModel:
         for at in range(0, len(sentences), 20_000):
             start, stop = sentences[at : at + 20_000, 0], sentences[at : at + 20_000, 1]
             base = start[0]
-            running = np.concatenate([[0.0], np.cumsum(position_values(sym[base : stop.max() + SPAN], self.weights), dtype=np.float64)])
+            running = np.concatenate([[0.0], np.cumsum(position_values(sym[base : stop.max() + SPAN], self.weights, self.long), dtype=np.float64)])
             out[at : at + len(start)] = running[stop - base] - running[start - base] + self.per_symbol * (stop - start) + self.bias
         return out
 
@@ -136,14 +206,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -30, 30)))
 
 
-def _phi_rows(sym: np.ndarray, lengths: list[int], slot: np.ndarray, width: int) -> np.ndarray:
-    """Dense phi of consecutive pieces, restricted to the codes that have a slot."""
+def _phi_rows(sym: np.ndarray, lengths: list[int], slot: np.ndarray, long: np.ndarray, width: int) -> np.ndarray:
+    """Dense phi of consecutive pieces: the codes of four that have a slot, then the codes of five in ``long``."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     out = np.zeros(len(lengths) * width)
     for span, code in _codes(sym):
         at = slot[code]
         ok = np.flatnonzero(at >= 0)
         np.add.at(out, row[ok] * width + at[ok], DECAY**span)
+    for span, code in _long_codes(sym):
+        at = np.minimum(np.searchsorted(long, code), len(long) - 1)
+        ok = np.flatnonzero(long[at] == code) if len(long) else []
+        np.add.at(out, row[ok] * width + (width - len(long)) + at[ok], LONGER * DECAY**span)
     return out.reshape(len(lengths), width)
 
 
@@ -152,32 +226,41 @@ def _landmarks(sym: np.ndarray, ends: np.ndarray, toxic: np.ndarray, how_many: i
 
     Documents end at ``ends``; their strings are counted in blocks of documents.
     """
-    codes, t, c = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    for at in range(0, len(ends), 200):
-        last = min(at + 200, len(ends))
-        begin = ends[at - 1] if at else 0
-        part = sym[begin : ends[last - 1]]
-        if len(part) < size:
-            continue
-        code = np.zeros(len(part) - size + 1, dtype=np.int64)
-        letters = np.zeros(len(code), dtype=np.int8)
-        for k in range(size):
-            code = (code << BITS) | part[k : len(code) + k]
-            letters += part[k : len(code) + k] > 0
-        doc = np.searchsorted(ends[at:last] - begin, np.arange(len(code)), side="right")
-        pairs = np.unique(code[letters >= ORDER] * 256 + doc[letters >= ORDER])
-        own, index = np.unique(pairs >> 8, return_inverse=True)
-        hit = np.bincount(index, weights=toxic[at:last][pairs & 255], minlength=len(own))
+
+    def counted(wanted: int):
+        """(codes, documents that have each) for blocks of documents of one label."""
+        for at in range(0, len(ends), 200):
+            last = min(at + 200, len(ends))
+            begin = ends[at - 1] if at else 0
+            part = sym[begin : ends[last - 1]]
+            if len(part) < size:
+                continue
+            code = np.zeros(len(part) - size + 1, dtype=np.int64)
+            letters = np.zeros(len(code), dtype=np.int8)
+            for k in range(size):
+                code = (code << BITS) | part[k : len(code) + k]
+                letters += part[k : len(code) + k] > 0
+            doc = np.searchsorted(ends[at:last] - begin, np.arange(len(code)), side="right")
+            mine = (letters >= ORDER) & (toxic[at:last][np.minimum(doc, last - at - 1)] == wanted)
+            pairs = np.unique(code[mine] * 256 + doc[mine])
+            yield np.unique(pairs >> 8, return_counts=True)
+
+    codes, t = np.zeros(0, np.int64), np.zeros(0)
+    for own, n in counted(1):
         codes, index = np.unique(np.concatenate([codes, own]), return_inverse=True)
-        grown = np.bincount(index, weights=np.concatenate([t, hit]), minlength=len(codes))
-        c = np.bincount(index, weights=np.concatenate([c, np.bincount(np.searchsorted(own, pairs >> 8), minlength=len(own)) - hit]), minlength=len(codes))
-        t = grown
+        t = np.bincount(index, weights=np.concatenate([t, n]), minlength=len(codes))
+    codes, t = codes[t >= 2], t[t >= 2]  # no landmark otherwise
+    c = np.zeros(len(codes))
+    for own, n in counted(0):
+        place = np.searchsorted(codes, own)
+        known = np.flatnonzero(codes[np.minimum(place, len(codes) - 1)] == own) if len(codes) else []
+        c[place[known]] += n[known]
     n_t, n_c = toxic.sum(), len(toxic) - toxic.sum()
     odds = np.log((t + 0.5) / (n_t + 1)) - np.log((c + 0.5) / (n_c + 1))
     evidence = odds * np.sqrt(t) * (odds > 0)
     rank = np.lexsort((codes, -evidence))[:how_many]
     rank = rank[: max(16, int((evidence[rank] >= LEAST_EVIDENCE).sum()))]  # strings that a few documents share by chance only add noise
-    return [np.array([(codes[r] >> BITS * (size - 1 - k)) & 31 for k in range(size)], dtype=np.uint8) for r in rank if t[r] >= 2]
+    return [np.array([(codes[r] >> BITS * (size - 1 - k)) & 31 for k in range(size)], dtype=np.uint8) for r in rank]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -216,8 +299,8 @@ def _platt(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(w[0]), float(w[1])
 
 
-def _spread(piece: np.ndarray, weights: np.ndarray, seed: int) -> list[np.ndarray]:
-    """The sentence with its most telling word written apart: a sign after each letter, and one letter put in."""
+def _disguised(piece: np.ndarray, weights: np.ndarray, seed: int) -> list[np.ndarray]:
+    """The sentence with a letter put into its most telling word, at two places."""
     values = position_values(piece, weights)
     at = int(np.argmax(np.convolve(values, np.ones(4), "full")[3:])) + 1
     at = min(at, len(piece) - 1)
@@ -227,10 +310,16 @@ def _spread(piece: np.ndarray, weights: np.ndarray, seed: int) -> list[np.ndarra
     word = piece[left:right]
     if len(word) < ORDER:
         return []
-    apart = np.zeros(2 * len(word) - 1, np.uint8) + np.uint8(31 * (seed % 2))
-    apart[::2] = word
-    put = np.insert(word, 1 + seed % (len(word) - 1), 1 + seed * 7 % 26)
-    return [np.concatenate([piece[:left], w, piece[right:]]) for w in (apart, put)]
+    places = {1 + seed % (len(word) - 1), 1 + (seed + len(word) // 2) % (len(word) - 1)}
+    return [np.concatenate([piece[:left], np.insert(word, k, 1 + (seed * 7 + k) % 26), piece[right:]]) for k in sorted(places)]
+
+
+def _whole(codes: np.ndarray, letters: int) -> np.ndarray:
+    """The codes without a gap in them."""
+    full = np.ones(len(codes), dtype=bool)
+    for k in range(letters):
+        full &= (codes >> k * BITS) & 31 > 0
+    return codes[full]
 
 
 def fit(texts: list[str], labels: list[int], share: float | None = None, landmarks: int = 320, rounds: int = 3) -> ToxicityModel:
@@ -240,7 +329,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
     """
     y = np.array([int(v == 1) for v in labels], dtype=np.int64)
     share = (y.mean() if len(y) else 0.0) if share is None else share
-    flat = ToxicityModel(np.zeros(1 << BITS * ORDER, np.float32), 0.0, 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    flat = ToxicityModel(np.zeros(1 << BITS * ORDER, np.float32), NO_LONG, 0.0, 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     if len(np.unique(y)) < 2:
         return flat
     parts = [symbols(texts[at : at + 200]) for at in range(0, len(texts), 200)]
@@ -253,65 +342,74 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
     if not marks:
         return flat
     z = np.concatenate([np.concatenate([m, np.zeros(SPAN, np.uint8)]) for m in marks])
-    z_codes = np.unique(np.concatenate([c.copy() for _, c in _codes(z)]))
-    full = np.ones(len(z_codes), dtype=bool)
-    for k in range(ORDER):
-        full &= (z_codes >> k * BITS) & 31 > 0
-    z_codes = z_codes[full]
+    z_codes = _whole(np.unique(np.concatenate([c.copy() for _, c in _codes(z)])), ORDER)
+    z_long = _whole(np.unique(np.concatenate([c.copy() for _, c in _long_codes(z)])), ORDER + 1)
     slot = np.full(1 << BITS * ORDER, -1, dtype=np.int32)
     slot[z_codes] = np.arange(len(z_codes))
-    phi_z = _phi_rows(z, [len(marks[0]) + SPAN] * len(marks), slot, len(z_codes))
+    width = len(z_codes) + len(z_long)
+    phi_z = _phi_rows(z, [len(marks[0]) + SPAN] * len(marks), slot, z_long, width)
     phi_z /= np.maximum(np.linalg.norm(phi_z, axis=1, keepdims=True), 1e-12)
     value, vector = np.linalg.eigh(phi_z @ phi_z.T)
     keep = value > 1e-8 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
 
-    def table(beta: np.ndarray) -> np.ndarray:
-        w = np.zeros(1 << BITS * ORDER, dtype=np.float32)
-        w[z_codes] = phi_z.T @ beta
-        return w
+    def folded(beta: np.ndarray) -> tuple[np.ndarray, LongWeights]:
+        w, by_code = np.zeros(1 << BITS * ORDER, dtype=np.float32), phi_z.T @ beta
+        w[z_codes] = by_code[: len(z_codes)]
+        return w, LongWeights(z_long, by_code[len(z_codes) :])
 
-    model = ToxicityModel(table(np.ones(len(marks))), 0.0, 0.0, 1.0, 0.0)
+    model = ToxicityModel(*folded(np.ones(len(marks))), 0.0, 0.0, 1.0, 0.0)
     for turn in range(rounds):
         f = model.sentence_scores(sym, sentences)
         order = np.lexsort((-f, sentence_doc))
         place = np.arange(len(order)) - np.searchsorted(sentence_doc[order], sentence_doc[order])
         toxic = y[sentence_doc[order]] == 1
-        picked = order[(toxic & ((place < 1) | ((place < 5) & (f[order] > 0 if turn else place < 3)))) | (~toxic & ((place < 2) | (order % 37 == turn)))]
+        rank = np.flatnonzero((toxic & ((place < 1) | ((place < 5) & (f[order] > 0 if turn else place < 3)))) | (~toxic & ((place < 5) | (order % 37 == turn))))
+        picked = order[rank]
         pieces = [sym[a:b] for a, b in sentences[picked]]
         hits = y[sentence_doc[picked]] == 1
-        spread = [p for n, piece in enumerate(pieces) if hits[n] and n % 3 == turn for p in _spread(piece, model.weights, n)] if turn else []
+        # of toxic documents the highest sentence, which is likeliest to hold the insult
+        spread = [p for n, piece in enumerate(pieces) if hits[n] and place[rank[n]] == 0 for p in _disguised(piece, model.weights, n + turn)] if turn else []
         sign = np.concatenate([np.where(hits, 1.0, -1.0), np.ones(len(spread))])
-        cost = np.concatenate([np.where(hits, 50.0, 20.0), np.full(len(spread), 5.0)])
+        cost = np.concatenate([np.where(hits, 50.0, 20.0), np.full(len(spread), 15.0)])
         pieces += spread
         x = np.ones((len(pieces), root.shape[1] + 2), np.float32)
         for at in range(0, len(pieces), 200):
             some = [np.concatenate([p, np.zeros(SPAN, np.uint8)]) for p in pieces[at : at + 200]]
-            phi = _phi_rows(np.concatenate(some), [len(p) for p in some], slot, len(z_codes))
+            phi = _phi_rows(np.concatenate(some), [len(p) for p in some], slot, z_long, width)
             x[at : at + 200, :-2] = phi @ phi_z.T @ root
             x[at : at + 200, -2] = [len(p) / 100.0 for p in some]
         w = _svm(x, sign, cost)
-        model = ToxicityModel(table(root @ w[:-2]), float(w[-2] / 100.0), float(w[-1]), 1.0, 0.0)
+        model = ToxicityModel(*folded(root @ w[:-2]), float(w[-2] / 100.0), float(w[-1]), 1.0, 0.0)
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, sentence_doc, model.sentence_scores(sym, sentences))
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    model.slope, model.offset = _platt(best, y.astype(float), weight)
+    # disguised forms weigh half as much as plain ones, together
+    hidden = x[len(sign) - len(spread) :].astype(np.float64) @ w
+    goals = np.concatenate([y, np.ones(len(hidden))])
+    weight = np.concatenate([weight, np.full(len(hidden), 0.5 * share * len(y) / max(1, len(hidden)))])
+    model.slope, model.offset = _platt(np.concatenate([best, hidden]), goals, weight)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, hold_out: bool = True) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled documents of each class, drawn by hashed id.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_points: int = 20_000_000, hold_out: bool = True) -> ToxicityModel:
+    """Fit on at most ``per_class`` labelled documents of each class, drawn by hashed id, whole texts.
 
-    With ``hold_out`` only ids whose crc32 modulo 4 is not 2 are used. Rows without a
-    label or document don't count. The bound on rows is the only one: texts are whole.
+    Drawing from a class ends before the text that would pass ``most_points`` code points,
+    so the driver holds a bounded sample. With ``hold_out`` only ids whose crc32 modulo 4
+    is not 2 are used. Rows without a label or document don't count.
     """
-    known = ensure_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
+    known = ensure_columns(labels, "doc_id", "toxic").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and toxic in (0, 1)")
     if hold_out:
         known = known.where(crc_mod("doc_id", 4) != 2)
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picks = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * per_class ids
-    rows = ensure_columns(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = ensure_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", "toxic", F.length(F.coalesce("text", F.lit(""))).alias("n")).withColumn("upto", F.sum("n").over(order))
+    fitting = sizes.where(F.col("upto") <= most_points).select("doc_id", "toxic", "n").distinct()
+    rows = rows.withColumn("n", F.length(F.coalesce("text", F.lit("")))).join(F.broadcast(fitting), ["doc_id", "toxic", "n"]).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     total = sum(counts.values())
     return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else 0.0)
@@ -334,12 +432,16 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
                     names=["doc_id", "held_out", "score", "predicted"],
                 )
 
-    rows = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("`text`"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("`text`"))
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score under the threshold, unchanged."""
+    """The rows of ``docs`` that score under the threshold, unchanged and with all columns.
+
+    Null and empty texts are scored as an empty sentence; repeated rows go or stay alike;
+    an empty table stays empty; no column's name matters but ``text``.
+    """
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,4 +450,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
                 values = shared.value.scores(batch.column(batch.schema.names.index("text")).to_pylist())
                 yield batch.filter(pa.array(values < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
