@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import ensure_columns, slices
+from lectern.llm.shared import ensure_columns, slices, text_bytes, tidy
 from lectern.llm.tokens import tokenizer
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -100,7 +100,7 @@ def _pack(path: str, capacity: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encode = tokenizer(path).encode_all
         packer = SumOfSquares(capacity, TaskContext.get().partitionId() << 40)
 
         def flush():
@@ -109,8 +109,11 @@ def _pack(path: str, capacity: int, end_id: int):
 
         for whole in batches:
             for batch in slices(whole):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    packer.add(doc_id, encode(text) + end)
+                ids, ends = encode(text_bytes(batch.column(1)), end)
+                raw, at = ids.tobytes(), 0
+                for doc_id, stop in zip(batch.column(0).to_pylist(), (4 * ends).tolist(), strict=True):
+                    packer.add(doc_id, raw[at:stop])
+                    at = stop
                 if packer.done:
                     yield flush()
         packer.finish()
@@ -129,4 +132,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     sequence_id is unique: the number of the task in its high bits, a counter in the low 40.
     """
     rows = ensure_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(_pack(tokenizer_path, capacity, end_id), _OUT)
+    return rows.mapInArrow(tidy(_pack(tokenizer_path, capacity, end_id)), _OUT)
