@@ -1,11 +1,13 @@
 import ast
+import math
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lectern.llm import queries
+from lectern.llm import queries, toxicity
 
 ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.001"
@@ -43,6 +45,32 @@ def test_nothing_outside_imports_llm():
             assert not any("llm" in n for n in names), f
 
 
+def plain_score(model, text):
+    """The highest window's sum over all its subsequences, one by one."""
+    from itertools import combinations
+
+    sym, windows, _ = toxicity.symbols([text])
+    long = dict(zip(model.long.codes.tolist(), model.long.weights.tolist(), strict=True))
+    sums = []
+    for a, b in windows.tolist():
+        total = 0.0
+        for p in range(a, b):
+            reach = range(p + 1, min(p + toxicity.SPAN, len(sym)))
+            for more, table, factor in ((toxicity.ORDER - 1, model.weights, 1.0), (toxicity.ORDER, long, toxicity.LONGER)):
+                for rest in combinations(reach, more):
+                    places = (p, *rest)
+                    if all(sym[q] for q in places):
+                        code = 0
+                        for q in places:
+                            code = code << toxicity.BITS | int(sym[q])
+                        w = table.get(code, 0.0) if isinstance(table, dict) else float(table[code])
+                        total += w * factor * toxicity.DECAY ** (places[-1] - p + 1)
+        sums.append(total + model.per_symbol * (b - a) + model.bias)
+    score = 1 / (1 + math.exp(-min(30, max(-30, model.slope * max(sums) + model.offset))))
+    assert abs(score - model.scores([text])[0]) < 1e-3
+    return score
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against its brute-force form, on its own input."""
     from tests.llm.test_dedup import WS, brute_components
@@ -58,10 +86,19 @@ def test_pipeline_stages(spark, tmp_path):
         if name != "packing":
             assert current.columns == docs.columns
     assert len(rows["documents"]) >= len(rows["toxicity"]) > 0.8 * len(rows["documents"])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    stayed = {r.doc_id for r in rows["toxicity"]}
+    short = sorted(rows["documents"], key=lambda r: len(r.text))[:25]
+    for r in short:
+        assert (plain_score(model, r.text) < 0.3) == (r.doc_id in stayed)
     assert {WS.sub("", r.text) for r in rows["toxicity"]} == {WS.sub("", r.text) for r in rows["exact_dedup"]}
     assert len(rows["exact_dedup"]) == len({WS.sub("", r.text) for r in rows["toxicity"]})
     want = brute_components(rows["exact_dedup"])
     assert {r.doc_id for r in rows["near_dedup"]} == {i for i, (_, c) in want.items() if i == c}
-    assert {r.doc_id for r in rows["mixing"]} <= {r.doc_id for r in rows["near_dedup"]}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/near_dedup/*.parquet'")
+    want = Counter(i for (i,) in c.sql(f"SELECT doc_id FROM ({queries.mix_sql(100)})").fetchall())
+    assert Counter(r.doc_id for r in rows["mixing"]) == want
     assert {r.doc_id for r in rows["packing"]} == {r.doc_id for r in rows["mixing"]}
     assert len(corpus_pipeline.STAGES) == 5

@@ -38,7 +38,12 @@ def test_exact_stage_keeps_columns(odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     texts = [WS.sub("", r.text or "") for r in out.collect()]
     assert len(texts) == len(set(texts)) == len({WS.sub("", r.text or "") for r in odd_docs.collect()})
-    assert exact_dedup.exact_duplicates(no_docs).count() == 0
+    assert exact_dedup.exact_duplicates(no_docs).count() == 0 == exact_dedup.drop_exact_duplicates(no_docs).count()
+    named = odd_docs.selectExpr("*", "1 AS __id", "2 AS __n", "3 AS kept_key", "4 AS text_key", "5 AS ROW_ID")
+    kept = exact_dedup.drop_exact_duplicates(named).collect()
+    assert exact_dedup.drop_exact_duplicates(named).columns == named.columns and {r["__n"] for r in kept} == {2}
+    best = {sha: i for i, keep, _, sha in brute_exact(odd_docs.collect()) for i in [keep]}
+    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, best.values()))
 
 
 def brute_components(rows, k=5):
@@ -101,6 +106,38 @@ def test_near_pairs_behind_other_centres(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == want
 
 
+def test_near_by_prefixes(rng_docs, monkeypatch):
+    """With buckets of over two members split by prefixes, the components are the same."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    want = brute_components(rng_docs.collect())
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(rng_docs).collect()}
+    assert got == want
+
+
+def test_near_family_behind_a_common_passage(spark, monkeypatch):
+    """Documents that share a passage of two thirds, some of them alike: common shingles bring nobody together that isn't."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "SALTED", 2)
+    passage = prose(70, 120)
+    rows = [(i, passage + " " + prose(900 + i // 3, 60 if i % 3 else 56)) for i in range(60)] + [(100 + i, passage + " " + prose(2000 + i, i)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(docs.collect())
+    assert 10 < len({c for _, c in want.values()}) < 60
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def test_near_stage_on_odd_rows(odd_docs, no_docs):
+    """One row of each component, blank rows all; rows that repeat an id are told apart by their texts."""
+    odd = odd_docs.selectExpr("*", "1 AS __id", "2 AS row_key", "3 AS comp")
+    out = minhash.drop_near_duplicates(odd)
+    assert out.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [2, 3, 4, 6, 8, 9, 11, 12]))
+    extra = odd_docs.where("doc_id = 9").selectExpr("uid", "2L AS doc_id", "text", "lang", "source", "bucket", "spans")
+    again = minhash.drop_near_duplicates(odd_docs.union(extra)).where("text = 'one two'").collect()
+    assert [r.doc_id for r in again] == [2]
+    assert minhash.drop_near_duplicates(no_docs).count() == 0
+
+
 def test_densified_bins_agree_as_sets_do():
     rng = np.random.default_rng(0)
     hits = []
@@ -170,6 +207,34 @@ def test_chunks_resist_shifts():
     assert chunk_dedup.cut_points(b"") == [] and chunk_dedup.cut_points(text)[-1] == len(text)
 
 
+def plain_cuts(text: bytes, least=8, usual=20, most=512):
+    """Cut points by the plain definition: the hash of the last 16 bytes, one byte at a time."""
+    mask, gear = (1 << 64) - 1, []
+    for i in range(256):
+        x = (i + 1) * 0x9E3779B97F4A7C15 & mask
+        x ^= x >> 29
+        gear.append((x * 0xBF58476D1CE4E5B9 & mask) >> 32)
+    ends, last = [], 0
+    for n in range(1, len(text) + 1):
+        h = sum(gear[text[n - 1 - k]] << 2 * k for k in range(min(16, n))) & 0xFFFFFFFF
+        here = h < (1 << 32) // usual and n - last >= least or n == len(text)
+        while here and n - last > most:
+            last += most
+            ends.append(last)
+        if here and n > last:
+            ends.append(n)
+            last = n
+    return ends
+
+
+def test_cuts_match_the_plain_definition():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 7, 40, 3000):
+        text = bytes(rng.integers(97, 123, n).astype(np.uint8))
+        assert chunk_dedup.cut_points(text) == plain_cuts(text)
+    assert chunk_dedup.cut_points(b"a" * 2000) == plain_cuts(b"a" * 2000)
+
+
 def test_chunk_duplicates(rng_docs, odd_docs, no_docs):
     rows = {r.doc_id: (r.text or "").encode() for r in rng_docs.collect()}
     owner = {}
@@ -186,11 +251,16 @@ def test_chunk_duplicates(rng_docs, odd_docs, no_docs):
                 else:
                     spans.append([s, e])
         assert [(s["start"], s["start"] + s["length"]) for s in got[i].spans] == [(a, b) for a, b in spans if b - a >= 80]
+        assert (got[i].n_dup_bytes, got[i].n_dup_chunks) == (sum(b - a for a, b in spans), sum(owner[raw[s:e]] < i for s, e in zip([0, *plain_cuts(raw)], plain_cuts(raw), strict=False)))
     assert all(got[i].n_removed > 100 for i in range(181, 200))  # the shared passage of 55 words
+    small = chunk_dedup.chunk_duplicates(rng_docs, batch_bytes=3000, bucket_bytes=500)
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, got.values()))
     odd = {r.doc_id: r for r in chunk_dedup.chunk_duplicates(odd_docs).collect()}
     assert odd[2].n_removed == 0 and odd[5].n_removed == odd[5].n_bytes and odd[3].n_chunks == 0 and odd[12].n_removed > 200
     cut = {r.doc_id: r.text for r in chunk_dedup.cut_documents(odd_docs).collect()}
     assert cut[5] == "" and cut[9] == "one two" and cut[3] is None
+    named = odd_docs.selectExpr("*", "1 AS __id", "2 AS cut_key", "3 AS n_bytes")
+    assert chunk_dedup.cut_documents(named).columns == named.columns and chunk_dedup.cut_documents(no_docs).count() == 0
     assert chunk_dedup.chunk_duplicates(no_docs).count() == 0
 
 

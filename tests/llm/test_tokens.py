@@ -103,6 +103,14 @@ def test_huffman_block_round_trip():
         assert (book.decode(payload, marks, n) == ids[:n]).all()
 
 
+def test_huffman_holds_more_ids_than_sixteen_bits():
+    ids = np.arange(70_000)
+    book = huffman.Codebook(ids, huffman.code_lengths(np.ones(70_000)))
+    some = np.random.default_rng(8).integers(0, 70_000, 3000).astype(np.uint32)
+    payload, marks = book.encode(some)
+    assert book.limit == 17 and (book.decode(payload, marks, 3000) == some).all()
+
+
 def test_huffman_files(odd_docs, rng_docs, no_docs):
     for docs in (rng_docs, odd_docs):
         got = huffman.round_trip(docs, PATH).collect()
@@ -117,6 +125,19 @@ def test_huffman_files(odd_docs, rng_docs, no_docs):
     assert huffman.round_trip(no_docs, PATH).count() == 0
 
 
+def test_mixed_documents_keep_columns_and_copies(spark, odd_docs):
+    """The stage gives each row as often as the operator takes it, whatever the columns are called."""
+    odd = odd_docs.selectExpr("*", "1 AS __n", "2 AS kept_id", "3 AS n_tokens", "4 AS text_key")
+    out = mixing.mix_documents(odd, budget_percent=100)
+    assert out.columns == odd.columns
+    taken = mixing.mix(odd, mixing.domain_of_source(), mixing.WEIGHTS, budget_percent=100).collect()
+    count = lambda rows, key: sorted((str(k), sum(key(r) == k for r in rows)) for k in {key(r) for r in rows})
+    words = lambda r: (r.doc_id, len((r.text or "").replace("\x0b", " ").split()))
+    assert count(out.collect(), words) == count(taken, lambda r: (r.doc_id, r.n_tokens))
+    every = mixing.mix_documents(odd, budget_percent=400).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r["count"]) for r in every} >= {(2, 8), (5, 4), (None, 4)}
+
+
 def brute_fill(budget, children):
     """Fractions: repeat until no child is over its supply."""
     left, open_, share = budget, dict(children), {}
