@@ -87,7 +87,9 @@ e{n} AS (SELECT *, greatest(1, sum(w) OVER (PARTITION BY {part}))::BIGINT AS tot
 s{n} AS (SELECT {", ".join(keys)}, CASE WHEN short THEN supply ELSE (rest * upto) // total - (rest * (upto - w)) // total END AS share FROM e{n})"""
 
 
-_MIX_SQL = rf"""
+def mix_sql(percent: int = 60) -> str:
+    """The mix in SQL, for a budget of ``percent`` of all words."""
+    return rf"""
 WITH r AS (SELECT doc_id, coalesce(['web', 'books', 'reference', 'forum'][try_cast(regexp_extract(source, '(\d+)$', 1) AS INT) % 4 + 1], 'unknown') AS domain,
    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
@@ -95,7 +97,7 @@ rows_ AS (SELECT * FROM r WHERE n_tokens > 0),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * 4)::BIGINT AS supply FROM rows_ GROUP BY ALL),
 l1 AS (SELECT domain, sum(supply)::BIGINT AS supply FROM leaf GROUP BY ALL),
 l2 AS (SELECT domain, lang, sum(supply)::BIGINT AS supply FROM leaf GROUP BY ALL),
-{_level(1, ["domain"], "l1 x", "(SELECT least(sum(supply), (sum(tokens) * 60) // 100) FROM leaf)::BIGINT", "CASE domain WHEN 'web' THEN 40 WHEN 'books' THEN 25 WHEN 'reference' THEN 20 WHEN 'forum' THEN 15 ELSE 1 END")},
+{_level(1, ["domain"], "l1 x", f"(SELECT least(sum(supply), (sum(tokens) * {percent}) // 100) FROM leaf)::BIGINT", "CASE domain WHEN 'web' THEN 40 WHEN 'books' THEN 25 WHEN 'reference' THEN 20 WHEN 'forum' THEN 15 ELSE 1 END")},
 {_level(2, ["domain", "lang"], "l2 x JOIN s1 USING (domain)", "s1.share", "CASE lang WHEN 'en' THEN 55 WHEN 'de' THEN 15 WHEN 'fr' THEN 15 WHEN 'es' THEN 15 ELSE 1 END")},
 {_level(3, ["domain", "lang", "source"], "leaf x JOIN s2 USING (domain, lang)", "s2.share", "1")},
 plan AS (SELECT domain, lang, source, share // tokens AS whole, share % tokens AS rest FROM leaf JOIN s3 USING (domain, lang, source)),
@@ -107,7 +109,7 @@ SELECT domain, lang, source, doc_id, epoch::INT AS epoch, n_tokens, taken_tokens
 """
 
 ORACLE_SQL = {
-    "op1_mixing": _MIX_SQL,
+    "op1_mixing": mix_sql(),
     "op5_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
 r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
