@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import materialise
+from lectern.llm.shared import join_heavy, keep_rows, materialise, text_key
 
 BUCKETS = 4096
 LEAF = ["domain", "lang", "source"]
@@ -94,6 +94,7 @@ def mix(
     max_epochs: int = 4,
     seed: int = 17,
     default_weight: int = 1,
+    keyed: bool = False,
 ) -> DataFrame:
     """One row per taken document and epoch.
 
@@ -103,23 +104,27 @@ def mix(
     positive integers by name, others ``default_weight``.
 
     A null domain, language or source is named 'unknown'. Texts without words are never
-    taken. Rows that share a doc_id also share an order key; ties go by word count, and
-    equal rows of equal rank are taken or cut alike, so that such a leaf may exceed its
-    share by their words. An empty table gives no rows; further columns are ignored.
+    taken. Rows that share a doc_id also share an order key; ties go by word count, then
+    in any order: a leaf's taken tokens are exactly its share. An empty table gives no
+    rows; further columns are ignored. ``keyed`` adds text_key (see shared.text_key).
     """
     named = [F.coalesce(c, F.lit("unknown")).alias(n) for c, n in ((domain, "domain"), (F.col("lang"), "lang"), (F.col("source"), "source"))]
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named, n_words(F.col("`text`")).alias("n_tokens")).where("n_tokens > 0"), "counts")
-    leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
+    extra = [text_key(F.col("`text`")).alias("text_key")] if keyed else []
+    rows = materialise(docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), *named, n_words(F.col("`text`")).alias("n_tokens"), *extra).where("n_tokens > 0"), "counts")
+    total = rows.count()
+    leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     plan = budgets(leaves, F.expr(f"(all_tokens * {int(budget_percent)}) div 100"), max_epochs, weights, default_weight)
-    plan = materialise(plan.select(*LEAF, F.expr("cast(share div tokens as int)").alias("whole"), F.expr("share % tokens").alias("rest")), "plan")
-    held = rows.join(plan, LEAF)
+    plan = materialise(plan.select(*LEAF, "rows", F.expr("cast(share div tokens as int)").alias("whole"), F.expr("share % tokens").alias("rest")), "plan")
+    held = join_heavy(rows, plan, LEAF, "rows", total).drop("rows")
     key = seeded(seed, F.col("whole"), F.col("doc_id"))
-    held = held.withColumn("bucket_key", key).withColumn("bucket", F.expr(f"bucket_key div {2**60 // BUCKETS}"))
+    bucket = F.expr(f"bucket_key div {2**60 // BUCKETS}")
+    held = held.withColumn("bucket_key", key).withColumn("bucket", bucket)
     sums = held.where("rest > 0").groupBy(*LEAF, "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
     upto = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ends = sums.withColumn("before", F.sum("t").over(upto) - F.col("t")).where("before < rest and before + t >= rest")
     ends = ends.select(*LEAF, F.col("bucket").alias("end_bucket"), F.col("before").alias("end_before"))
-    held = held.join(ends, LEAF, "left")
+    plan = materialise(plan.join(ends, LEAF, "left"), "ends")
+    held = join_heavy(rows, plan, LEAF, "rows", total).drop("rows").withColumn("bucket_key", key).withColumn("bucket", bucket)
     # whole epochs, and of the last one the buckets before the end
     plain = held.withColumn("copies", F.col("whole") + F.when(F.col("bucket") < F.col("end_bucket"), 1).otherwise(0)).where("copies > 0")
     plain = plain.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("taken_tokens", F.col("n_tokens"))
@@ -127,7 +132,7 @@ def mix(
     order = Window.partitionBy(*LEAF, "bucket").orderBy("bucket_key", "n_tokens", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("left", F.col("rest") - F.col("end_before") - F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("left > 0")
     edge = edge.withColumn("epoch", F.col("whole")).withColumn("taken_tokens", F.least("left", "n_tokens"))
-    out = [*LEAF, "doc_id", "epoch", "n_tokens", "taken_tokens"]
+    out = [*LEAF, "doc_id", "epoch", "n_tokens", "taken_tokens", *(["text_key"] if keyed else [])]
     taken = reduce(DataFrame.unionByName, [x.select(*out) for x in (plain, edge)])
     return taken.withColumn("order_key", seeded(seed, F.col("epoch"), F.col("doc_id")))
 
@@ -143,6 +148,14 @@ def domain_of_source() -> Column:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all columns, once for each epoch; a cut document stays whole."""
-    taken = mix(docs, domain_of_source(), WEIGHTS, **options).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), "epoch").distinct()
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(taken.groupBy("__id").agg(F.count("*").alias("__n")), "__id").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__id", "__n")
+    """The rows of ``docs`` that the mix takes, with all columns, once for each epoch; a cut document stays whole.
+
+    Rows without words (null or blank text) are not taken. A row is known by its doc_id,
+    which may be null, and its text; rows that repeat both share the copies evenly. An
+    empty table stays empty; working columns avoid the names of the table's own.
+    """
+    taken = mix(docs, domain_of_source(), WEIGHTS, keyed=True, **options)
+    there = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), text_key(F.col("`text`")).alias("text_key"), F.lit(0).alias("copy"))
+    both = taken.select("doc_id", "text_key", F.lit(1).alias("copy")).unionByName(there)
+    kept = both.groupBy("doc_id", "text_key").agg(F.sum("copy").cast("long").alias("copies"), F.sum(1 - F.col("copy")).cast("long").alias("rows"))
+    return keep_rows(docs, materialise(kept.where("copies > 0"), "taken"))
