@@ -63,10 +63,14 @@ def is_number(x: Column) -> Column:
 
 
 def is_self_doubled(line: Column) -> Column:
-    n = no_space(line)
-    size = F.length(n)
-    half = (size / 2).cast("int")
-    return (size >= 16) & (size % 2 == 0) & (F.substring(n, F.lit(1), half) == F.substring(n, half + 1, half))
+    """Whether a line, white space aside, is one text of at least eight characters twice."""
+
+    def doubled(n: Column) -> Column:
+        size = F.length(n)
+        half = (size / 2).cast("int")
+        return (size >= 16) & (size % 2 == 0) & (F.substring(n, F.lit(1), half) == F.substring(n, half + 1, half))
+
+    return (F.length(line) >= 16) & bound(no_space(line), doubled)
 
 
 def dedoubled(line: Column) -> Column:
