@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import huffman, langid, toxicity
+from lectern.llm.alignment import align_documents
 from lectern.llm.chunk_dedup import chunk_duplicates
+from lectern.llm.codebooks import compress
 from lectern.llm.exact_dedup import exact_duplicates
+from lectern.llm.fingerprints import fingerprint_edits
 from lectern.llm.minhash import near_duplicates
 from lectern.llm.mixing import WEIGHTS, domain_of_source, mix
 from lectern.llm.packing import pack
@@ -61,6 +64,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -72,6 +87,9 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_alignment": op12_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 def _level(n: int, keys: list[str], source: str, budget: str, weight: str) -> str:
@@ -108,7 +126,35 @@ taken AS (SELECT domain, lang, source, doc_id, unnest(range(whole)) AS epoch, n_
 SELECT domain, lang, source, doc_id, epoch::INT AS epoch, n_tokens, taken_tokens::BIGINT AS taken_tokens, ('0x' || md5('17:' || epoch || ':' || doc_id)[1:15])::BIGINT AS order_key FROM taken
 """
 
+def codes_sql(rounds: int = 6) -> str:
+    """Product quantisation in SQL: Lloyd's rounds one after the other, each part compared with each entry."""
+
+    def nearest(n: int) -> str:
+        return f"""n{n} AS MATERIALIZED (SELECT q.r, q.part, q.v, min((x.d, x.entry)) AS best FROM parts q, LATERAL (SELECT b.entry, list_sum(list_transform(range(1, 9), lambda i: (q.v[i] - b.v[i]) * (q.v[i] - b.v[i])))::BIGINT AS d
+   FROM b{n} b WHERE b.part = q.part) x GROUP BY ALL)"""
+
+    steps = []
+    for n in range(rounds):
+        sums = ", ".join(f"floor(sum(v[{i}])::HUGEINT / count(*))::BIGINT" for i in range(1, 9))
+        steps.append(f"""{nearest(n)},
+m{n} AS (SELECT part, best[2] AS entry, [{sums}] AS v FROM n{n} GROUP BY ALL),
+b{n + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{n} b LEFT JOIN m{n} m ON m.part = b.part AND m.entry = b.entry)""")
+    steps.append(nearest(rounds))
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+   WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+parts AS MATERIALIZED (SELECT r, p AS part, v[p * 8 + 1:p * 8 + 8] AS v FROM kept, range(8) t(p)),
+firsts AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT vec_id, min(r) AS r FROM kept GROUP BY vec_id ORDER BY vec_id LIMIT 16)),
+b0 AS (SELECT part, entry, v FROM parts JOIN firsts USING (r)),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM n{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), books
+"""
+
+
 ORACLE_SQL = {
+    "op13_vector_codes": codes_sql(),
     "op1_mixing": mix_sql(),
     "op5_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
