@@ -268,18 +268,20 @@ def train(docs: DataFrame, per_language: int = 150, symbols_per_language: int =
     Drawing ends with the text that reaches ``symbols_per_language`` code points; texts of
     more than ``longest`` are not drawn, so the driver holds a bounded sample. With
     ``hold_out`` only ids whose crc32 modulo 5 is not 0 are used. Texts without a letter
-    don't count.
+    and rows without an id don't count, equal rows once; texts that share an id are told apart.
     """
     rows = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`lang`").alias("lang"), F.col("`text`").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
     if hold_out:
         rows = rows.where(crc_mod("doc_id", 5) != 0)
+    rows = rows.withColumn("n", F.length("text")).withColumn("of_text", F.xxhash64("text"))
     # only ids, hashes and lengths are ranked; each map task keeps its best rows before the shuffle
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "n")
-    drawn = rows.select("doc_id", "lang", F.length("text").alias("n")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
+    same = ["doc_id", "lang", "n", "of_text"]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "n", "of_text")
+    drawn = rows.select(*same).distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    picked = drawn.withColumn("before", before).where(F.col("before") < symbols_per_language).select("doc_id", "lang").distinct()
-    found = rows.join(F.broadcast(picked), ["doc_id", "lang"]).collect()  # per_language ids for each language at most
+    picked = drawn.withColumn("before", before).where(F.col("before") < symbols_per_language).select(*same)  # per_language rows a language at most
+    found = rows.join(F.broadcast(picked), same).groupBy(*same).agg(F.first("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"] or 0, hashlib.md5(r["text"].encode()).digest())):
         samples.setdefault(r["lang"], []).append(r["text"])

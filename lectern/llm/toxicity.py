@@ -393,26 +393,32 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_points: int = 20_000_000, hold_out: bool = True) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled documents of each class, drawn by hashed id, whole texts.
+    """Fit on at most ``per_class`` labelled texts of each class, drawn by hashed id, whole texts.
 
     Drawing from a class ends before the text that would pass ``most_points`` code points,
-    so the driver holds a bounded sample. With ``hold_out`` only ids whose crc32 modulo 4
-    is not 2 are used. Rows without a label or document don't count.
+    so the driver holds a bounded sample, whatever rows repeat. With ``hold_out`` only ids
+    whose crc32 modulo 4 is not 2 are used. Repeated label rows count once; ids with labels
+    of both classes, rows without a label or document, and null ids not at all. Texts that
+    share an id are told apart; equal rows count once.
     """
     known = ensure_columns(labels, "doc_id", "toxic").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and toxic in (0, 1)")
     if hold_out:
         known = known.where(crc_mod("doc_id", 4) != 2)
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picks = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * per_class ids
     rows = ensure_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = rows.select("doc_id", "toxic", F.length(F.coalesce("text", F.lit(""))).alias("n")).withColumn("upto", F.sum("n").over(order))
-    fitting = sizes.where(F.col("upto") <= most_points).select("doc_id", "toxic", "n").distinct()
-    rows = rows.withColumn("n", F.length(F.coalesce("text", F.lit("")))).join(F.broadcast(fitting), ["doc_id", "toxic", "n"]).select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n", F.length("text")).withColumn("of_text", F.xxhash64("text"))
+    same = ["doc_id", "toxic", "n", "of_text"]
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "n", "of_text")
+    drawn = rows.select(*same).distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_class)
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fitting = drawn.withColumn("upto", upto).where(F.col("upto") <= most_points).select(*same)  # at most 2 * per_class rows
+    found = rows.join(F.broadcast(fitting), same).groupBy(*same).agg(F.first("text").alias("text")).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["text"]))
     total = sum(counts.values())
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else 0.0)
+    return fit([r["text"] for r in found], [r["toxic"] for r in found], counts.get(1, 0) / total if total else 0.0)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:

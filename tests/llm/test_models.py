@@ -255,3 +255,37 @@ def test_quality_rules_match_brute_force_and_keep_their_promise(spark):
     assert got == {k: v for k, v in ((k, brute_cutoffs(v, 0.05, level)) for k, v in plain.items()) if v is not None}
     risky = [k for k in strata if tails[k] > 0.05]
     assert len(got) > 10 and sum(got.get(k, {}).get("symbol_rate", 999) < 300 for k in risky) <= len(risky) * level + 3
+
+
+def test_samples_stay_bounded(spark, monkeypatch):
+    """100,000 rows under one id, repeated and contradicting labels: the sample that reaches the driver keeps its bounds."""
+    from pyspark.sql import functions as F
+
+    seen = {}
+
+    def toxic_fit(texts, y, share):
+        seen["toxic"] = list(zip(texts, y, strict=True))
+
+    def lang_fit(samples, most):
+        seen["lang"] = samples
+
+    monkeypatch.setattr(toxicity, "fit", toxic_fit)
+    monkeypatch.setattr(langid, "fit", lang_fit)
+    same = spark.range(50_000).select(F.lit(1).alias("doc_id"), F.lit("one text that many rows repeat").alias("text"), F.lit("en").alias("lang"))
+    differ = spark.range(50_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(2, 60).select(F.col("id").alias("doc_id"), F.concat(F.lit("other "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    none = spark.range(40).select(F.lit(None).cast("long").alias("doc_id"), F.lit("text without an id").alias("text"), F.lit("fr").alias("lang"))
+    docs = same.unionByName(differ).unionByName(others).unionByName(none)
+    labels = spark.createDataFrame([(1, 1)] * 500 + [(k, 0) for k in range(2, 60)] + [(7, 1), (None, 1)] * 3 + [(8, None)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, per_class=20, most_points=400, hold_out=False)
+    for k in (0, 1):
+        texts = [t for t, y in seen["toxic"] if y == k]
+        assert 5 < len(texts) <= 20
+        assert len(set(texts)) == len(texts)
+        assert sum(map(len, texts)) <= 400
+    assert "other 7" not in {t for t, _ in seen["toxic"]}  # labels of both classes
+    langid.train(docs, per_language=15, symbols_per_language=150, hold_out=False)
+    assert set(seen["lang"]) == {"en", "de"}
+    for texts in seen["lang"].values():
+        assert len(texts) <= 15
+        assert sum(map(len, texts[:-1])) < 150 + 40
