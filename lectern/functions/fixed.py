@@ -60,9 +60,14 @@ BITMAP_ERRORS = {
 # Places that get a share of a pixel's error (right, down) and the share, for each kernel.
 SIX = ((1, 0), (2, 0), (-1, 1), (0, 1), (1, 1), (0, 2))
 KERNELS = {"atkinson": {at: 1 / 8 for at in SIX}, "floyd": {(1, 0): 7 / 16, (-1, 1): 3 / 16, (0, 1): 5 / 16, (1, 1): 1 / 16}}
-NOISE_SHARE = 0.55
-GAMMA = 0.85
+NOISE_SHARE, NOISE_SIGMA = 0.55, 1.6
+# Tone: percent cut off at each end, power of the curve, factor of the sharpening; red, green, blue of 65536.
+CUTOFF, GAMMA, SHARPNESS = 0.5, 0.85, 1.35
+GREY = (19595, 38470, 7471)
+# Mats: band of an edge, panel width over blur radius, contrast of the blur, waves' periods, number, depth and slope.
 EDGE_BAND = 0.08
+BLUR_DIVISOR, BLUR_CONTRAST = 12, 0.55
+WAVE_PERIOD, WAVES, WAVE_DEPTH, WAVE_SLOPE = (90.0, 220.0), 3, 3, 0.35
 # Sizes that a user interface's font needs.
 UI_SIZES = (8, 10, 12)
 # Length of a slug, of a short gloss, of a preview.
