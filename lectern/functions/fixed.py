@@ -34,6 +34,9 @@ DEDUPE_UNDER = 0.7
 # File endings of sidecars, in order of preference.
 TRANSCRIPT_ENDINGS = ("md", "markdown", "txt", "text")
 COVER_ENDINGS = ("png", "jpg", "jpeg", "webp", "tiff", "tif", "bmp", "gif")
+# Ranges of wide characters (ideographs, extension A, compatibility, signs, full-width forms); what XML forbids.
+WIDE = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF), (0x3000, 0x303F), (0xFF00, 0xFFEF))
+NOT_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 # Bounds of a correction: share of changed characters, longest span, net growth.
 MAX_CHANGED, MAX_SPAN, MAX_GROWTH = 0.02, 24, 0.01
 # The panel, its levels, the most enlargement, the least mat, the largest bitmap.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -193,8 +195,8 @@ def build_url(server: Column, path: Column) -> Column:
 
 
 def clean_metadata(x: Column) -> Column:
-    """Characters that XML forbids dropped, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"\s+", " "))
+    """Characters that XML forbids dropped, white space of any kind collapsed."""
+    return F.array_join(words_of(F.regexp_replace(x, fixed.NOT_XML, "")), " ")
 
 
 def short_hash(x: Column, n: int = 12) -> Column:
@@ -232,13 +234,23 @@ def html_text(page: Column) -> Column:
 
 
 def without_fences(x: Column) -> Column:
-    """Reasoning blocks, then one outer code fence, removed."""
-    x = F.trim(F.regexp_replace(x, r"(?s)<think>.*?</think>", ""))
-    return F.trim(F.regexp_replace(x, r"(?s)^```[^\n]*\n(.*?)\n?```$", "$1"))
+    """Reasoning blocks removed; of a text that then begins with a code fence its first line, and its last one if that is a bare fence."""
+
+    def inside(t: Column) -> Column:
+        lines = F.split(t, fixed.LINE_END)
+        kept = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+        closed = strip(F.try_element_at(kept, F.lit(-1))) == "```"
+        kept = F.when(F.coalesce(closed, F.lit(False)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+        return F.when(t.startswith("```"), strip(F.array_join(kept, "\n"))).otherwise(t)
+
+    return bound(strip(F.regexp_replace(x, r"(?s)<think>.*?</think>", "")), inside)
 
 
 def host_of_address(x: Column) -> Column:
-    return F.regexp_extract(F.trim(x), r"^(?:[a-z]+://)?\[?([^/\]]*)", 1)
+    """What a pasted address names: after the last //, up to / or white space, without brackets at its ends; null if nothing is left."""
+    rest = F.try_element_at(F.split(strip(x), "//"), F.lit(-1))
+    first = F.get(words_of(F.split_part(rest, F.lit("/"), F.lit(1))), 0)
+    return F.btrim(first, F.lit("<>[] "))
 
 
 def ordinal_zh(n: Column) -> Column:
@@ -273,7 +285,8 @@ def tone_marks(numbered: Column) -> Column:
 
 
 def is_wide_cjk(ch: Column) -> Column:
-    return ch.rlike(r"[⺀-鿿가-힯豈-﫿︰-﹏＀-￯]")
+    """Ideographs and full-width signs, between which a line may break."""
+    return ch.rlike("[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in fixed.WIDE) + "]")
 
 
 def luma(b: Column, g: Column, r: Column) -> Column:
@@ -286,8 +299,23 @@ def nearest_level(v: Column) -> Column:
     return F.when(v <= low, 0).when(v <= middle, 1).when(v <= high, 2).otherwise(3)
 
 
+@functools.cache
+def _digits() -> tuple[str, str]:
+    """All decimal digits but 0 to 9, and what each stands for."""
+    others = [c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd"]
+    return "".join(others), "".join(str(unicodedata.digit(c)) for c in others)
+
+
 def page_number(x: Column) -> Column:
-    return F.greatest(F.lit(1), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(x, r"^\s*(\d{1,9})\s*$", 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(1)))
+    """A text as a whole number of at least 1: white space around it, a sign, digits of any script and single _ between them; else 1.
+
+    Numbers of over 18 digits are the largest long.
+    """
+    number = strip(x)
+    ascii_ = F.when(number.rlike(r"[^\x00-\x7f]"), F.translate(number, *_digits())).otherwise(number)
+    digits = F.regexp_replace(F.regexp_replace(ascii_, r"[+_]", ""), r"^0+(?=.)", "")
+    value = F.when(F.length(digits) > 18, F.lit(2**63 - 1)).otherwise(digits.try_cast("long"))
+    return F.when(number.rlike(r"^\+?\p{Nd}+(_\p{Nd}+)*$"), F.greatest(F.lit(1).cast("long"), value)).otherwise(F.lit(1).cast("long"))
 
 
 def suffix_route(path: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators import catalog, draft, fidelity, grading, imaging, integrity, joins, layout, ledger, profile, restore
-from lectern.plans.queries import _PIXELS, _pixels, grams_sql, lines_sql, no_space_sql, strip_sql, table
+from lectern.plans.queries import _PIXELS, _pixels, grams_sql, lines_sql, no_space_sql, strip_sql, table, words_sql
 
 Q: dict = {}
 SQL: dict = {}
@@ -589,18 +589,26 @@ def chapter_lookup(spark, d):
 
 # Names, addresses and lines of the pages: heads, fences, figures and notes are structure.
 _HEADS = ["'# '", "'```'", "' ![x'", "'[^1]: '", "'plain '", "'中'"]
+# Characters inside and outside the wide ranges, and addresses as people paste them.
+_SIGNS = ["中", "あ", "가", "、", "Ａ", "x", "㐀", "豈", "ー", "é"]
+_ADDRESSES = ["http://[::1]:80/x", " https://h{}:8080/y", "h{}/z", "HTTP://h{}/x", "a//h{}/c", "<h{}:80> ", "\u00a0h{}\u3000two", "//", "x//[h{}]"]
+_ADDRESS_SQL = " ".join(f"WHEN {k} THEN " + " || page_id || ".join(f"'{p}'" for p in a.split("{}")) for k, a in enumerate(_ADDRESSES)).replace("\u00a0", "' || chr(160) || '").replace("\u3000", "' || chr(12288) || '")
 
 
-@query(f"""WITH p AS (SELECT page_id, [{", ".join(_HEADS)}][page_id % 6 + 1] AS head, url, page_id % 3 AS k FROM pages)
-SELECT page_id, page_id % 6 < 4 AS structure, page_id % 6 = 5 AS wide, CASE k WHEN 0 THEN 'my-b-ok-' || page_id WHEN 1 THEN 'untitled' ELSE 'tar' || page_id END AS stem, CASE k WHEN 0 THEN '::1' WHEN 1 THEN 'h' || page_id || ':8080' ELSE 'h' || page_id END AS host, 'a b' AS clean FROM p""")
+@query(f"""WITH p AS (SELECT page_id, [{", ".join(_HEADS)}][page_id % 6 + 1] AS head, url, page_id % 3 AS k, {_SIGNS!r}[page_id % {len(_SIGNS)} + 1] AS sign, CASE page_id % {len(_ADDRESSES)} {_ADDRESS_SQL} END AS address,
+ chr(160) || chr(1) || ' ' || url || chr(12) || ' ' || chr(12288) || chr(10) || chr(133) || 'b' || chr(11) || 'c' || chr(8232) AS meta FROM pages)
+SELECT page_id, page_id % 6 < 4 AS structure, page_id % 6 = 5 AS wide, {" OR ".join(f"unicode(sign) BETWEEN {low} AND {high}" for low, high in fixed.WIDE)} AS wide_sign, CASE k WHEN 0 THEN 'my-b-ok-' || page_id WHEN 1 THEN 'untitled' ELSE 'tar' || page_id END AS stem,
+ trim({words_sql(f"split_part(string_split({strip_sql('address')}, '//')[-1], '/', 1)")}[1], '<>[] ') AS host, array_to_string({words_sql(f"regexp_replace(meta, '{fixed.NOT_XML}', '', 'g')")}, ' ') AS clean FROM p""")
 def text_marks(spark, d):
     n = F.col("page_id")
-    heads = F.element_at(F.array(*[F.lit(h.strip("'")) for h in _HEADS]), (n % 6 + 1).cast("int"))
+    of = lambda values: F.get(F.array(*values), (n % len(values)).cast("int"))
+    heads = of([F.lit(h.strip("'")) for h in _HEADS])
     name = F.when(n % 3 == 0, F.format_string("/x/My_B!ok %d.epub", n)).when(n % 3 == 1, "中文.txt").otherwise(F.format_string("TAR%d.tar", n))
-    address = F.when(n % 3 == 0, "http://[::1]:80/x").when(n % 3 == 1, F.format_string(" https://h%d:8080/y", n)).otherwise(F.format_string("h%d/z", n))
+    address = of([F.replace(F.lit(a), F.lit("{}"), n.cast("string")) for a in _ADDRESSES])
+    meta = F.concat(F.lit("\u00a0\x01 "), "url", F.lit("\x0c \u3000\n\x85b\x0bc\u2028"))
     return table(spark, d, "pages").select(
-        "page_id", T.is_structure(F.concat(heads, "url")).alias("structure"), T.is_wide_cjk(heads).alias("wide"), T.stem_slug(name).alias("stem"), T.host_of_address(address).alias("host"),
-        T.clean_metadata(F.lit(" a\x01 \n\t b ")).alias("clean"),
+        "page_id", T.is_structure(F.concat(heads, "url")).alias("structure"), T.is_wide_cjk(heads).alias("wide"), T.is_wide_cjk(of([F.lit(x) for x in _SIGNS])).alias("wide_sign"),
+        T.stem_slug(name).alias("stem"), T.host_of_address(address).alias("host"), T.clean_metadata(meta).alias("clean"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators import catalog, grading, imaging, integrity, joins, packaging, render
-from lectern.plans.queries import table
+from lectern.plans.queries import LINE_END, strip_sql, table
 
 Q: dict = {}
 SQL: dict = {}
@@ -162,10 +162,16 @@ def level_ceiling(spark, d):
     return part(spark, d).select("p_partkey", T.level_ceiling(level).alias("ceiling"), T.compact_reading(reading).alias("compact"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN greatest(1, user_id) WHEN 3 THEN greatest(1, user_id) ELSE 1 END::INT AS page FROM events")
+# A number as it is, and in forms that aren't one or read as another.
+_PAGE_FORMS = ["{}", "-{}", "{}x", " {}", "+{}", "12345678901{}", "1_{}", "\u0663{}", "{}.0", "\u3000{}\n", "1__{}", "+ {}", ""]
+_PAGE_SQL = " ".join(f"WHEN {k} THEN {v}" for k, v in {0: "u", 3: "u", 4: "u", 5: "('12345678901' || u)::BIGINT", 6: "('1' || u)::BIGINT", 7: "('3' || u)::BIGINT", 9: "u"}.items())
+
+
+@query(f"SELECT event_id, greatest(1, CASE event_id % {len(_PAGE_FORMS)} {_PAGE_SQL} ELSE 1 END)::BIGINT AS page FROM (SELECT event_id, user_id::BIGINT AS u FROM events)")
 def page_numbers(spark, d):
-    n, u = F.col("event_id") % 4, F.col("user_id").cast("string")
-    raw = F.when(n == 0, u).when(n == 1, F.concat(F.lit("-"), u)).when(n == 2, F.concat(u, F.lit("x"))).otherwise(F.concat(F.lit(" "), u))
+    parts = [f.partition("{}") for f in _PAGE_FORMS]
+    forms = F.array(*[F.concat(F.lit(p), F.col("user_id").cast("string"), F.lit(q)) if mark else F.lit(p) for p, mark, q in parts])
+    raw = F.get(forms, (F.col("event_id") % len(_PAGE_FORMS)).cast("int"))
     return table(spark, d, "events").select("event_id", T.page_number(raw).alias("page"))
 
 
@@ -343,10 +349,17 @@ def chapter_html(spark, d):
     return render.chapter_bodies(rows, ["chapter"], "md", "prefix", glossary)
 
 
-@query("""SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM conversations""")
+# What a model may put around a text: reasoning before a fence, on its line or the one above; fences that don't close; none.
+_AROUND = [("<think>why\n</think> ```md\n", "\n```"), ("", ""), ("<think>a</think>\n\n```\n", "\n``` \n"), ("```json\r\n", ""), ("\u00a0", "\u3000\n"), ("x <think>\n</think>", "\n```"), ("```", "\n```\nafter"), ("<think>open ", "\n```")]
+_AROUND_SQL = " ".join(f"WHEN {k} THEN {a!r} || text || {b!r}" for k, (a, b) in enumerate(_AROUND)).replace("\\n", "' || chr(10) || '").replace("\\r", "' || chr(13) || '").replace("\\xa0", "' || chr(160) || '").replace("\\u3000", "' || chr(12288) || '")
+_BARE_SQL = f"(SELECT conv_id, turn, {strip_sql("regexp_replace(raw, '<think>.*?</think>', '', 'gs')")} AS t FROM (SELECT *, CASE (conv_id + turn) % {len(_AROUND)} {_AROUND_SQL} END AS raw FROM conversations))"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN t LIKE '```%' THEN {strip_sql(f"array_to_string(CASE WHEN {strip_sql('l[-1]')} = '```' THEN l[2:len(l) - 1] ELSE l[2:] END, chr(10))")} ELSE t END AS body
+FROM (SELECT *, regexp_split_to_array(t, '{LINE_END}') AS l FROM {_BARE_SQL})""")
 def fence_strip(spark, d):
-    raw = F.concat(F.lit("<think>why\n</think> ```md\n"), "text", F.lit("\n```"))
-    return table(spark, d, "conversations").select("conv_id", "turn", T.without_fences(F.when(F.col("turn") % 2 == 0, raw).otherwise(F.col("text"))).alias("body"))
+    raw = F.get(F.array(*[F.concat(F.lit(a), "text", F.lit(b)) for a, b in _AROUND]), ((F.col("conv_id") + F.col("turn")) % len(_AROUND)).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.without_fences(raw).alias("body"))
 
 
 @query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS hits FROM documents")
