@@ -20,8 +20,8 @@ def write_reports(reports: DataFrame, path: str) -> None:
 def staged_overwrite(df: DataFrame, path: str) -> None:
     """Replace a table that ``df`` itself reads: write beside it, move the old one aside, move the new one in.
 
-    A failed move puts the old table back; at each moment one whole table lies at ``path``,
-    beside it as ``.staged``, or as ``.old``.
+    A failed move puts the old table back. For a moment between the two moves nothing lies at ``path``: where others
+    read meanwhile, use snapshots.SnapshotStore.
     """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

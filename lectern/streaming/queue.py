@@ -82,10 +82,34 @@ def windowed_counts(events: DataFrame, at: str, kind: str, length: str = "1 hour
     return events.withWatermark(at, late).groupBy(F.window(at, length), kind).agg(F.count("*").alias("n"))
 
 
-def drain_batches(rows: DataFrame, deliver, results_path: str, checkpoint: str):
-    """Deliver each batch and record a result row for each item; a failure of one doesn't stop the others."""
+def deliver_once(batch: DataFrame, epoch: int, deliver, results_path: str, key: str | None = None) -> None:
+    """Deliver what the ledger at ``results_path`` doesn't have for this epoch, and write its result rows there.
+
+    The ledger has a folder for each epoch, so only that one is read. With ``key``, items are told apart by that column,
+    which the results must have: those with a row in the ledger aren't delivered again, and an item that a batch repeats is
+    delivered once. Without it an epoch with a complete folder is left alone as a whole.
+    """
+    spark = batch.sparkSession
+    folder = f"{results_path.rstrip('/')}/epoch={epoch}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if key is None:
+            return
+        batch = batch.join(spark.read.parquet(folder).select(key).distinct(), key, "left_anti")
+    if key is not None:
+        batch = batch.dropDuplicates([key])
+        if batch.isEmpty():
+            return
+    deliver(batch).write.mode("append" if key else "overwrite").parquet(folder)
+
+
+def drain_batches(rows: DataFrame, deliver, results_path: str, checkpoint: str, key: str | None = None):
+    """Deliver each batch and record a result row for each item; a failure of one doesn't stop the others.
+
+    A batch that is run again after a failure is delivered once: see deliver_once(). The results have a column ``epoch``.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        deliver(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(results_path)
+        deliver_once(batch, epoch, deliver, results_path, key)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
