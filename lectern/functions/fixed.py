@@ -39,6 +39,12 @@ WIDE = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF), (0x3000, 0x303F),
 NOT_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 # Bounds of a correction: share of changed characters, longest span, net growth.
 MAX_CHANGED, MAX_SPAN, MAX_GROWTH = 0.02, 24, 0.01
+# What a report says of a broken bound: the figure, the bound.
+EDIT_REASONS = {
+    "changed": "changed_ratio %s > %s (too much of the text edited)",
+    "span": "max_edit_span %s > %s (an edit is a rewrite, not a local fix — use policy)",
+    "growth": "net_growth %s > %s (text added/removed wholesale, not corrected)",
+}
 # The panel, its levels, the most enlargement, the least mat, the largest bitmap.
 PANEL_W, PANEL_H = 528, 792
 LEVELS = (0, 85, 170, 255)
@@ -71,6 +77,10 @@ GREY = (19595, 38470, 7471)
 EDGE_BAND = 0.08
 BLUR_DIVISOR, BLUR_CONTRAST = 12, 0.55
 WAVE_PERIOD, WAVES, WAVE_DEPTH, WAVE_SLOPE = (90.0, 220.0), 3, 3, 0.35
+# Sizes of titles, and a line's height over its type's.
+TITLE_SIZES, LINE_SPACING = tuple(range(12, 161, 2)), 1.15
+# Hops of a redirected address, the answers that mean one, and the client's name.
+MAX_REDIRECTS, REDIRECTS, USER_AGENT = 5, (301, 302, 303, 307, 308), "lectern"
 # Sizes that a user interface's font needs.
 UI_SIZES = (8, 10, 12)
 # Length of a slug, of a short gloss, of a preview.

@@ -199,6 +199,11 @@ def clean_metadata(x: Column) -> Column:
     return F.array_join(words_of(F.regexp_replace(x, fixed.NOT_XML, "")), " ")
 
 
+def device_path(author: Column, title: Column, layout: int = 0) -> Column:
+    """Where a book lies on a reader's card: its file name, sanitised and cut as the reader does it, below the root."""
+    return F.concat(F.lit("/"), book_filename(author, title, layout))
+
+
 def short_hash(x: Column, n: int = 12) -> Column:
     return F.substring(F.sha1(x), 1, n)
 

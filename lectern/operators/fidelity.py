@@ -71,6 +71,14 @@ def edit_bounds(size: Column, m: Column) -> Column:
     return F.array_compact(F.array(*[F.when(broken, name) for broken, name in over]))
 
 
+def edit_reasons(size: Column, m: Column) -> Column:
+    """The same bounds as sentences with the figures, for a reader of the report."""
+    figures = {"changed": changed_ratio(size, m), "span": m["longest"], "growth": growth_ratio(size, m)}
+    bounds = {"changed": fixed.MAX_CHANGED, "span": fixed.MAX_SPAN, "growth": fixed.MAX_GROWTH}
+    broken = edit_bounds(size, m)
+    return F.array_compact(F.array(*[F.when(F.array_contains(broken, k), F.format_string(fixed.EDIT_REASONS[k], figures[k].cast("string"), F.lit(str(bounds[k])))) for k in figures]))
+
+
 @F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     lines = lambda x: x.splitlines(keepends=True)

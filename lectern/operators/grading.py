@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import fixed
+from lectern.functions import fixed, patterns
 from lectern.functions import text as T
 
 
@@ -107,8 +107,11 @@ def book_verdict(gated: DataFrame, book: str) -> DataFrame:
 
 
 def expression_hits(texts: DataFrame, key: str, text: str, expressions: list[tuple[str, str | None]]) -> DataFrame:
-    """The listed expressions that occur in each text, by pattern or literally, once each, in list order."""
-    hits = F.array_compact(F.array(*[F.when(F.col(text).rlike(rx) if rx else F.col(text).contains(name), name) for name, rx in expressions]))
+    """The listed expressions that occur in each text, by pattern or literally, once each, in list order.
+
+    Patterns are Python's; one that is wrong or has no counterpart raises a PatternError here, before any job.
+    """
+    hits = F.array_compact(F.array(*[F.when(F.col(text).rlike(patterns.for_spark(rx)) if rx else F.col(text).contains(name), name) for name, rx in expressions]))
     return texts.select(key, hits.alias("expressions"), F.size(hits).alias("expression_count"))
 
 

@@ -56,6 +56,13 @@ def parse_feed(feeds: DataFrame, key: str, xml: str) -> DataFrame:
     return rows.where("title <> '' and href <> ''").select(key, "pos", "kind", *[T.unescape_html(F.col(c)).alias(c) for c in text])
 
 
+def entry_by_title(entries: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The first entry of each feed with exactly the ``title`` that ``wanted`` (key, title) names; no row for a title that isn't there."""
+    found = entries.join(wanted.select(key, "title").distinct(), [key, "title"])
+    columns = [c for c in entries.columns if c not in (key, "title")]
+    return found.groupBy(key, "title").agg(F.min_by(F.struct(*columns), "pos").alias("e")).select(key, "title", "e.*")
+
+
 @F.pandas_udf(StructType([StructField(n, StringType()) for n in ("title", "author", "language")]))
 def _metadata(content: pd.Series) -> pd.DataFrame:
     out = []
