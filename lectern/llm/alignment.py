@@ -33,10 +33,11 @@ from lectern.llm.tokens import _byte_alphabet
 #: The sign that B has for a blank.
 MARK = "▁"
 #: Units that the memo holds, and the longest one's bytes.
-MEMO_UNITS = 150_000
+MEMO_UNITS = 100_000
 MEMO_UNIT_BYTES = 48
-#: Bytes of text in a batch.
-BATCH_BYTES = 8 << 20
+#: Bytes of text in a batch, and units that the libraries get at once (their results are large).
+BATCH_BYTES = 4 << 20
+UNITS_AT_ONCE = 4096
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,9 +57,15 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted values, each once."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def linked(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the tokens (of A, of B) whose byte ranges overlap, in order: both ends cut the bytes, and each piece is a link."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = distinct(np.concatenate([ends_a, ends_b]))
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
@@ -78,6 +85,8 @@ class Aligner:
         self._bytes_a = [b"".join(letters.get(c, c.encode()) for c in words.get(i, "")) for i in range(max(words) + 1)]
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self._bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        # a token's id as groups write it, inside its side and as its last one
+        self._names = pa.array([f"{i}{sign}" for n, signs in ((len(self._bytes_a), ",|"), (len(pieces), ",;")) for i in range(n) for sign in signs], pa.binary())
         self._size_a = np.array([len(x) for x in self._bytes_a], np.int64)
         self._size_b = np.array([len(x) for x in self._bytes_b], np.int64)
         self._mark_feed = self._b.encode("\n")
@@ -98,10 +107,13 @@ class Aligner:
 
         None where the tokens of one of the two, joined, aren't the unit's bytes.
         """
+        if len(raws) > UNITS_AT_ONCE or (len(raws) > 1 and sum(map(len, raws)) > 1 << 20):
+            step = max(1, min(UNITS_AT_ONCE, len(raws) // 2))
+            return [v for at in range(0, len(raws), step) for v in self.align(raws[at : at + step])]
         if not raws:
             return []
         texts = [r.decode() for r in raws]
-        all_a = [e.ids for e in self._a.encode_batch(texts, add_special_tokens=False)]
+        all_a = [e.ids for e in self._a.encode_batch_fast(texts, add_special_tokens=False)]
         all_b = self._encode_b(texts)
         fine = [
             k for k, (r, a, b) in enumerate(zip(raws, all_a, all_b, strict=True))
@@ -117,18 +129,20 @@ class Aligner:
         root = components(len(a) + len(b), at_a, at_b + len(a))
         links = (a[at_a] << 32 | b[at_b]).astype("<i8")
         # members follow each other, so that a group begins where the root changes
-        group_a, group_b = (np.flatnonzero(np.append(True, r[1:] != r[:-1])) for r in (root[: len(a)], root[len(a) :]))
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        stops_a, stops_b = [*group_a[1:].tolist(), len(a)], [*group_b[1:].tolist(), len(b)]
-        groups = [",".join(names_a[p:q]) + "|" + ",".join(names_b[r:s]) + ";" for p, q, r, s in zip(group_a.tolist(), stops_a, group_b.tolist(), stops_b, strict=True)]
+        group_a, group_b = (np.cumsum(np.append(False, r[1:] != r[:-1])) for r in (root[: len(a)], root[len(a) :]))
+        last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        texts = self._names.take(pa.array(np.concatenate([2 * a + last_a, 2 * (b + len(self._bytes_a)) + last_b])[order]))
+        offsets, text = np.frombuffer(texts.buffers()[1], np.int32), texts.buffers()[2].to_pybytes()
         n_a, n_b = np.array([len(all_a[k]) for k in fine]), np.array([len(all_b[k]) for k in fine])
-        end_a = np.cumsum(n_a)
-        upto_group = np.searchsorted(group_a, end_a).tolist()
+        end_a, end_both = np.cumsum(n_a), np.cumsum(n_a + n_b)
+        upto_group = (group_a[end_a - 1] + 1).tolist()
         upto_link = np.searchsorted(at_a, end_a).tolist()
-        g = f = 0
-        for k, x, y, h, t in zip(fine, n_a.tolist(), n_b.tolist(), upto_group, upto_link, strict=True):
-            out[k] = x, y, h - g, "".join(groups[g:h]).encode(), links[f:t].tobytes()
-            g, f = h, t
+        upto_text = offsets[end_both].tolist()
+        g = f = t = 0
+        for k, x, y, h, i, j in zip(fine, n_a.tolist(), n_b.tolist(), upto_group, upto_link, upto_text, strict=True):
+            out[k] = x, y, h - g, text[t:j], links[f:i].tobytes()
+            g, f, t = h, i, j
         return out
 
     def _odd(self, raw: bytes) -> bool:
@@ -142,9 +156,10 @@ class Aligner:
         new = [r for r in raws if r not in self._memo]
         found = dict(zip(new, self.align(new), strict=True))
         out = [found[r] if r in found else self._memo[r] for r in raws]
-        if len(self._memo) + len(found) > MEMO_UNITS:
+        short = [(r, v) for r, v in found.items() if len(r) <= MEMO_UNIT_BYTES][:MEMO_UNITS]
+        if len(self._memo) + len(short) > MEMO_UNITS:
             self._memo = {}
-        self._memo.update((r, v) for r, v in found.items() if len(r) <= MEMO_UNIT_BYTES)
+        self._memo.update(short)
         return out
 
     def batch(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple | None]]:
@@ -164,9 +179,9 @@ class Aligner:
         first, last = np.searchsorted(start, stop - sizes), np.searchsorted(start, stop)
         column = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int32)), pa.py_buffer(data)])
         coded = column.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        every = coded.dictionary.to_pylist()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        strange = np.array([self._odd(r) for r in distinct], bool)[index] if len(index) else np.zeros(0, bool)
+        strange = np.array([self._odd(r) for r in every], bool)[index] if len(index) else np.zeros(0, bool)
         gap, line = blank[start], feed[start]
         closes = np.zeros(len(start), bool)
         closes[last[some] - 1] = True
@@ -176,9 +191,9 @@ class Aligner:
             strange[:] = True
         upto = np.concatenate([[0], np.cumsum(strange)])
         apart = upto[last] > upto[first]
-        used = np.unique(index[~np.repeat(apart, last - first)])
-        values: list[tuple | None] = [None] * len(distinct)
-        for k, v in zip(used.tolist(), self.units([distinct[k] for k in used.tolist()]), strict=True):
+        used = distinct(index[~np.repeat(apart, last - first)])
+        values: list[tuple | None] = [None] * len(every)
+        for k, v in zip(used.tolist(), self.units([every[k] for k in used.tolist()]), strict=True):
             values[k] = v
         odd = np.flatnonzero(apart).tolist()
         values += self.align([b" " + raws[n] for n in odd])
@@ -186,7 +201,7 @@ class Aligner:
         for k, n in enumerate(odd):
             take[first[n] : last[n]] = False
             take[first[n]] = True
-            index[first[n]] = len(distinct) + k
+            index[first[n]] = len(every) + k
         bad = np.array([v is None for v in values], bool)
         wrong = np.concatenate([[0], np.cumsum(bad[index] & take)])
         for n in np.flatnonzero(wrong[last] > wrong[first]).tolist():
@@ -261,21 +276,22 @@ def _align(path_a: str, path_b: str, most: int):
             digests = [hashlib.sha256(joined[stops[p] : stops[q] - 1]).hexdigest() if stops[q] > stops[p] else "" for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             # distinct links of the batch, and each unit's links as places among them
             links = np.frombuffer(b"".join(v[4] for v in values), "<i8")
-            distinct, places = np.unique(links, return_inverse=True)
+            known = distinct(links)
+            places = np.searchsorted(known, links)
             counts = np.array([[*v[:3], len(v[4]) // 8] for v in values], np.int64)
             place_ends = np.cumsum(counts[:, 3])
             totals = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[index], axis=0)])
             numbers = (totals[at[1:]] - totals[at[:-1]]).reshape(-1)
             # in how many of the batch's documents a link is: of a document's equal units one counts
             owner = np.repeat(np.arange(len(ids)), np.diff(at))
-            pairs = np.unique(owner * len(values) + index)
+            pairs = distinct(owner * len(values) + index)
             unit, owner = pairs % len(values), pairs // len(values)
             many = counts[unit, 3]
             begin = np.repeat(place_ends[unit] - many - (np.cumsum(many) - many), many)
             each = places[begin + np.arange(int(many.sum()))] if len(many) else np.zeros(0, np.int64)
-            found = np.unique(np.repeat(owner, many) * max(1, len(distinct)) + each) % max(1, len(distinct))
-            held = np.bincount(found, minlength=len(distinct))
-            cells = [number, ids, numbers, digests, _numbers(distinct, "<i8"), _numbers(held, "<i4"), _numbers(places, "<i4"), _numbers(place_ends, "<i4"), _numbers(index, "<i4"), _numbers(ends, "<i4")]
+            found = distinct(np.repeat(owner, many) * max(1, len(known)) + each) % max(1, len(known))
+            held = np.bincount(found, minlength=len(known))
+            cells = [number, ids, numbers, digests, _numbers(known, "<i8"), _numbers(held, "<i4"), _numbers(places, "<i4"), _numbers(place_ends, "<i4"), _numbers(index, "<i4"), _numbers(ends, "<i4")]
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, _KINDS, strict=True)], names=[c.split()[0] for c in _ALIGNED.split(", ")])
             number += 1
 
