@@ -87,3 +87,13 @@ UI_SIZES = (8, 10, 12)
 SLUG_LENGTH, GLOSS_LENGTH, PREVIEW_LENGTH = 60, 110, 1200
 # Statuses of finished chapters.
 DONE = ("accepted", "drafted-and-validated")
+# Classes of a chapter's elements, headings of its lists, the sign that leads back.
+CLASSES = {"reading": "rd", "note": "fnref", "note_back": "fnback", "word": "glm", "word_back": "gback", "listed_word": "gw", "listed_reading": "gp", "listed_gloss": "gg"}
+SECTIONS = {"endnotes": "Notes", "glossary": "生词 New words"}
+BACK = "↩"
+# What the format of books prescribes: name spaces, media types, roles; the date that all books carry.
+HTML_SPACE, OPS_SPACE, OPF_SPACE = "http://www.w3.org/1999/xhtml", "http://www.idpf.org/2007/ops", "http://www.idpf.org/2007/opf"
+DUBLIN_CORE, CONTAINER_SPACE = "http://purl.org/dc/elements/1.1/", "urn:oasis:names:tc:opendocument:xmlns:container"
+XHTML, COVER_ROLE, BOOK_ID = "application/xhtml+xml", "cover-image", "bookid"
+MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
+BOOK_DATE = (2026, 1, 1)
