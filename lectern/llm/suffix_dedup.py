@@ -21,6 +21,12 @@ each batch. Where a passage ends, each document's context is its own; such windo
 in their first or last bytes, by which they are told apart before anything is sorted, so a
 common gram costs time in proportion to its contexts. Batches and buckets have bounded
 bytes; the number of buckets follows the size of the corpus.
+
+A gram of over HEAVY_RUNS runs is heavy: its contexts would be one task's. Its windows are
+dealt one by one instead, by a hash of all their bytes. The hashes are counted first, as
+the grams were, so that the windows at a passage's ends, which nothing shares, aren't sent
+at all, and those inside it, which are equal everywhere, come once for each batch and meet
+in as many tasks as they have hashes. Which grams are heavy depends on the corpus only.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ GRAM = 16
 LAST = (1 << 63) - 1
 BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
+#: Runs of a gram beyond which its windows are dealt by their own hashes.
+HEAVY_RUNS = 4096
 #: Windows sorted together, up to the end of the gram they end in (bounds a task's memory).
 SORT_WINDOWS = 250_000
 _BLOCK = 1 << 17
@@ -122,47 +130,109 @@ def _rows(out: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
 
 
+_SENT = "bucket long, batch long, grams binary, several binary, times binary"
+_SENT_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _sent(batch: int, h: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A batch's distinct hashes, whether several of its documents have each, and how often it has each, by bucket."""
+    hashes, index, several = _distinct_grams(h, doc)
+    times = np.minimum(np.bincount(index, minlength=len(hashes)), 65535).astype(np.uint16)
+    out = [(b, batch, hashes[x:y].tobytes(), several[x:y].tobytes(), times[x:y].tobytes()) for b, x, y in occupied(buckets_of(hashes, buckets))]
+    return _rows(out, _SENT_KINDS, ["bucket", "batch", "grams", "several", "times"])
+
+
 def _send_grams(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for k in range(rows.num_rows):
-                batch = rows.column(0)[k].as_py()
                 _, data, ends = open_batch(rows.column(1)[k].as_py(), rows.column(2)[k].as_py())
                 first, _, _, h = runs(data, ends, size)
-                grams, _, several = _distinct_grams(h, np.searchsorted(ends, first, side="right"))
-                out = [(b, batch, grams[x:y].tobytes(), several[x:y].tobytes()) for b, x, y in occupied(buckets_of(grams, buckets))]
-                yield _rows(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "batch", "grams", "several"])
+                yield _sent(rows.column(0)[k].as_py(), h, np.searchsorted(ends, first, side="right"), buckets)
+
+    return run
+
+
+def _shared_grams(most: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For one bucket: which of each batch's grams occur in other documents too, and which of these are heavy; no row for a batch that has none."""
+        batch, bucket = table.column("batch").to_pylist(), table.column("bucket")[0].as_py()
+        parts = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        several = np.concatenate([np.frombuffer(s, bool) for s in table.column("several").to_pylist()])
+        runs_ = np.concatenate([np.frombuffer(t, np.uint16) for t in table.column("times").to_pylist()])
+        _, index, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        inside = np.zeros(len(times), bool)
+        inside[index[several]] = True
+        cut = np.cumsum([len(p) for p in parts])[:-1]
+        flags = np.split((inside | (times > 1))[index], cut)
+        heavy = np.split((np.bincount(index, weights=runs_) > most)[index], cut)
+        some = [(b, bucket, np.packbits(f).tobytes(), np.packbits(f & y).tobytes() if (f & y).any() else None) for b, f, y in zip(batch, flags, heavy, strict=True) if f.any()]
+        return pa.Table.from_batches([_rows(some, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["batch", "bucket", "bits", "heavy"])])
 
     return run
 
 
-def _shared_grams(table: pa.Table) -> pa.Table:
-    """For one bucket: which of each batch's grams occur in other documents too; no row for a batch that has none."""
-    batch, bucket = table.column("batch").to_pylist(), table.column("bucket")[0].as_py()
-    parts = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-    several = np.concatenate([np.frombuffer(s, bool) for s in table.column("several").to_pylist()])
-    _, index, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    inside = np.zeros(len(times), bool)
-    inside[index[several]] = True
-    flags = np.split((inside | (times > 1))[index], np.cumsum([len(p) for p in parts])[:-1])
-    some = [(b, bucket, np.packbits(f).tobytes()) for b, f in zip(batch, flags, strict=True) if f.any()]
-    return pa.Table.from_batches([_rows(some, [pa.int64(), pa.int64(), pa.binary()], ["batch", "bucket", "bits"])])
+def _told(hashes: np.ndarray, buckets: int, replies: list[dict], what: str) -> np.ndarray:
+    """Of a batch's distinct hashes, those for which the replies have a bit."""
+    spans = {b: (x, y) for b, x, y in occupied(buckets_of(hashes, buckets))}
+    out = np.zeros(len(hashes), bool)
+    for r in replies:
+        if r[what]:
+            x, y = spans[r["bucket"]]
+            out[x:y] = np.unpackbits(np.frombuffer(r[what], np.uint8))[: y - x]
+    return out
+
+
+def window_hashes(grams: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each window's bytes, from the hashes of grams that cover it."""
+    h = np.zeros(len(start), np.uint64)
+    for k, off in enumerate([*range(0, size - GRAM, GRAM), size - GRAM]):
+        h = _mix(h * _U(0x9E3779B97F4A7C15) + grams[start + off] + _U(k))
+    return h
+
+
+def _heavy_windows(data: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the given runs one by one: starts, their gram's places, hashes of their bytes."""
+    total = int(count.sum())
+    start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(total)
+    return start, np.repeat(place, count), window_hashes(gram_hashes(data), start, size) if total else np.zeros(0, np.uint64)
 
 
-def _contexts(raw: bytes, data: np.ndarray, ends: np.ndarray, size: int, buckets: int, replies: list[dict]):
+def _send_windows(size: int, buckets: int):
+    """Hashes of the windows of heavy grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k in range(rows.num_rows):
+                batch, sizes, texts, replies = [rows.column(i)[k].as_py() for i in range(4)]
+                _, data, ends = open_batch(sizes, texts)
+                first, count, place, h = runs(data, ends, size)
+                grams, index = np.unique(h, return_inverse=True)
+                pick = np.flatnonzero(_told(grams, buckets, replies, "heavy")[index])
+                start, _, own = _heavy_windows(data, first[pick], count[pick], place[pick], size)
+                yield _sent(batch, own, np.searchsorted(ends, start, side="right"), buckets)
+
+    return run
+
+
+def _contexts(raw: bytes, data: np.ndarray, ends: np.ndarray, size: int, buckets: int, replies: list[dict], windows: list[dict]):
     """Runs whose gram is shared, and the batch's distinct contexts in order of first mention, by bucket.
 
     Gives runs as (first, count, context number) and contexts as (bucket, bytes, gram offset, windows, run of first mention).
+    Of a heavy gram's runs each shared window is a run of its own, in the bucket of its hash.
     """
     first, count, place, h = runs(data, ends, size)
     grams, index = np.unique(h, return_inverse=True)
-    spans = {b: (x, y) for b, x, y in occupied(buckets_of(grams, buckets))}
-    shared = np.zeros(len(grams), bool)
-    for r in replies:
-        x, y = spans[r["bucket"]]
-        shared[x:y] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: y - x]
-    pick = np.flatnonzero(shared[index])
-    first, count, place, h = first[pick], count[pick], place[pick], h[pick]
+    shared, heavy = (_told(grams, buckets, replies, what)[index] for what in ("bits", "heavy"))
+    if heavy.any():
+        start, at, own = _heavy_windows(data, first[heavy], count[heavy], place[heavy], size)
+        hashes, which = np.unique(own, return_inverse=True)
+        some = _told(hashes, buckets, windows, "bits")[which]
+        light = shared & ~heavy
+        first, place, h = (np.concatenate([x[light], y[some]]) for x, y in ((first, start), (place, at), (h, own)))
+        count = np.concatenate([count[light], np.ones(int(some.sum()), count.dtype)])
+    else:
+        first, count, place, h = first[shared], count[shared], place[shared], h[shared]
     number: dict[bytes, int] = {}
     of = np.fromiter((number.setdefault(raw[f : f + c + size - 1], len(number)) for f, c in zip(first.tolist(), count.tolist(), strict=True)), np.int64, len(first))
     _, mention = np.unique(of, return_index=True)
@@ -173,9 +243,9 @@ def _send_contexts(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for k in range(rows.num_rows):
-                batch, doc_ids, sizes, texts, replies = [rows.column(i)[k].as_py() for i in range(5)]
+                batch, doc_ids, sizes, texts, replies, windows_ = [rows.column(i)[k].as_py() for i in range(6)]
                 raw, data, ends = open_batch(sizes, texts)
-                (first, _, of), contexts, bucket, offset, windows = _contexts(raw, data, ends, size, buckets, replies or [])
+                (first, _, of), contexts, bucket, offset, windows = _contexts(raw, data, ends, size, buckets, replies or [], windows_ or [])
                 docs = np.full(len(contexts), LAST)
                 np.minimum.at(docs, of, _known(doc_ids)[np.searchsorted(ends, first, side="right")])
                 out = []
@@ -382,9 +452,9 @@ def _remove(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for k in range(rows.num_rows):
-                _, doc_ids, sizes, texts, replies, answers = [rows.column(i)[k].as_py() for i in range(6)]
+                _, doc_ids, sizes, texts, replies, windows_, answers = [rows.column(i)[k].as_py() for i in range(7)]
                 raw, data, ends = open_batch(sizes, texts)
-                (first, count, of), contexts, bucket, _, windows = _contexts(raw, data, ends, size, buckets, replies or [])
+                (first, count, of), contexts, bucket, _, windows = _contexts(raw, data, ends, size, buckets, replies or [], windows_ or [])
                 least = {a["bucket"]: np.frombuffer(unpack_bytes(a["least"]), np.int64) for a in answers or []}
                 order = np.argsort(bucket, kind="stable")
                 joined = np.concatenate([least[b] for b in sorted(least)]) if least else np.zeros(0, np.int64)
@@ -412,6 +482,29 @@ def _remove(size: int, buckets: int):
     return run
 
 
+_CONTEXTS = "bucket long, batch long, offsets binary, windows binary, docs binary, contexts binary"
+
+
+def _replies(sent: DataFrame, most: int, name: str) -> DataFrame:
+    """(batch, name): what the buckets say about each batch's hashes."""
+    shared = sent.groupBy("bucket").applyInArrow(_shared_grams(most), "batch long, bucket long, bits binary, heavy binary")
+    return materialise(shared.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits", "heavy")).alias(name)), name)
+
+
+def routed(table: DataFrame, size: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Batches with the replies they got, and the contexts that they send."""
+    grams = table.select("batch", "sizes", "texts").mapInArrow(_send_grams(size, buckets), _SENT)
+    replies = _replies(grams, HEAVY_RUNS, "replies")
+    heavy = replies.where(F.exists("replies", lambda r: r["heavy"].isNotNull()))
+    if heavy.isEmpty():
+        replies = replies.withColumn("windows", F.lit(None).cast(replies.schema["replies"].dataType))
+    else:
+        sent = table.select("batch", "sizes", "texts").join(heavy, "batch").mapInArrow(_send_windows(size, buckets), _SENT)
+        replies = replies.join(_replies(sent, HEAVY_RUNS, "windows"), "batch", "left")
+    known = table.join(replies, "batch", "left").select("batch", "doc_ids", "sizes", "texts", "replies", "windows")
+    return known, known.mapInArrow(_send_contexts(size, buckets), _CONTEXTS)
+
+
 def suffix_duplicates(docs: DataFrame, size: int = 50, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
@@ -425,11 +518,7 @@ def suffix_duplicates(docs: DataFrame, size: int = 50, batch_bytes: int = BATCH_
     table = materialise(rows.mapInArrow(gather(batch_bytes), BATCHES), "batches")
     total = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(32, -(-total // bucket_bytes))
-    grams = table.select("batch", "sizes", "texts").mapInArrow(_send_grams(size, buckets), "bucket long, batch long, grams binary, several binary")
-    shared = grams.groupBy("bucket").applyInArrow(_shared_grams, "batch long, bucket long, bits binary")
-    replies = materialise(shared.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("replies")), "grams")
-    known = table.join(replies, "batch", "left").select("batch", "doc_ids", "sizes", "texts", "replies")
-    contexts = known.mapInArrow(_send_contexts(size, buckets), "bucket long, batch long, offsets binary, windows binary, docs binary, contexts binary")
+    known, contexts = routed(table, size, buckets)
     least = contexts.groupBy("bucket").applyInArrow(_least_documents(size), "batch long, bucket long, least binary")
     answers = materialise(least.groupBy("batch").agg(F.collect_list(F.struct("bucket", "least")).alias("answers")), "least")
     return known.join(answers, "batch", "left").mapInArrow(_remove(size, buckets), _RESULT)
