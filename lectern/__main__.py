@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.plans.cache import release
+
 
 def _triage(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, bool]:
     from lectern.operators import profile
@@ -35,6 +37,38 @@ def _verify(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, bool
     return errors, errors.isEmpty()
 
 
+def _build(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, bool]:
+    """Archives of all book folders below the input, or what is missing in them."""
+    from lectern.operators import render
+    from lectern.sources import readers
+
+    tables = readers.book_folders(spark, a.input)
+    if not tables["errors"].isEmpty():
+        return tables["errors"], False
+    return render.assemble(tables), True
+
+
+def _grade(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, bool]:
+    """Tiers of the tokens (Parquet: a key and ``token``) by a word list and a list of idioms."""
+    from lectern.operators import grading
+    from lectern.sources import readers
+
+    words = readers.lexicon(spark, a.lexicon, "graded").select("word")
+    idioms = readers.lexicon(spark, a.idioms, "idiom").select("word")
+    return grading.classify(spark.read.parquet(a.input), words, idioms), True
+
+
+def _syllabus(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, bool]:
+    """The word list of a syllabus folder's bands with readings and glosses of a dictionary."""
+    from lectern.operators import grading
+    from lectern.sources import readers
+
+    words = readers.word_lists(spark, a.input).drop("pos")
+    entries = grading.best_definitions(readers.dictionary(spark, a.dictionary), "pos")
+    bands = tuple(a.bands.split(","))
+    return grading.syllabus(words, entries, bands, bands[-1]), True
+
+
 def _query(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, bool]:
     from lectern.plans import registry
 
@@ -44,7 +78,7 @@ def _query(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, bool]
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lectern", description=__doc__)
     stages = parser.add_subparsers(dest="stage", required=True)
-    for name, more in (("triage", ("--key", "--text", "--book")), ("restore", ("--policy", "--book")), ("verify", ()), ("query", ("--name",))):
+    for name, more in (("triage", ("--key", "--text", "--book")), ("restore", ("--policy", "--book")), ("verify", ()), ("build", ()), ("grade", ("--lexicon", "--idioms")), ("syllabus", ("--dictionary", "--bands")), ("query", ("--name",))):
         stage = stages.add_parser(name)
         stage.add_argument("input")
         stage.add_argument("output")
@@ -52,8 +86,10 @@ def main(args: list[str] | None = None) -> int:
             stage.add_argument(flag, required=True)
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"lectern-{a.stage}").getOrCreate()
-    rows, passed = {"triage": _triage, "restore": _restore, "verify": _verify, "query": _query}[a.stage](spark, a)
+    work = {"triage": _triage, "restore": _restore, "verify": _verify, "build": _build, "grade": _grade, "syllabus": _syllabus, "query": _query}
+    rows, passed = work[a.stage](spark, a)
     rows.write.mode("overwrite").parquet(a.output)
+    release(spark)
     return 0 if passed else 1
 
 

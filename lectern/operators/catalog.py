@@ -107,16 +107,29 @@ def search(books: DataFrame, term: str) -> DataFrame:
     return books.where(F.contains(F.lower("title"), F.lit(term)) | F.contains(F.lower("author"), F.lit(term)))
 
 
+#: Rows that one task may sort for a page; behind them pages come from a numbering by ranges.
+TOP = 10_000
+
+
 def page(books: DataFrame, order: list[Column], number: int, size: int = 25, clamp: bool = False) -> DataFrame:
     """One page with has_prev and has_next; a page behind the end is empty, or with ``clamp`` the last one.
 
-    The sort takes the first number * size + 1 rows only (a top-k), not the table.
+    The sort takes the first number * size + 1 rows only (a top-k), not the table. A page that lies deeper than TOP rows is
+    found by row numbers in two levels, so that no task holds more than a range; ``order`` must then be unique.
     """
-    number = max(1, number)
+    number, total = max(1, number), None
     if clamp:
-        number = min(number, max(1, -(-books.count() // size)))
-    top = books.orderBy(*order).limit(number * size + 1)
-    rows = top.withColumn("rn", F.row_number().over(Window.orderBy(*order))).withColumn("seen", F.count("*").over(Window.partitionBy(F.lit(1))))
+        total = books.count()
+        number = min(number, max(1, -(-total // size)))
+    if number * size < TOP:
+        top = books.orderBy(*order).limit(number * size + 1)
+        rows = top.withColumn("rn", F.row_number().over(Window.orderBy(*order))).withColumn("seen", F.count("*").over(Window.partitionBy(F.lit(1))))
+    else:
+        from lectern.operators.profile import with_row_number
+
+        total = books.count() if total is None else total
+        rows = with_row_number(books, order).withColumn("seen", F.lit(total))
+        rows = rows.withColumn("rn", F.col("rn").cast("int")) if number * size < 1 << 31 else rows
     return rows.where((F.col("rn") > (number - 1) * size) & (F.col("rn") <= number * size)).select(*books.columns, "rn", F.lit(number > 1).alias("has_prev"), (F.col("seen") > number * size).alias("has_next"))
 
 
@@ -156,13 +169,27 @@ def navigation_entries(rows: DataFrame, kind: str = ACQUISITION) -> DataFrame:
     return rows.withColumn("entry", F.when(F.coalesce(blank, F.lit(True)), F.raise_error(F.lit("an entry needs a title and a link"))).otherwise(entry))
 
 
-def feed(rows: DataFrame, feed_id: str, title: str, order: str, links: list[Column] = ()) -> DataFrame:
-    """An Atom document of one page of entries (entry, mtime, and the order column); ``links`` stand at feed level."""
+#: Entries that one document may have.
+MOST_ENTRIES = 10_000
+
+
+def feeds(rows: DataFrame, page: list[str], feed_id: str, title: str, order: str, links: list[Column] = ()) -> DataFrame:
+    """An Atom document for each value of ``page``, of its entries (entry, mtime, and the order column); ``links`` stand at feed level.
+
+    A document is one group; one of over MOST_ENTRIES entries is an error.
+    """
     cells = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("entry").alias("e"))))
     head = f'<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><id>{feed_id}</id><title>{title}</title><updated>'
-    return rows.agg(cells.alias("c"), F.coalesce(T.rfc3339(F.max("mtime")), F.lit("1970-01-01T00:00:00Z")).alias("u")).select(
-        F.concat(F.lit(head), F.col("u"), F.lit("</updated>"), *links, F.array_join(F.transform("c", lambda x: x["e"]), ""), F.lit("</feed>")).alias("xml")
-    )
+    sizes = rows.groupBy(*page).agg(F.count("*").alias("__n"))
+    if not sizes.where(F.col("__n") > MOST_ENTRIES).isEmpty():  # before anything is collected
+        raise ValueError(f"a feed has over {MOST_ENTRIES} entries: cut it into pages")
+    made = rows.groupBy(*page).agg(cells.alias("c"), F.coalesce(T.rfc3339(F.max("mtime")), F.lit("1970-01-01T00:00:00Z")).alias("u"))
+    return made.select(*page, F.concat(F.lit(head), F.col("u"), F.lit("</updated>"), *links, F.array_join(F.transform("c", lambda x: x["e"]), ""), F.lit("</feed>")).alias("xml"))
+
+
+def feed(rows: DataFrame, feed_id: str, title: str, order: str, links: list[Column] = ()) -> DataFrame:
+    """The Atom document of one page of entries: see feeds()."""
+    return feeds(rows, [], feed_id, title, order, links)
 
 
 def page_links(base: str, path: str, number: int, has_prev: bool, has_next: bool, term: str = "") -> list[Column]:

@@ -148,16 +148,44 @@ def gloss_worthy(tiers: DataFrame, lexicon: DataFrame, by: str, pos: str) -> Dat
     return rows.groupBy(by, "token").agg(F.min(pos).alias("first_pos"))
 
 
-def by_band(lexicon: DataFrame, bands: tuple[str, ...], other: str) -> DataFrame:
-    """(band, words, n): sorted words of each band; unknown levels go to ``other``, personal words nowhere."""
+#: Words of a list that may travel as one text, and of one that may travel to the workers.
+MOST_SHOWN, MOST_SHARED = 100_000, 2_000_000
+
+
+def short_list(words: DataFrame, most: int) -> DataFrame:
+    """``words``, after a count that ends at ``most``: a longer list is an error and not a broadcast."""
+    if words.limit(most + 1).count() > most:
+        raise ValueError(f"a word list has over {most} rows")
+    return words
+
+
+def _banded(lexicon: DataFrame, bands: tuple[str, ...], other: str) -> DataFrame:
     band = F.when(F.col("level").isin(*bands), F.col("level")).otherwise(other)
-    return lexicon.where("source <> 'personal'").groupBy(band.alias("band")).agg(F.array_sort(F.collect_list("word")).alias("words")).withColumn("n", F.size("words"))
+    return lexicon.where("source <> 'personal'").select(band.alias("band"), "word")
+
+
+def band_words(lexicon: DataFrame, bands: tuple[str, ...], other: str) -> DataFrame:
+    """(band, place, word, n): a row a word, numbered from 0 in its band's order, and how many the band has.
+
+    Unknown levels go to ``other``, personal words nowhere. Words are numbered by ranges, so that a band may have any number.
+    """
+    from lectern.operators.profile import with_row_number
+
+    rows = with_row_number(_banded(lexicon, bands, other), [F.col("band"), F.col("word")])
+    ends = rows.groupBy("band").agg(F.min("rn").alias("first"), F.count("*").alias("n"))  # a row for each listed band and one more
+    return rows.join(F.broadcast(ends), "band").select("band", (F.col("rn") - F.col("first")).alias("place"), "word", "n")
+
+
+def by_band(lexicon: DataFrame, bands: tuple[str, ...], other: str) -> DataFrame:
+    """(band, words, n): sorted words of each band as an array, of a list of MOST_SHOWN words at most: see band_words()."""
+    rows = _banded(short_list(lexicon, MOST_SHOWN), bands, other)
+    return rows.groupBy("band").agg(F.array_sort(F.collect_list("word")).alias("words")).withColumn("n", F.size("words"))
 
 
 def topic_words(lexicon: DataFrame) -> DataFrame:
-    """A book's own words as one sorted array of (word, reading, gloss)."""
+    """A book's own words as one sorted array of (word, reading, gloss), MOST_SHOWN at most."""
     cells = F.array_sort(F.collect_list(F.struct("word", "reading", "gloss")))
-    return lexicon.where("source = 'book'").agg(cells.alias("topic"))
+    return short_list(lexicon.where("source = 'book'"), MOST_SHOWN).agg(cells.alias("topic"))
 
 
 def best_definitions(entries: DataFrame, pos: str) -> DataFrame:
@@ -186,12 +214,12 @@ def segment(texts: DataFrame, key: str, text: str, lexicon: DataFrame, total: fl
 
     A word's probability is its frequency over their sum; a character that begins no listed
     word stands alone at frequency 1; of equally likely splits that with the longer word
-    first. Other runs (letters and digits) are tokens, signs single ones. The lexicon is a
-    word list and travels to the workers; texts stay where they are.
+    first. Other runs (letters and digits) are tokens, signs single ones. The lexicon, of
+    MOST_SHARED words at most, travels to the workers; texts stay where they are.
     """
     from math import log
 
-    words = {r["word"]: float(r["freq"]) for r in lexicon.select("word", "freq").collect()}  # a word list, not a corpus
+    words = {r["word"]: float(r["freq"]) for r in short_list(lexicon.select("word", "freq"), MOST_SHARED).collect()}
     size = log(total if total else max(1.0, sum(words.values())))
     longest = max(map(len, words), default=1)
     shared = texts.sparkSession.sparkContext.broadcast({w: log(max(f, 1e-9)) - size for w, f in words.items()})

@@ -87,6 +87,9 @@ def route(profile: DataFrame, book: str, transcripts: DataFrame | None = None) -
     of the words, page_furniture a repeated edge line. ``transcripts``: the books (column
     ``book``) that have one.
     """
+    from lectern.plans.cache import pinned
+
+    profile = pinned(profile)  # three readers; it is small, and its making costs most
     doubled_pages = F.count_if("char_doubled") if "char_doubled" in profile.columns else F.count_if(F.lit(False))
     images = F.count_if(is_image_page(F.col("chars"), F.col("image_coverage"))) if "image_coverage" in profile.columns else F.count_if(F.lit(False))
     agg = profile.groupBy(book).agg(

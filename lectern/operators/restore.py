@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import fidelity, joins, reflow
+from lectern.plans.cache import pinned
 
 TREATS = ("skip", "front_matter", "body")
 MODES = ("sentence", "prose", "verse")
@@ -142,7 +143,7 @@ def _reflowed(lines: DataFrame, doc: str, mode: str) -> DataFrame:
     return out.select("chunk", F.col("para").cast("int").alias("para"), F.lit("verse" if mode == "verse" else "para").alias("kind"), "text")
 
 
-def restore(lines: DataFrame, doc: str, policy: Policy) -> tuple[DataFrame, DataFrame]:
+def restore(lines: DataFrame, doc: str, policy: Policy, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Units and report of all documents.
 
     ``lines``: doc, page, pos, text, for prose also x0, top, bottom. Units: (doc, unit,
@@ -150,6 +151,9 @@ def restore(lines: DataFrame, doc: str, policy: Policy) -> tuple[DataFrame, Data
     furniture_dropped (a map), joins_made, hyphens_resolved, normalisations (an array in
     the table's order), paragraphs, char_ratio, ngram_containment (four places), gate_pass.
     The baseline of the ratio holds every line but furniture, skipped ranges included.
+
+    A line in no range or in several is an error; so is, if ``strict``, a page range that
+    matches no line of a document (without it, short documents may end before a range).
     """
     if policy.furniture:
         rows = lines.withColumn("furniture", joins.first_pattern(F.col("text"), list(policy.furniture)))
@@ -159,6 +163,14 @@ def restore(lines: DataFrame, doc: str, policy: Policy) -> tuple[DataFrame, Data
     parts_of = F.size(F.filter("holds", lambda h: h))
     wrong = F.when(parts_of == 0, "ranges do not cover the whole document").when(parts_of > 1, "ranges overlap")
     rows = rows.withColumn("range", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("int")).otherwise((F.array_position("holds", True) - 1).cast("int"))).drop("holds", "n")
+    rows = pinned(rows)  # every mode's reflow and the report read them
+    paged = [k for k, r in enumerate(policy.ranges) if isinstance(r, PageRange)]
+    if strict and paged:
+        seen = rows.groupBy(doc).agg(F.array(*[F.count_if(F.col("range") == k) for k in paged]).alias("seen"))
+        bare = seen.where(F.array_contains("seen", 0)).first()
+        if bare:
+            r = policy.ranges[paged[bare["seen"].index(0)]]
+            raise ValueError(f"{doc} {bare[doc]}: page range {r.first}-{'' if r.last is None else r.last} matches no line")
     kept = rows.where("furniture is null").withColumn("chunk", F.struct(F.col(doc).alias("d"), F.col("range").alias("r")))
     treats = {k: (r.treat, r.reflow or policy.reflow) for k, r in enumerate(policy.ranges)}
     of = lambda pick: [k for k, t in treats.items() if pick(t)]
@@ -194,6 +206,7 @@ def restore(lines: DataFrame, doc: str, policy: Policy) -> tuple[DataFrame, Data
     begins = kept.groupBy(doc, "range").agg(F.min(F.struct("page", "pos")).alias("begin"))
     number = F.row_number().over(Window.partitionBy(doc).orderBy("begin", "para")) - 1
     units = units.join(begins, [doc, "range"])
+    units = pinned(units)
     return units.select(doc, number.cast("int").alias("unit"), "kind", "text"), _report(rows, kept, units, merged, flows, doc, policy, of)
 
 

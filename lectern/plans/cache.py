@@ -7,9 +7,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_pinned: list[str] = []
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -29,5 +30,13 @@ def pinned(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         base = _own[0]
     path = f"{base.rstrip('/')}/lectern-pinned-{uuid.uuid4().hex}"
+    _pinned.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all pinned folders: for when the results that read them are written."""
+    while _pinned:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_pinned.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -54,7 +54,7 @@ def _book_lines(spark, d):
 
 @query(f"WITH {_RESTORED} SELECT doc_id, unit::INT AS unit, CASE WHEN r = 3 THEN 'verse' ELSE 'para' END AS kind, text FROM v")
 def restore_units(spark, d):
-    return restore.restore(_book_lines(spark, d), "doc_id", _POLICY)[0]
+    return restore.restore(_book_lines(spark, d), "doc_id", _POLICY, strict=False)[0]
 
 
 @query(f"""WITH {_RESTORED}, i AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, pos) AS t FROM k GROUP BY doc_id), o AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY unit) AS t, count(*) AS n,
@@ -66,7 +66,7 @@ m AS (SELECT x.doc_id, CASE WHEN length({no_space_sql('a')}) > 0 THEN length({no
 SELECT doc_id, lines_in, lines_out, d1 AS single_words, coalesce(j, 0)::BIGINT AS joins_made, coalesce(h1, 0) AS first_hits, coalesce(h2, 0) AS second_hits, coalesce(n, 0) AS paragraphs, round_even(ratio, 4) AS char_ratio, round_even(held, 4) AS ngram_containment,
  ratio BETWEEN 0.98 AND 1.02 AND held >= 0.995 AS gate_pass FROM c JOIN m USING (doc_id) LEFT JOIN o USING (doc_id)""")
 def restore_report(spark, d):
-    r = restore.restore(_book_lines(spark, d), "doc_id", _POLICY)[1]
+    r = restore.restore(_book_lines(spark, d), "doc_id", _POLICY, strict=False)[1]
     return r.select(
         "doc_id", "lines_in", "lines_out", F.coalesce(F.try_element_at("furniture_dropped", F.lit(_POLICY.furniture[0])), F.lit(0)).alias("single_words"), "joins_made", F.col("normalisations")[0].alias("first_hits"),
         F.col("normalisations")[1].alias("second_hits"), "paragraphs", "char_ratio", "ngram_containment", "gate_pass",
@@ -340,10 +340,11 @@ def gloss_join(spark, d):
     return out.select("p_partkey", F.col("shown").alias("word"), "reading", "gloss")
 
 
-@query("SELECT CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type ELSE 'SUP' END AS band, list_sort(list(p_name || p_partkey)) AS words, count(*)::INT AS n FROM part WHERE p_partkey % 8 <> 0 GROUP BY 1")
+@query("""SELECT band, (row_number() OVER (PARTITION BY band ORDER BY word) - 1) AS place, word, count(*) OVER (PARTITION BY band) AS n
+FROM (SELECT CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type ELSE 'SUP' END AS band, p_name || p_partkey AS word FROM part WHERE p_partkey % 8 <> 0)""")
 def vocabulary_bands(spark, d):
     rows = part(spark, d).select(F.concat("p_name", key().cast("string")).alias("word"), F.col("p_type").alias("level"), F.when(key() % 8 == 0, "personal").otherwise("graded").alias("source"))
-    return grading.by_band(rows, ("ECONOMY", "PROMO"), "SUP")
+    return grading.band_words(rows, ("ECONOMY", "PROMO"), "SUP")
 
 
 _DEFS = "CASE p_size % 4 WHEN 0 THEN ['see ' || p_type] WHEN 1 THEN [p_type, 'see x', p_brand || ' ' || p_partkey, 'third'] WHEN 2 THEN [repeat(p_type, 9), repeat(p_brand, 9)] ELSE [p_name] END"

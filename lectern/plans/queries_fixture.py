@@ -264,11 +264,12 @@ def fill_or_mat(spark, d):
     return s.select("p_partkey", imaging.fill_or_mat(F.col("w"), F.col("h")).alias("fit"), imaging.placement(F.col("w"), F.col("h")).alias("p")).select("p_partkey", "fit", "p.*")
 
 
-@query("""WITH e AS (SELECT label, '<entry>' || vec_id || '</entry>' AS entry, vec_id FROM embeddings)
-SELECT '<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><id>urn:all</id><title>All</title><updated>' || strftime(to_timestamp(max(vec_id) * 1000.5) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') || '</updated>' || string_agg(entry, '' ORDER BY vec_id) || '</feed>' AS xml FROM e""")
+@query("""WITH e AS (SELECT vec_id // 100 AS page, '<entry>' || vec_id || '</entry>' AS entry, vec_id FROM embeddings)
+SELECT page, '<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><id>urn:all</id><title>All</title><updated>' || strftime(to_timestamp(max(vec_id) * 1000.5) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') || '</updated>' || string_agg(entry, '' ORDER BY vec_id) || '</feed>' AS xml FROM e GROUP BY page""")
 def feed_document(spark, d):
-    rows = table(spark, d, "embeddings").select(F.format_string("<entry>%d</entry>", "vec_id").alias("entry"), (F.col("vec_id") * 1000.5).alias("mtime"), F.col("vec_id").alias("rn"))
-    return catalog.feed(rows, "urn:all", "All", "rn")
+    """A document for each page of a hundred entries."""
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("page"), F.format_string("<entry>%d</entry>", "vec_id").alias("entry"), (F.col("vec_id") * 1000.5).alias("mtime"), F.col("vec_id").alias("rn"))
+    return catalog.feeds(rows, ["page"], "urn:all", "All", "rn")
 
 
 # Feeds of a brand's parts: every third an entry that leads to a feed, every fifth without link, every seventh with two book links.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,16 @@ PAGE = f"page int, width double, height double, dedupe_applied boolean, lines ar
 BOOK = "title string, author string, language string, cover string, chapters array<struct<source:string,glossary:string,source_md:string>>"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, row): text lines, numbered from 0 within each file.
+def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(file, line, row): text lines, numbered from 0 within each file; with ``pattern``, of the files below the path that match it.
 
     Files are split as Spark splits them. Lines are counted in each split, and the counts
     of a file's earlier splits, a row for each split, are added.
     """
     from lectern.plans.cache import pinned
 
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("row"))
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern) if pattern else spark.read
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("row"))
     rows = pinned(rows.withColumn("row", F.regexp_replace("row", r"\r$", "")))
     sizes = rows.groupBy("file", "split").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
@@ -51,9 +54,12 @@ def expressions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(cell(0).alias("expression"), cell(1).alias("level"), cell(2).alias("reading"), cell(3).alias("gloss"), F.nullif(cell(4), F.lit("")).alias("regex"), "line").where("expression not in ('', 'expression', 'word')")
 
 
-def glossary(spark: SparkSession, path: str) -> DataFrame:
-    """(file, idx, word, reading, gloss): a glossary's rows in order, numbered from 0; a header 'word' in the first line goes."""
-    rows = numbered_lines(spark, path).where((T.strip(F.col("row")) != "") & ~F.col("row").startswith("#"))
+def glossary(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(file, idx, word, reading, gloss): a glossary's rows in order, numbered from 0; a header 'word' in the first line goes.
+
+    With ``pattern``, all files below the path whose names match it.
+    """
+    rows = numbered_lines(spark, path, pattern).where((T.strip(F.col("row")) != "") & ~F.col("row").startswith("#"))
     cell = lambda k: T.strip(F.coalesce(F.get(F.split("row", "\t"), F.lit(k)), F.lit("")))
     rows = rows.select("file", "line", cell(0).alias("word"), cell(1).alias("reading"), cell(2).alias("gloss")).where("word <> '' and not (line = 0 and word = 'word')")
     return rows.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("idx"), "word", "reading", "gloss")
@@ -113,6 +119,55 @@ def chapter_texts(spark: SparkSession, book_path: str) -> DataFrame:
     return rows.join(texts, F.col("path").endswith(F.concat(F.lit("/"), "source")), "left").drop("path")
 
 
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, word, reading, definitions) of a dictionary document: {"entries": [{"simplified", "pinyin", "definitions"}]}, in its order.
+
+    For grading.best_definitions(), which picks a word's entry and writes its gloss.
+    """
+    entry = "struct<simplified:string,pinyin:string,definitions:array<string>>"
+    rows = spark.read.schema(f"entries array<{entry}>").json(path, multiLine=True).select(F.posexplode("entries").alias("pos", "e"))
+    return rows.select("pos", F.col("e.simplified").alias("word"), F.coalesce("e.pinyin", F.lit("")).alias("reading"), F.coalesce("e.definitions", F.array().cast("array<string>")).alias("definitions")).where("word is not null")
+
+
+def word_lists(spark: SparkSession, folder: str, pattern: str = "*_level{}.json") -> DataFrame:
+    """(band, pos, word): JSON arrays of words, one file a band; ``{}`` in the file name's pattern stands for the band."""
+    glob, rx = pattern.replace("{}", "*"), "".join("(.+)" if part == "{}" else ".*" if part == "*" else re.escape(part) for part in re.split(r"(\{\}|\*)", pattern))
+    rows = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_path", f"{rx}$", 1).alias("band"), F.from_json("value", "array<string>").alias("words"))
+    return rows.select("band", F.posexplode("words").alias("pos", "word"))
+
+
+def book_folders(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All books below a root, by their book documents, as tables:
+
+    books (folder, title, author, language, style, cover), chapters (folder, n, prefix, source, text), glossary (folder, n, idx,
+    word, reading, gloss), images (folder, src, content) and errors (folder, error): chapter files and images that aren't
+    there, images outside the book. An image's path is relative to its chapter's; src is its name in the archive.
+    """
+    from lectern.operators import integrity, render
+
+    meta = "title string, author string, language string, reading_style string, cover string, chapters array<struct<source:string,glossary:string>>"
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  sources differ in the slashes of local paths
+    at = F.regexp_extract(plain("_metadata.file_path"), "^(.*)/[^/]*$", 1)
+    found = spark.read.schema(meta).option("recursiveFileLookup", "true").option("pathGlobFilter", "book.json").json(root, multiLine=True).select(at.alias("folder"), "*")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    books = found.select("folder", *[text(c).alias(c) for c in ("title", "author")], F.coalesce("language", F.lit("en")).alias("language"), F.coalesce("reading_style", F.lit("after")).alias("style"), F.when(text("cover") != "", F.concat(F.lit("images/"), F.regexp_extract("cover", "([^/]*)$", 1))).alias("cover"))
+    parts = found.select("folder", F.posexplode("chapters").alias("pos", "c")).select("folder", (F.col("pos") + 1).alias("n"), "c.*")
+    whole = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True).select(plain("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    in_book = lambda c: F.concat("folder", F.lit("/"), integrity.resolve_path(F.col(c)))
+    chapters = parts.withColumn("path", in_book("source")).join(whole("*.md"), "path", "left").select("folder", "n", F.format_string("ch%02d", "n").alias("prefix"), "source", "text")
+    listed = glossary(spark, root, "*.tsv").withColumn("file", plain("file")).join(parts.where("glossary is not null").select("folder", "n", in_book("glossary").alias("file")), "file").select("folder", "n", "idx", "word", "reading", "gloss")
+    shown = chapters.where("text is not null").select("folder", "source", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)" + render.IMAGE), F.lit(2))).alias("link"))
+    shown = shown.unionByName(found.where("cover <> ''").select("folder", F.lit("cover").alias("source"), F.col("cover").alias("link")))
+    above = F.regexp_extract("source", "^(.*/)?[^/]*$", 1)
+    shown = shown.withColumn("rel", integrity.resolve_path(F.concat(above, "link"))).withColumn("path", F.concat("folder", F.lit("/"), "rel"))
+    files_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(root).select(plain("path").alias("path"), "content")
+    held = shown.join(files_, "path", "left")
+    images = held.where("content is not null").select("folder", F.concat(F.lit("images/"), F.regexp_extract("rel", "([^/]*)$", 1)).alias("src"), "content").dropDuplicates(["folder", "src"])
+    gone = held.where("content is null").select("folder", F.concat("source", F.when(F.col("rel").startswith(".."), ": image outside the book ").otherwise(": missing image "), "link").alias("error"))
+    errors = gone.unionByName(chapters.where("text is null").select("folder", F.concat(F.lit("missing chapter "), F.coalesce("source", F.lit("?"))).alias("error")))
+    return {"books": books, "chapters": chapters, "glossary": listed, "images": images, "errors": errors}
+
+
 def multi_root(spark: SparkSession, roots: list[str], pattern: str = "*", exclude: tuple[str, ...] = ()) -> DataFrame:
     """files() of several roots with their rank as ``root``; a path under two roots counts once, under the first."""
     from functools import reduce
