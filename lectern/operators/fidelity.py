@@ -57,6 +57,7 @@ def edit_measures(before: pd.Series, after: pd.Series) -> pd.DataFrame:
 
 
 def changed_ratio(size: Column, m: Column) -> Column:
+    """Changed characters as a share of four places; halfway decimals go to the even digit."""
     return F.bround(m["changed"] / F.greatest(size, F.lit(1)), 4)
 
 

@@ -72,6 +72,11 @@ def select_more(selected, other):
     return F.array_sort(F.array_union(selected, other)), F.array_sort(F.array_except(selected, other))
 
 
+def ordered_distinct(values):
+    """An array's values in the order of their first places, each once."""
+    return F.array_distinct(values)
+
+
 def expired(views: DataFrame, at: str, now, seconds: float) -> DataFrame:
     """Views (with the time ``at`` of their last refresh, null for none) that are due again."""
     return views.where(F.col(at).isNull() | (now - F.col(at) > seconds))
