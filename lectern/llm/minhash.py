@@ -22,9 +22,11 @@ tested, and each bucket's work is in proportion to its members or done in blocks
   common shingles has nothing else in common, and one of its sets must consist of them by
   2t / (1 + t) at least: those are the leading sets of such a bucket.
 * What still is a large bucket is a family of variants of one text, too far from each other
-  to be linked. Its members are dealt into blocks, and for each pair of blocks one task counts
-  all common shingles as a matrix product. No pair of members becomes a row: a task returns
-  a spanning forest of the links that it has found.
+  to be linked. Its members are dealt into classes by size, of which only neighbours can hold
+  similar sets, and into blocks of bounded bytes; a block is one row. Blocks of a family meet in
+  a join, and for each pair of blocks all common shingles are counted as a matrix product. A
+  block is sent a bounded number of times, however many blocks it meets, and no pair of members
+  becomes a row: a pair of blocks gives a spanning forest of the links found.
 
 So all pairs that share a bucket are linked or tested after two rounds.
 
@@ -59,8 +61,10 @@ SMALL = 64
 SALTED = 256
 #: Common shingles that the prefixes' order knows as such.
 FREQUENT = 250_000
-#: Members of a block of a large bucket.
-BLOCK = 512
+#: Members of a block of a large bucket at most, about, and bytes of their packed sets.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Tasks that a large bucket's blocks are dealt to at least, and copies of a block for that at most.
+BLOCKS_A_TASK, STRIPES = 16, 8
 _WORD_MEMO = 400_000
 _U = np.uint64
 
@@ -358,59 +362,105 @@ def _round(postings: DataFrame, labels: DataFrame, signatures: DataFrame, sets:
     return live, links
 
 
-def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many values each two of the sets (sorted, distinct) have in common, as blocks of a matrix product."""
+def common_counts(rows: list[np.ndarray], columns: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many values each set (sorted, distinct) of ``rows`` and of ``columns`` have in common, as blocks of a matrix product."""
+    sets = [*rows, *columns]
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], column[shared]
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.zeros((2, int(column.max()) + 1 if len(column) else 0), bool)
+    shared[(owner >= len(rows)).astype(int), column] = True
+    kept = shared.all(0)[column]  # values that both sides have
+    owner, column = owner[kept], column[kept]
     _, column = np.unique(column, return_inverse=True)
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(rows), len(columns)), np.float32)
     for at in range(0, int(column.max()) + 1 if len(column) else 0, width):
         mine = (column >= at) & (column < at + width)
         has = np.zeros((len(sets), width), np.float32)
         has[owner[mine], column[mine] - at] = 1
-        out += has @ has.T
+        out += has[: len(rows)] @ has[len(rows) :].T
     return out.astype(np.int64)  # counts under 2**24 are exact
 
 
-def _family(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        """For one pair of blocks: a spanning forest of the links between members of different components."""
-        nodes, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "comp"))
-        _, first = np.unique(nodes, return_index=True)
-        nodes, comps = nodes[first], comps[first]
-        raw = table.column("shingles").to_pylist()
-        sets = [_unpacked(raw[i]) for i in first.tolist()]
-        size = np.array([len(s) for s in sets])
-        both = common_counts(sets)
-        alike = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        a, b = np.nonzero(np.triu(alike & (comps[:, None] != comps[None, :]), 1))
-        parent = {c: c for c in comps.tolist()}
-        links = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            roots = []
-            for c in (int(comps[x]), int(comps[y])):
-                while parent[c] != c:
-                    parent[c] = parent[parent[c]]
-                    c = parent[c]
-                roots.append(c)
-            if roots[0] != roots[1]:
-                parent[max(roots)] = min(roots)
-                links.append((int(nodes[x]), int(nodes[y])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+_BLOCK = "key long, class int, own int, nodes array<long>, comps array<long>, sizes array<long>, shingles binary"
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """Members (key, class, own, node, comp, shingles) of one block as one row; a member that is listed twice counts once."""
+    nodes = np.array(table.column("node").to_pylist(), np.int64)
+    _, first = np.unique(nodes, return_index=True)
+    comps, raw = table.column("comp").to_pylist(), table.column("shingles").to_pylist()
+    packed = [raw[i] for i in first.tolist()]
+    named = [table.column(c)[0].as_py() for c in ("key", "class", "own")]
+    cells = [*named, nodes[first].tolist(), [comps[i] for i in first.tolist()], [len(p) // 6 for p in packed], b"".join(packed)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+    return pa.table({n.split()[0]: pa.array([c], k) for n, c, k in zip(_BLOCK.split(", "), cells, kinds, strict=True)})
+
+
+def _opened(sizes: list[int], packed: bytes) -> list[np.ndarray]:
+    return np.split(_unpacked(packed), np.cumsum(sizes)[:-1])
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, comps: tuple[list[int], list[int]]) -> list[int]:
+    """Which of the links (places in two lists of components) join components that those before don't."""
+    parent: dict[int, int] = {}
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        roots = []
+        for c in (comps[0][x], comps[1][y]):
+            while parent.setdefault(c, c) != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            roots.append(c)
+        if roots[0] != roots[1]:
+            parent[max(roots)] = min(roots)
+            kept.append(k)
+    return kept
+
+
+def _met(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of blocks (nodes, comps, sizes, shingles of each, whether they are the same) -> links."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                nodes, comps, sizes, packed, others, other_comps, other_sizes, other_packed, same = (c[i].as_py() for c in batch.columns)
+                left = _opened(sizes, packed)
+                right = left if same else _opened(other_sizes, other_packed)
+                n, m = np.array(sizes), np.array(other_sizes)
+                both = common_counts(left, right)
+                alike = 100 * both >= percent * (n[:, None] + m[None, :] - both)
+                a, b = np.nonzero((np.triu(alike, 1) if same else alike) & (np.array(comps)[:, None] != np.array(other_comps)[None, :]))
+                kept = _spanning(a, b, (comps, other_comps))
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[a[k]] for k in kept], pa.int64()), pa.array([others[b[k]] for k in kept], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _family_links(postings: DataFrame, large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside large buckets: members are dealt into blocks by hash, and each pair of blocks is one group."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = postings.select("node", "key").join(large.select("key", blocks.alias("blocks")), "key").join(labels.select("node", "comp"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "comp", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found = rows.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_family(percent), "a long, b long")
-    return materialise(found, "families")
+    """Links (a, b) inside large buckets."""
+    # sets of classes that aren't neighbours differ in size by more than links allow
+    step = float(np.log(100 / percent)) if percent < 100 else 1.0
+    members = postings.select("node", "size", "key").join(large.select("key"), "key", "left_semi").distinct()
+    members = members.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step).cast("int"))
+    counts = members.groupBy("key", "class").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(6 * F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    counts = materialise(counts.where("blocks > 0"), "block_counts")
+    rows = members.join(counts, ["key", "class"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = rows.join(labels.select("node", "comp"), "node").join(sets, "node").select("key", "class", "own", "node", "comp", "shingles")
+    blocks = materialise(rows.groupBy("key", "class", "own").applyInArrow(_block, _BLOCK), "blocks")
+    striped = blocks.join(counts.select("key", "class", F.least(F.lit(STRIPES), F.ceil(F.col("blocks") / BLOCKS_A_TASK)).cast("int").alias("stripes")), ["key", "class"])
+    left = striped.withColumn("stripe", F.col("own") % F.col("stripes"))
+    # a block meets those of its own class, and of the one below, dealt by that class's stripes
+    down = counts.select("key", F.col("class").alias("meets"), F.least(F.lit(STRIPES), F.ceil(F.col("blocks") / BLOCKS_A_TASK)).cast("int").alias("stripes"))
+    right = blocks.withColumn("meets", F.explode(F.array(F.col("class"), F.col("class") - 1))).join(down, ["key", "meets"])
+    right = right.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1))).select(
+        "key", F.col("meets").alias("class"), "stripe", (F.col("meets") == F.col("class")).alias("level"), F.col("own").alias("other"),
+        *[F.col(c).alias(f"other_{c}") for c in ("nodes", "comps", "sizes", "shingles")],
+    )
+    pairs = left.join(right.hint("merge"), ["key", "class", "stripe"]).where("not level or own <= other")
+    columns = ["nodes", "comps", "sizes", "shingles", *[f"other_{c}" for c in ("nodes", "comps", "sizes", "shingles")]]
+    found = pairs.select(*columns, (F.col("level") & (F.col("own") == F.col("other"))).alias("same")).mapInArrow(_met(percent), "a long, b long")
+    out = materialise(found, "families")
+    discard(counts, blocks)
+    return out
 
 
 def _sketches(docs: DataFrame) -> DataFrame:

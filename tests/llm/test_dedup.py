@@ -138,6 +138,59 @@ def test_near_stage_on_odd_rows(odd_docs, no_docs):
     assert minhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_near_families_in_small_blocks(spark, monkeypatch):
+    """Blocks of four members: buckets of several blocks give the same components as brute force."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCKS_A_TASK", 2)
+    slots = [[f"s{i}v{a}w{k}" for k in range(10)] for i in range(16) for a in range(2)]
+    picks = np.random.default_rng(5).integers(0, 2, (40, 16)).tolist()
+    picks += [[1 - v if i == 0 else v for i, v in enumerate(picks[d])] for d in (9, 12, 33)]
+    rows = [(d, " ".join(w for i, a in enumerate(p) for w in slots[2 * i + a])) for d, p in enumerate(picks)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(docs.collect())
+    assert len({c for _, c in want.values()}) < 43
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def test_family_links_by_blocks_and_classes(spark, monkeypatch):
+    """Links of one bucket, found by blocks of sizes' classes, connect exactly what all pairs do."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCKS_A_TASK", 2)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(minhash._mix(rng.integers(0, 3000, rng.integers(30, 400)).astype(np.uint64))) for _ in range(60)]
+    for k in range(25):  # with up to a quarter of their values gone, some just too few, others just enough
+        whole = sets[k]
+        sets.append(np.sort(rng.permutation(whole)[: int(np.ceil(len(whole) * (0.74 + 0.01 * (k % 4))))]))
+    rows = [(n, len(s), 1, minhash._packed(s), n) for n, s in enumerate(sets)]
+    rows += rows[:10]  # members that are listed twice
+    table = spark.createDataFrame(rows, "node long, size long, key long, shingles binary, comp long").repartition(3)
+    large = spark.createDataFrame([(1,)], "key long")
+    unique = table.dropDuplicates(["node"])
+    got = minhash._family_links(table.select("node", "size", "key"), large, unique.select("node", "comp"), unique.select("node", "shingles"), 75).collect()
+    pairs = {(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert len(pairs) > 10
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in got} == pairs  # here no two links join the same components
+
+
+def test_blocks_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """What a family's members cost to send grows with them, not with members times blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    sent = {}
+    blocks_of = minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, label: sent.setdefault(label, blocks_of(df, label)))
+    rng = np.random.default_rng(9)
+    for n in (40, 160):
+        sent.clear()
+        sets = [np.unique(minhash._mix(rng.integers(0, 10**6, 50).astype(np.uint64))) for _ in range(n)]
+        table = spark.createDataFrame([(k, len(s), 1, minhash._packed(s), k) for k, s in enumerate(sets)], "node long, size long, key long, shingles binary, comp long")
+        monkeypatch.setattr(minhash, "discard", lambda *t: None)
+        minhash._family_links(table.select("node", "size", "key"), spark.createDataFrame([(1,)], "key long"), table.select("node", "comp"), table.select("node", "shingles"), 75)
+        blocks = sent["blocks"].selectExpr("size(nodes) AS n", "length(shingles) AS b").collect()
+        assert sum(r.n for r in blocks) == n  # each member lies in one block
+        assert max(r.n for r in blocks) <= 16
+
+
 def test_densified_bins_agree_as_sets_do():
     rng = np.random.default_rng(0)
     hits = []
@@ -174,6 +227,41 @@ def test_suffix_matches_brute_force(rng_docs):
             assert sum(s["length"] for s in r.spans) == r.n_removed
 
 
+def test_suffix_with_heavy_grams(spark, rng_docs, monkeypatch):
+    """Grams of over three runs have their windows dealt one by one; the result is that of brute force."""
+    monkeypatch.setattr(suffix_dedup, "HEAVY_RUNS", 3)
+    line = "this line of over fifty bytes is in every document, whatever it is about; see also page 7\n"
+    rows = [(i, prose(i, 12) + "\n" + line + prose(300 + i, 9 + i % 5)) for i in range(60)] + [(100 + i, line * 3) for i in range(3)] + [(200, "a" * 400), (201, "a" * 300 + "b")]
+    for docs in (rng_docs, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)):
+        want = brute_suffix(docs.collect())
+        for options in ({}, {"batch_bytes": 3000, "bucket_bytes": 500}):
+            got = suffix_dedup.suffix_duplicates(docs, **options).collect()
+            assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_a_common_line_makes_no_large_group(spark, monkeypatch):
+    """A line in every document, with other text at both its ends: no gram has more than a set number of contexts in a bucket."""
+    line = "this line of over fifty bytes is in every document, whatever it is about; see also page 7"
+    rows = [(i, prose(i, 12) + " " + line + " " + prose(900 + i, 12)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def most(limit):
+        monkeypatch.setattr(suffix_dedup, "HEAVY_RUNS", limit)
+        table = suffix_dedup.materialise(docs.select("doc_id", "text").mapInArrow(suffix_dedup.gather(4000), suffix_dedup.BATCHES), "batches")
+        _, contexts = suffix_dedup.routed(table, 50, 32)
+        found = defaultdict(set)
+        for r in contexts.collect():
+            joined, at = suffix_dedup.unpack_bytes(bytes(r.contexts)), 0
+            for off, n in zip(r.offsets, r.windows, strict=True):
+                context = joined[at : at + n + 49]
+                at += len(context)
+                found[r.bucket, context[off : off + 16]].add(context)
+        return max(map(len, found.values()))
+
+    assert most(10**9) > 300  # as many as documents
+    assert most(50) <= 50
+
+
 def test_suffix_odd_rows(odd_docs, no_docs):
     rows = [r for r in odd_docs.collect() if r.doc_id is not None]
     want = brute_suffix({r.doc_id: r for r in rows}.values())
