@@ -31,7 +31,8 @@ def parse_feed(feeds: DataFrame, key: str, xml: str) -> DataFrame:
 
     A book has an acquisition link of an archive's type: the first whose address looks like
     an archive, else the first. An entry without one leads to a feed, by its last feed
-    link. Entries without title or link go.
+    link. Entries without title or link go. A feed's own links are found once, and its
+    text stays behind when its entries become rows.
     """
     whole = F.col(xml)
     plain = lambda l, name: F.regexp_extract(l, rf'\b{name}="([^"]*)"', 1)
@@ -41,9 +42,9 @@ def parse_feed(feeds: DataFrame, key: str, xml: str) -> DataFrame:
     rows = feeds.select(
         key, *[_href(related(head, r), -1).alias(r) for r in ("next", "previous")],
         _href(F.filter(_links(whole), lambda l: (plain(l, "rel") == "search") & plain(l, "href").contains(SEARCH_MARK)), -1).alias("search"),
-        F.posexplode(F.regexp_extract_all(whole, F.lit(r"(?s)(<entry\b.*?</entry>)"), F.lit(1))).alias("pos", "e"),
+        F.regexp_extract_all(whole, F.lit(r"(?s)(<entry\b.*?</entry>)"), F.lit(1)).alias("entries"),
     )
-    rows = rows.withColumn("all", _links(F.col("e")))
+    rows = rows.select(key, "next", "previous", "search", F.posexplode("entries").alias("pos", "e")).withColumn("all", _links(F.col("e")))
     books = F.filter("all", lambda l: plain(l, "rel").contains(ACQUISITION_MARK) & (plain(l, "type") == EPUB_TYPE) & (plain(l, "href") != ""))
     rows = rows.withColumn("books", books).withColumn("plain", F.filter("books", lambda l: plain(l, "href").contains(".epub") | plain(l, "href").contains("/epub/")))
     rows = rows.withColumn("feeds", F.filter("all", lambda l: plain(l, "type").contains(FEED_MARK) & (plain(l, "href") != "")))
