@@ -209,9 +209,9 @@ def short_hash(x: Column, n: int = 12) -> Column:
 
 
 def rfc3339(epoch_seconds: Column) -> Column:
-    """UTC, seconds truncated; independent of the session's zone."""
+    """UTC, seconds truncated; independent of the session's zone. Years of five digits have no sign."""
     t = F.timestamp_seconds(F.floor(epoch_seconds))
-    return F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.regexp_replace(F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), r"^\+", "")
 
 
 def human_size(n: Column) -> Column:
