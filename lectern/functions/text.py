@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import html
+import html.entities
+import re
 import unicodedata
 
 import pandas as pd
@@ -231,11 +233,23 @@ def _unescaped(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
 
-def html_text(page: Column) -> Column:
-    """The body (all of it, where there is none), each tag a blank, references resolved."""
+def unescape_closed(x: Column) -> Column:
+    """Character references that end with a semicolon; a name cut before it stays as it is."""
+    return F.when(x.contains("&"), _unescaped_closed(x)).otherwise(x)
+
+
+@F.pandas_udf(StringType())
+def _unescaped_closed(x: pd.Series) -> pd.Series:
+    one = lambda m: html.unescape(m[0]) if m[1].startswith("#") or m[1] in html.entities.html5 else m[0]
+    return x.map(lambda t: re.sub(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[0-9A-Za-z]+;)", one, t), na_action="ignore")
+
+
+def html_text(page: Column, closed: bool = False) -> Column:
+    """The body (all of it, where there is none), each tag a blank, references resolved: as browsers do, or only ``closed`` ones."""
     body = F.regexp_extract(page, r"(?s)<body[^>]*>(.*)</body>", 1)
     body = F.when(page.rlike(r"(?s)<body[^>]*>.*</body>"), body).otherwise(page)
-    return unescape_html(F.regexp_replace(body, r"<[^>]+>", " "))
+    plain = F.regexp_replace(body, r"<[^>]+>", " ")
+    return unescape_closed(plain) if closed else unescape_html(plain)
 
 
 def without_fences(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -50,10 +50,20 @@ def dead_links(files: DataFrame, book: str, name: str, html: str, entries: DataF
     bare fragment must be an id of its own document; of other local links the file part,
     resolved against the document's folder, must be an entry. Web and mail links pass.
     """
-    h = F.regexp_extract_all(F.col(html), F.lit(r'(?:href|src)="([^"]+)"'), F.lit(1))
-    rows = files.select(book, name, F.explode(F.array_distinct(h)).alias("href"))
+    return dead_references(files.select(book, name, *references(F.col(html))), book, name, entries)
+
+
+def references(html: Column) -> tuple[Column, Column]:
+    """hrefs and ids of a document: what its links point to, and what links may point to."""
+    found = lambda rx: F.array_distinct(F.regexp_extract_all(html, F.lit(rx), F.lit(1)))
+    return found(r'(?:href|src)="([^"]+)"').alias("hrefs"), found(r'id="([^"]+)"').alias("ids")
+
+
+def dead_references(files: DataFrame, book: str, name: str, entries: DataFrame) -> DataFrame:
+    """dead_links() of documents whose ``hrefs`` and ``ids`` are found already: see references()."""
+    rows = files.select(book, name, F.explode("hrefs").alias("href"))
     inner = rows.where(F.col("href").startswith("#")).withColumn("anchor", F.substring("href", F.lit(2), F.length("href")))
-    ids = files.select(book, name, F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(r'id="([^"]+)"'), F.lit(1)))).alias("anchor"))
+    ids = files.select(book, name, F.explode("ids").alias("anchor"))
     lost = inner.join(ids, [book, name, "anchor"], "left_anti").select(book, name, "href", F.lit("dead fragment").alias("error"))
     outer = rows.where(~F.col("href").rlike("^(#|https?://|mailto:)"))
     folder = F.regexp_extract(name, r"^(.*/)?[^/]*$", 1)
@@ -122,8 +132,8 @@ def listing(files: DataFrame, by: list[str], most: int | None = None) -> DataFra
     return rows.where(F.col("place") <= most) if most else rows
 
 
-def page_text(pages: DataFrame, key: str, html: str) -> DataFrame:
-    return pages.select(key, T.html_text(F.col(html)).alias("body_text"))
+def page_text(pages: DataFrame, key: str, html: str, closed: bool = False) -> DataFrame:
+    return pages.select(key, T.html_text(F.col(html), closed).alias("body_text"))
 
 
 def number_references(refs: DataFrame, doc: str, marker: str, pos: str) -> DataFrame:
