@@ -70,13 +70,16 @@ def fit_titles(titles: DataFrame, key: str, text: str, glyphs: DataFrame, box_w:
     """(key, size, lines, line_height) of each title in a box. ``glyphs``: ch, width (a share of the size); ``unknown`` for other signs.
 
     Breaks are at white space and before and after wide signs. A null or blank title has no lines, and the largest size.
+    A text is fitted once, whatever number of titles have it.
     """
-    chars = titles.select(key, F.posexplode_outer(F.split(F.coalesce(text, F.lit("")), "")).alias("pos", "ch")).where("ch <> ''")
+    titles = titles.select(key, F.coalesce(text, F.lit("")).alias("__text"))
+    texts = titles.select("__text").distinct()
+    chars = texts.select("__text", F.posexplode_outer(F.split("__text", "")).alias("pos", "ch")).where("ch <> ''")
     kind = F.when(F.col("ch").rlike(f"[{fixed.WHITE}]"), "space").when(T.is_wide_cjk(F.col("ch")), "wide").otherwise("other")
     rows = chars.join(glyphs.select("ch", F.col("width").cast("double").alias("width")), "ch", "left").withColumn("width", F.coalesce("width", F.lit(float(unknown)))).withColumn("kind", kind)
-    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ch", "width", "kind"))).alias("c"))
+    held = rows.groupBy("__text").agg(F.array_sort(F.collect_list(F.struct("pos", "ch", "width", "kind"))).alias("c"))
     blank = glyphs.where("ch = ' '").agg(F.coalesce(F.max("width").cast("double"), F.lit(float(unknown))).alias("blank"))  # one row
-    every = titles.select(key).join(held, key, "left").crossJoin(F.broadcast(blank))
+    every = texts.join(held, "__text", "left").crossJoin(F.broadcast(blank))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -84,7 +87,8 @@ def fit_titles(titles: DataFrame, key: str, text: str, glyphs: DataFrame, box_w:
             for chars, widths, kinds, gap in df[["ch", "w", "k", "blank"]].itertuples(index=False):
                 units = atoms(list(chars), list(widths), list(kinds)) if chars is not None else []
                 out.append(fit(units, gap, box_w, box_h, ascent, descent))
-            yield pd.DataFrame({key: df[key], "size": [o[0] for o in out], "lines": [o[1] for o in out], "line_height": [o[2] for o in out]})
+            yield pd.DataFrame({"__text": df["__text"], "size": [o[0] for o in out], "lines": [o[1] for o in out], "line_height": [o[2] for o in out]})
 
-    rows = every.select(key, F.col("c.ch").alias("ch"), F.col("c.width").alias("w"), F.col("c.kind").alias("k"), "blank")
-    return rows.mapInPandas(run, f"{key} {titles.schema[key].dataType.simpleString()}, size int, lines array<string>, line_height int")
+    rows = every.select("__text", F.col("c.ch").alias("ch"), F.col("c.width").alias("w"), F.col("c.kind").alias("k"), "blank")
+    fitted = rows.mapInPandas(run, "__text string, size int, lines array<string>, line_height int")
+    return titles.join(fitted, "__text").select(key, "size", "lines", "line_height")

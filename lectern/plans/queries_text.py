@@ -56,7 +56,7 @@ def edit_reasons(spark, d):
 def title_fit(spark, d):
     """Part names in a title box; a glyph's width follows from its code."""
     names = table(spark, d, "part").select("p_partkey", "p_name")
-    signs = names.select(F.explode(F.split("p_name", "")).alias("ch")).where("ch <> ''").distinct()
+    signs = names.select("p_name").distinct().select(F.explode(F.split("p_name", "")).alias("ch")).where("ch <> ''").distinct()
     glyphs = signs.select("ch", ((F.ascii("ch") % 8 + 2) / 16).alias("width"))
     return titles.fit_titles(names, "p_partkey", "p_name", glyphs, 480, 160, 0.93, 0.24)
 
