@@ -321,8 +321,9 @@ def archive_errors(spark, d):
     text = F.decode("data", "UTF-8")
     broken = F.when((n == 2) & first, F.replace(F.replace(text, F.lit('href="#a"'), F.lit('href="#b"')), F.lit('"ch01.xhtml"'), F.lit('"gone.xhtml"'))).when((n == 3) & first, F.replace(text, F.lit("</html>"), F.lit("")))
     e = e.withColumn("data", F.coalesce(F.encode(broken, "UTF-8"), "data")).withColumn("stored", F.col("stored") & (n != 4)).where((n != 0) | (F.col("name") != "OEBPS/nav.xhtml"))
-    more = e.where((n == 1) & (F.col("pos") == 0)).withColumn("name", F.lit("OEBPS/more.txt")).withColumn("pos", F.lit(99))
-    return render.archive_errors(e.unionByName(more), "book")
+    twice = F.when((n == 1) & (F.col("pos") == 0), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))  # in one pass, as books are made anew for each
+    e = e.withColumn("more", F.explode(twice)).withColumn("name", F.when(F.col("more"), "OEBPS/more.txt").otherwise(F.col("name"))).withColumn("pos", F.when(F.col("more"), 99).otherwise(F.col("pos")))
+    return render.archive_errors(e.drop("more"), "book")
 
 
 # A chapter for each part: title, reading marks, notes, verse, a figure, glossary words.
