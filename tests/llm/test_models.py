@@ -289,3 +289,13 @@ def test_samples_stay_bounded(spark, monkeypatch):
     for texts in seen["lang"].values():
         assert len(texts) <= 15
         assert sum(map(len, texts[:-1])) < 150 + 40
+
+
+def test_the_driver_gives_back_what_a_fit_took(spark, monkeypatch):
+    docs = spark.createDataFrame([(n, f"you are a {'nasty fool' if n % 4 == 0 else 'kind friend'} number {n}") for n in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, int(n % 4 == 0)) for n in range(80)], "doc_id long, toxic int")
+    done, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: done.append("fit") or fit(*a))
+    monkeypatch.setattr(toxicity, "give_back", lambda: done.append("back"))
+    toxicity.train(docs, labels, hold_out=False)
+    assert done == ["fit", "back"]
