@@ -1,8 +1,9 @@
 """Token ids of whole texts with the ``tokenizers`` library, memoised by word.
 
-Byte-level BPE never merges across the places where its pattern cuts, and a single
-blank or line feed between non-blank characters is always such a place. So a batch of
-texts is cut there into units (a word with the blank before it, or a line feed), whose
+Byte-level BPE never merges across the places where its pattern cuts. A single blank or
+line feed between non-blank characters is always such a place, and so is that between a
+Latin-1 letter and an ASCII mark that isn't an apostrophe. So a batch of texts is cut there into
+units (a word with the blank before it, the marks behind it, or a line feed), whose
 distinct ones are found by Arrow's dictionary encoding; only those meet the bounded memo
 and the library, and Arrow joins their ids again. A text with other white space is
 encoded whole by the library. Both give the library's ids.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,11 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in itself} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-_LETTERS = _byte_alphabet()
+#: The same as code points; a line feed stays, as it parts the units that are looked up together.
+_LETTERS = np.array([10 if b == 10 else ord(c) for b, c in sorted(_byte_alphabet().items())], "<u4")
+_ASCII_LETTERS = np.isin(np.arange(256), list(string.ascii_letters.encode()))
+#: Second bytes of the letters from U+00C0 to U+00FF, whose first byte is 0xC3.
+_LATIN_LETTERS = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
 
 
 class DocumentTokenizer:
@@ -50,57 +55,72 @@ class DocumentTokenizer:
         self._by_unit = "ByteLevel" in str(self._library.pre_tokenizer) and self._library.normalizer is None
         self._young: dict[bytes, bytes | None] = {}
         self._old: dict[bytes, bytes | None] = {}
-        self._marks: dict[bytes, bytes] = {}
         self._feed = self._ids("\n")
+        # a cut before a mark of an added token could part that token
+        added = "".join(t.content for t in self._library.get_added_tokens_decoder().values())
+        self._marks = np.isin(np.arange(256), [ord(c) for c in string.punctuation if c not in "'" + added])
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _bytes(self, raw: bytes) -> bytes:
-        """Ids of one unit of the pattern, its blank included."""
-        letters = raw.decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
-
-    def _unit(self, raw: bytes) -> bytes | None:
-        """Ids of a unit; None if white space within it could join what stands around it."""
-        text = raw.decode()
+    def _bytes(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of units of the pattern, their blanks included."""
+        letters = _LETTERS[np.frombuffer(b"\n".join(raws), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+        ids: list[int] = []
+        ends = [0]
+        for unit in letters if raws else []:
+            ids += [t.id for t in self._model.tokenize(unit)]
+            ends.append(4 * len(ids))
+        every = np.array(ids, "<u4").tobytes()
+        return [every[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _unit(self, text: str) -> bytes | tuple[bytes, bytes] | None:
+        """Ids of a unit that isn't a word, or its letters and marks; None if white space within it could join what stands around it."""
         if text == "\n":
             return self._feed
         word = text[1:] if text[0] == " " else text
-        if word.isalpha():
-            return self._bytes(raw)
         if not word or word[0].isspace() or word[-1].isspace():
             return None
         m = _SIMPLE.match(word)
         if m and m[1].isalpha():
             # a run of letters and one of marks: the pattern cuts between them, and nowhere else
-            marks = m[2].encode()
-            tail = self._marks.get(marks)
-            if tail is None:
-                tail = self._bytes(marks)
-                if len(marks) <= 4 and len(self._marks) < 10_000:
-                    self._marks[marks] = tail
-            return self._bytes(raw[: len(raw) - len(marks)]) + tail
+            return text[: len(text) - len(m[2])].encode(), m[2].encode()
         return self._ids(text)
 
     def _units(self, distinct: list[bytes]) -> list[bytes | None]:
-        out = []
-        for raw in distinct:
-            ids = self._young.get(raw, self)
-            if ids is self:
-                ids = self._old.get(raw, self)
-                if ids is self:
-                    ids = self._unit(raw)
-                if len(raw) <= MEMO_UNIT_BYTES:
-                    self._young[raw] = ids
-            out.append(ids)
-        if len(self._young) >= MEMO_ENTRIES:
-            self._old, self._young = self._young, {}
+        """Ids of each unit; None as _unit() says."""
+        known, before = self._young.get, self._old.get
+        out = [known(raw, self) for raw in distinct]
+        words, missed = [], [n for n, ids in enumerate(out) if ids is self]
+        for n in missed:
+            raw = distinct[n]
+            out[n] = before(raw, self)
+            if out[n] is self:
+                text = raw.decode()
+                if (text[1:] if text[0] == " " else text).isalpha():
+                    words.append(n)
+                else:
+                    out[n] = self._unit(text)
+        for n, ids in zip(words, self._bytes([distinct[n] for n in words]), strict=True):
+            out[n] = ids
+        parted = []
+        for n in missed:
+            if isinstance(out[n], tuple):
+                parted.append(n)
+            elif len(distinct[n]) <= MEMO_UNIT_BYTES:
+                self._young[distinct[n]] = out[n]
+        if parted:
+            parts = list(dict.fromkeys(p for n in parted for p in out[n]))
+            ids_of = dict(zip(parts, self._units(parts), strict=True))
+            for n in parted:
+                out[n] = b"".join(ids_of[p] for p in out[n])
+                if len(distinct[n]) <= MEMO_UNIT_BYTES:
+                    self._young[distinct[n]] = out[n]
         return out
 
     def forget(self) -> None:
         """Empty the memo."""
-        self._young, self._old, self._marks = {}, {}, {}
+        self._young, self._old = {}, {}
 
     def encode_all(self, raws: list[bytes], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` after each, as one array, and the place in it where each text's ids end."""
@@ -124,13 +144,18 @@ class DocumentTokenizer:
             return self._joined([self._ids(r.decode()) + end for r in raws])
         blank, feed = data == 32, data == 10
         cut = blank | feed
-        cut[1:] |= feed[:-1]
+        cut[1:] |= feed[:-1] | (self._marks[data[1:]] & _ASCII_LETTERS[data[:-1]])
+        cut[2:] |= self._marks[data[2:]] & _LATIN_LETTERS[data[1:-1]] & (data[:-2] == 0xC3)
         cut[(stop - sizes)[some]] = True
         start = np.flatnonzero(cut)
         first, last = np.searchsorted(start, stop - sizes), np.searchsorted(start, stop)  # units of each text
         units = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int32)), pa.py_buffer(data)])
         coded = units.dictionary_encode()
-        ids = self._units(coded.dictionary.to_pylist())
+        _, ends, letters = coded.dictionary.buffers()
+        ends, letters = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), letters.to_pybytes() if letters else b""
+        ids = self._units([letters[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        if len(self._young) >= MEMO_ENTRIES:
+            self._old, self._young = self._young, {}
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         # a text is encoded whole if a unit is odd by itself, or a blank or line feed isn't between words
         gap, line = blank[start], feed[start]

@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from lectern.llm import huffman, mixing, packing
-from lectern.llm.tokens import tokenizer
+from lectern.llm.tokens import DocumentTokenizer, tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,26 @@ def test_memo_gives_the_librarys_ids(odd_docs):
         assert t.encode(x) == ids_of(x)[:-1].tobytes(), x
 
 
+def test_words_meet_the_library_once_whatever_marks_follow():
+    class Counting:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, letters):
+            self.asked.append(letters)
+            return self.model.tokenize(letters)
+
+    t = DocumentTokenizer(PATH)
+    t._model = counting = Counting(t._model)
+    texts = [f"a naïve{m} café{m} жук{m} {m}" for m in (",", ".", "!?", "***", "…", "×", "'s,", "<|endoftext|>", "|>", "'", "")]
+    ids, ends = t.encode_all([x.encode() for x in texts])
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [ids_of(x)[:-1].tolist() for x in texts]
+    assert len(counting.asked) == len(set(counting.asked)) and any(x.endswith("ve") for x in counting.asked)
+    asked = len(counting.asked)
+    t.encode("a naïve; café; naïve) café#")
+    assert len(counting.asked) == asked
+
+
 def test_packing_covers_every_id(odd_docs, rng_docs, no_docs):
     for docs in (odd_docs, rng_docs):
         rows = packing.pack(docs, PATH, capacity=64).collect()
